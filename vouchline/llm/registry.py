@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from vouchline.llm import quality, secrets
+from vouchline.llm import bpe, quality, secrets, simhash
 
 QUERIES = {
+    "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op7_simhash": simhash.op7_simhash,
     "op8_quality_rules": quality.op8_quality_rules,
 }
 ORACLES = {"op8_quality_rules": quality.ORACLE}
