@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from vouchline.llm import bpe, quality, secrets, simhash
+from vouchline.llm import bpe, decontaminate, quality, secrets, simhash
 
 QUERIES = {
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op7_simhash": simhash.op7_simhash,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
 }
-ORACLES = {"op8_quality_rules": quality.ORACLE}
+ORACLES = {"op8_quality_rules": quality.ORACLE, "op9_decontaminate": decontaminate.ORACLE}

@@ -56,17 +56,21 @@ def _majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def _row_key(id_col: str, text_col: str):
+    return F.xxhash64(id_col, text_col)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp (the 64 bits as a signed long)."""
-    docs = pick(docs, id_col, text_col)
+    """id, fp (the 64 bits as a signed long), rid (a hash of id and text)."""
+    docs = pick(docs, id_col, text_col).withColumn("__rid", _row_key(id_col, text_col))
 
     def rows(batches):
         for batch in batches:
             buf, off = text_bytes(batch.column(1))
             fp = np.array([fingerprint(buf[off[i] : off[i + 1]].tobytes()) for i in range(batch.num_rows)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2)], names=[id_col, "fp", "rid"])
 
-    return docs.mapInArrow(rows, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp bigint")
+    return docs.mapInArrow(rows, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp bigint, rid bigint")
 
 
 def _segment(i: str) -> str:
@@ -169,21 +173,41 @@ def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
     return placed.mapInArrow(_group_edges, "a bigint, b bigint")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp, component_id for every row."""
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
+    """id, fp, component_id (and root, the component's least vertex, and rid) for every row."""
     prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = materialise(prints.groupBy("fp").agg(F.coalesce(F.min(id_col), F.lit(_NO_ID)).alias("rep"), F.count(F.lit(1)).alias("n")), "distinct")
     vertices = distinct.select(F.col("fp").alias("v"), F.struct("rep", F.col("fp").alias("v")).alias("label"))
     reached = least_reachable(vertices, links(distinct))
     classes = materialise(
-        distinct.join(reached, distinct.fp == reached.v, "left").select("fp", F.expr(f"nullif(coalesce(label.rep, rep), {_NO_ID}L)").alias("component_id"), "n"),
+        distinct.join(reached, distinct.fp == reached.v, "left").select("fp", F.expr(f"nullif(coalesce(label.rep, rep), {_NO_ID}L)").alias("component_id"), F.coalesce("label.v", "fp").alias("root"), "n"),
         "classes",
     )
     # Fingerprints that hold over a thousandth of the rows are fewer than a thousand: those go by broadcast, the rest by key.
     often = max(100, prints.count() // 1000)
     hot = F.broadcast(classes.where(F.col("n") > often).drop("n"))
     rare = classes.where(F.col("n") <= often).drop("n")
-    return prints.join(hot, "fp").unionByName(prints.join(F.broadcast(classes.where(F.col("n") > often).select("fp")), "fp", "left_anti").join(rare, "fp")).select(id_col, "fp", "component_id")
+    return prints.join(hot, "fp").unionByName(prints.join(F.broadcast(classes.where(F.col("n") > often).select("fp")), "fp", "left_anti").join(rare, "fp")).select(id_col, "fp", "component_id", *["root", "rid"] * with_row)
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, that with the least id, with its own columns.
+
+    Rows of the same id and text count as one; a component without any id keeps one of its rows.
+    """
+    found = components(docs, id_col, text_col, with_row=True)
+    # combined before the shuffle, so a component of any size is one row per task
+    best = found.groupBy("root").agg(F.min(F.struct(F.coalesce(id_col, F.lit(_NO_ID)).alias("i"), "rid")).alias("best")).select(F.col("best.rid").alias("__best"))
+    best = materialise(best, "representatives")
+    slots = [f"__d{k}" for k in range(len(docs.columns))]
+    named = docs.toDF(*slots)
+    keyed = named.withColumn("__rid", _row_key(slots[docs.columns.index(id_col)], slots[docs.columns.index(text_col)]))
+    first = keyed.join(best, keyed["__rid"] == best["__best"], "left_semi")
+    repeated = materialise(found.groupBy("rid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("rid").alias("__rid")), "repeated")
+    alone = first.join(repeated, "__rid", "left_anti")
+    # a row that occurs a million times over is one row per task after the first step of this aggregate
+    again = first.join(repeated, "__rid", "left_semi").groupBy("__rid").agg(F.first(F.struct(*slots)).alias("__row")).select("__row.*")
+    return alone.select(*slots).unionByName(again.select(*slots)).toDF(*docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
