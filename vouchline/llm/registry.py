@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vouchline.llm import bpe, decontaminate, quality, secrets, simhash, suffix_dedup, warc
+from vouchline.llm import bpe, decontaminate, pitman_yor, quality, secrets, simhash, suffix_dedup, warc
 
 QUERIES = {
+    "op1_pitman_yor": pitman_yor.op1_pitman_yor,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op2_warc": warc.op2_warc,
     "op3_byte_bpe": bpe.op3_byte_bpe,
