@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vouchline.llm import bpe, decontaminate, pitman_yor, quality, secrets, simhash, suffix_dedup, url_filter, warc
+from vouchline.llm import bpe, decontaminate, pitman_yor, quality, secrets, simhash, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_pitman_yor": pitman_yor.op1_pitman_yor,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_simhash": simhash.op7_simhash,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_decontaminate": decontaminate.op9_decontaminate,
