@@ -11,6 +11,11 @@ MIN_AREA, MAX_AREA, MAX_RATIO_ERROR = 0.05, 0.97, 0.5
 NO_CANDIDATE = -1e18
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that stands once in the expression, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -54,11 +59,15 @@ def height(q: Column) -> Column:
 
 def rect_score(q: Column, image_area: Column) -> Column:
     """Area fraction less a penalty for the aspect; the sentinel where inadmissible."""
-    w, h = width(q), height(q)
+
+    def of(m):
+        w, h, frac = m["w"], m["h"], m["frac"]
+        err = F.abs(F.greatest(w, h) / F.greatest(F.least(w, h), F.lit(1.0)) - CARD_RATIO) / CARD_RATIO
+        ok = (h >= 1) & frac.between(MIN_AREA, MAX_AREA) & (err <= MAX_RATIO_ERROR)
+        return F.when(ok, frac - err * 0.8).otherwise(NO_CANDIDATE)
+
     frac = polygon_area(q) / F.greatest(image_area, F.lit(1.0))
-    err = F.abs(F.greatest(w, h) / F.greatest(F.least(w, h), F.lit(1.0)) - CARD_RATIO) / CARD_RATIO
-    ok = (h >= 1) & frac.between(MIN_AREA, MAX_AREA) & (err <= MAX_RATIO_ERROR)
-    return F.when(ok, frac - err * 0.8).otherwise(NO_CANDIDATE)
+    return let(F.struct(width(q).alias("w"), height(q).alias("h"), frac.alias("frac")), of)
 
 
 def aspect_score(q: Column) -> Column:
@@ -136,14 +145,13 @@ def centroid(q: Column) -> Column:
 
 def shrink(q: Column, by: float = 2.0) -> Column:
     """Every corner moved towards the centroid."""
-    c = centroid(q)
 
-    def move(p):
+    def move(p, c):
         dx, dy = c["x"] - p["x"], c["y"] - p["y"]
         n = F.sqrt(dx * dx + dy * dy)
         return F.when(n > 0, point(p["x"] + F.try_divide(dx, n) * by, p["y"] + F.try_divide(dy, n) * by)).otherwise(p)
 
-    return F.transform(q, move)
+    return let(centroid(q), lambda c: F.transform(q, lambda p: move(p, c)))
 
 
 def corner_distance(a: Column, b: Column) -> Column:
@@ -162,16 +170,21 @@ def fused(a: Column, sa: Column, b: Column, sb: Column, c: Column, w: Column, h:
     """
     area = w * h
     a_ok, b_ok = a.isNotNull() & (sa > -1e17), b.isNotNull() & (sb > -1e17)
-    d = corner_distance(a, b)
-    mean = clip_quad(order_points(F.zip_with(a, b, lambda p, q: point((p["x"] + q["x"]) / 2, (p["y"] + q["y"]) / 2))), w, h)
-    winner = clip_quad(order_points(shrink(F.when(sa >= sb, a).otherwise(b))), w, h)
-    pack = lambda q, bonus, name: F.struct(q.alias("contour"), (rect_score(q, area) + bonus).alias("score"), F.lit(name).alias("branch"))
+    ordered = lambda q: let(q, order_points)
+
+    def pack(q, bonus, name):
+        return let(q, lambda o: F.struct(o.alias("contour"), (rect_score(o, area) + bonus).alias("score"), F.lit(name).alias("branch")))
+
+    def two(d):
+        mean = clip_quad(ordered(F.zip_with(a, b, lambda p, q: point((p["x"] + q["x"]) / 2, (p["y"] + q["y"]) / 2))), w, h)
+        winner = clip_quad(ordered(let(F.when(sa >= sb, a).otherwise(b), shrink)), w, h)
+        return F.when(d < 25, pack(mean, 0.5 + F.least(d, F.lit(25.0)) / 50.0, "agree")).otherwise(pack(winner, F.lit(0.2), "winner"))
+
     none = F.struct(F.lit(None).cast("array<struct<x:double,y:double>>").alias("contour"), F.lit(NO_CANDIDATE).alias("score"), F.lit("none").alias("branch"))
     return (
-        F.when(a_ok & b_ok & (d < 25), pack(mean, 0.5 + F.least(d, F.lit(25.0)) / 50.0, "agree"))
-        .when(a_ok & b_ok, pack(winner, F.lit(0.2), "winner"))
-        .when(a_ok, pack(order_points(a), F.lit(0.1), "first"))
-        .when(b_ok, pack(order_points(b), F.lit(0.1), "second"))
-        .when(c.isNotNull(), pack(order_points(c), F.lit(0.0), "fallback"))
+        F.when(a_ok & b_ok, let(corner_distance(a, b), two))
+        .when(a_ok, pack(ordered(a), F.lit(0.1), "first"))
+        .when(b_ok, pack(ordered(b), F.lit(0.1), "second"))
+        .when(c.isNotNull(), pack(ordered(c), F.lit(0.0), "fallback"))
         .otherwise(none)
     )
