@@ -238,3 +238,12 @@ def roi_names(spark, sf):
     """Names that a side would hold twice, or empty ones, are rejected."""
     named = boxes.roi_table(spark).select("side", "field").unionByName(spark.createDataFrame([("front", "name"), ("back", " ")], "side string, field string"))
     return named.groupBy("side", "field").agg(F.count(F.lit(1)).alias("n")).withColumn("rejected", (F.col("n") > 1) | (F.trim("field") == ""))
+
+
+@query("side_regions", None)
+def side_regions(spark, sf):
+    """Plausible text boxes of a side, merged, in page order, as named 0..1 regions (half-even at four places)."""
+    plausible = _boxes(spark, sf).where(boxes.text_region(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), 300, 300))
+    placed = rank.rank_by(boxes.merge_boxes(plausible, "image_id", 10), ["image_id"], F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2"), alias="place")
+    share = lambda c, most: F.bround((F.col(c) / most).cast("decimal(18,12)"), 4).cast("double").alias(c)
+    return placed.select("image_id", F.format_string("region_%02d", F.col("place")).alias("region"), share("x1", 960), share("y1", 600), share("x2", 960), share("y2", 600))

@@ -151,3 +151,22 @@ def best_numeric(spark, sf):
     top = rank.best(scores, ["case_id"], F.col("score"), F.col("variant"), F.col("variant"), "variant")
     chosen = lines.join(top, ["case_id", "variant"])
     return chosen.groupBy("case_id", "variant").agg(F.collect_list("line").alias("t")).select("case_id", text.numeric_field(F.col("t"), 14).alias("number"), "variant")
+
+
+@query(
+    "single_image_ocr",
+    _LINES + f""", c AS (SELECT doc_id, pos, line, CAST({_VARIANT} AS INT) AS variant, {_AR_LINE} AS l, {_CONF} AS c FROM v_lines),
+s AS (SELECT doc_id, variant, coalesce(sum(length(l) - length(regexp_replace(l, '[\\x{{0600}}-\\x{{06FF}}]', '', 'g'))) + 10 * avg(c), -1e18) AS score FROM c GROUP BY doc_id, variant),
+b AS (SELECT doc_id, arg_max(variant, struct_pack(s := score, n := -variant)) AS variant, max(score) AS best FROM s GROUP BY doc_id)
+SELECT b.doc_id, CASE WHEN b.doc_id % 7 = 0 THEN 'unsupported extension' WHEN b.doc_id % 11 = 0 THEN 'missing file' END AS error,
+  CASE WHEN b.doc_id % 7 <> 0 AND b.doc_id % 11 <> 0 AND best > -1e18 THEN md5(trim(regexp_replace(string_agg(line, ' ' ORDER BY pos), '[\\s\\p{{Z}}\\x1c-\\x1f\\x0b\\x85]+', ' ', 'g'))) END AS text_md5
+FROM b JOIN c ON c.doc_id = b.doc_id AND c.variant = b.variant GROUP BY b.doc_id, best""",
+)
+def single_image_ocr(spark, sf):
+    """The best variant's lines as one text; a missing or unsupported file gives its error instead."""
+    top = rank.best(_scores(spark, sf), ["doc_id"], F.col("score"), F.col("variant"), F.struct("variant", scoring.nan_safe(F.col("score")).alias("s")))
+    lines = view(spark, sf, "v_lines").withColumn("variant", F.expr(f"CAST({_VARIANT} AS INT)"))
+    chosen = lines.join(top.select("doc_id", "best.variant", F.col("best.s").alias("s")), ["doc_id", "variant"])
+    merged = ocr.merge_lines(chosen, ["doc_id", "s"], [F.col("pos")], F.col("line"))
+    error = F.when(F.col("doc_id") % 7 == 0, "unsupported extension").when(F.col("doc_id") % 11 == 0, "missing file")
+    return merged.select("doc_id", error.alias("error"), F.when(error.isNull() & (F.col("s") > -1e18), F.md5("merged")).alias("text_md5"))
