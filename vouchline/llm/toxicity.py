@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 
 from vouchline.llm.common import LOWER, byte_prefix, doc_chunks, pick, span_hash, splitmix, table, text_bytes
 
-MAX_TOXIC, MAX_CLEAN = 3000, 5000
+MAX_TOXIC, MAX_CLEAN = 1200, 1800
 PREFIXES = (4, 5, 6, 7)
 #: A mark occurs at least so often, and so many times as often in toxic documents.
 LEAST, RATIO = 3, 12.0
 LONGEST = 64
 _CHUNK = 3_000_000
-_STEPS = 120
+_STEPS = 80
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -83,21 +83,38 @@ class Tokens:
             h[self.end - self.start < k] = 0  # shorter words have no such prefix
             self.features.append(h)
 
+    @classmethod
+    def of(cls, texts: list[bytes], part: int = 1_000_000) -> Tokens:
+        """Tokens of many texts, hashed some at a time: what hashing needs grows with a part, not with all texts."""
+        off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        parts = [cls(np.frombuffer(b"".join(texts[i:j]), np.uint8), off[i : j + 1] - off[i]) for i, j in doc_chunks(off, part)]
+        out = cls.__new__(cls)
+        n = np.cumsum([0] + [len(p.start) for p in parts])
+        out.start = out.end = np.zeros(n[-1], np.int8)  # places aren't needed for training
+        out.bounds = np.concatenate([[0], *(p.bounds[1:] + k for p, k in zip(parts, n, strict=False))])
+        out.head = np.concatenate([p.head + k for p, k in zip(parts, n, strict=False)])
+        out.size = np.concatenate([p.size for p in parts])
+        out.features = [np.concatenate([p.features[f] for p in parts]) for f in range(len(PREFIXES) + 1)]
+        return out
+
 
 def _distinct(tokens: Tokens, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Features with the number of their occurrences after distinct words, over the chosen tokens; and of all."""
     before = np.concatenate([[np.uint64(7)], tokens.features[0][:-1]])[chosen]
-    feature = np.concatenate([f[chosen] for f in tokens.features])
-    both = np.unique(splitmix(feature) ^ np.tile(before, len(tokens.features)), return_index=True)[1]
-    values, counts = np.unique(feature[both], return_counts=True)
-    return values, counts, max(1, int(np.unique(splitmix(tokens.features[0][chosen]) ^ before).size))
+    seen = []
+    for f in tokens.features:  # words and prefixes of different lengths have different hashes
+        feature = f[chosen]
+        seen.append(np.unique(feature[np.unique(splitmix(feature) ^ before, return_index=True)[1]], return_counts=True))
+    values, counts = np.concatenate([v for v, _ in seen]), np.concatenate([c for _, c in seen])
+    order = np.argsort(values, kind="stable")
+    return values[order], counts[order], max(1, int(np.unique(splitmix(tokens.features[0][chosen]) ^ before).size))
 
 
 def marks(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
     """Sorted hashes of the features that mark toxic tokens. toxic: per token, whether its document is."""
     ones, n1, all1 = _distinct(tokens, toxic)
     zeros, n0, all0 = _distinct(tokens, ~toxic)
-    at = np.searchsorted(zeros, ones).clip(max=max(0, len(zeros) - 1))
+    at = np.searchsorted(zeros, ones).clip(max=max(0, len(zeros) - 1))  # hash 0 repeats, and is no feature
     clean = np.where(zeros[at] == ones, n0[at], 0) if len(zeros) else np.zeros(len(ones))
     found = (n1 >= LEAST) & ((n1 + 0.5) / all1 >= RATIO * (clean + 0.5) / all0) & (ones != 0)
     return ones[found]
@@ -105,7 +122,7 @@ def marks(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
 
 def active(tokens: Tokens, lexicon: np.ndarray) -> np.ndarray:
     """(features, tokens): the number of the mark, or len(lexicon) where there is none."""
-    out = np.full((len(tokens.features), len(tokens.start)), len(lexicon), np.int64)
+    out = np.full((len(tokens.features), len(tokens.start)), len(lexicon), np.int32)
     if len(lexicon):
         for k, f in enumerate(tokens.features):
             at = np.searchsorted(lexicon, f).clip(max=len(lexicon) - 1)
@@ -113,12 +130,13 @@ def active(tokens: Tokens, lexicon: np.ndarray) -> np.ndarray:
     return out
 
 
-def forward_backward(emit: np.ndarray, size: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def forward_backward(emit: np.ndarray, size: np.ndarray, trans: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginals of two-state chains: emit (chains, steps) is the score of state 1, 0 being that of state 0.
 
-    Returns P(state 1) per step, expected transitions (2, 2) over all chains, and each chain's log normaliser.
+    Returns P(state 1) per step, expected transitions (2, 2) over all chains (each as often as its weight), and each chain's log normaliser.
     """
     n, steps = emit.shape
+    times = np.ones(n) if weight is None else weight
     alpha = np.full((n, steps, 2), 0.0)
     alpha[:, 0, 1] = emit[:, 0]
     for t in range(1, steps):
@@ -135,8 +153,8 @@ def forward_backward(emit: np.ndarray, size: np.ndarray, trans: np.ndarray) -> t
         b, e = beta[live, t + 1], emit[live, t + 1]
         for i in (0, 1):
             beta[live, t, i] = np.logaddexp(trans[i, 0] + b[:, 0], trans[i, 1] + e + b[:, 1])
-            pairs[i, 0] += np.exp(alpha[live, t, i] + trans[i, 0] + b[:, 0] - log_z[live]).sum()
-            pairs[i, 1] += np.exp(alpha[live, t, i] + trans[i, 1] + e + b[:, 1] - log_z[live]).sum()
+            pairs[i, 0] += np.exp(alpha[live, t, i] + trans[i, 0] + b[:, 0] - log_z[live]) @ times[live]
+            pairs[i, 1] += np.exp(alpha[live, t, i] + trans[i, 1] + e + b[:, 1] - log_z[live]) @ times[live]
     p = np.exp(alpha[:, :, 1] + beta[:, :, 1] - log_z[:, None])
     p[np.arange(steps)[None, :] >= size[:, None]] = 0
     return p, pairs, log_z
@@ -228,10 +246,10 @@ class Crf:
                 grad[2 * k] += miss.sum()
             if len(some):
                 # one chain of each length, weighted by how many there are
-                for size, many in zip(some.tolist(), lengths[some].tolist(), strict=True):
-                    p, pairs, _ = forward_backward(np.full((1, size), self.bias), np.array([size]), self.trans)
-                    expected += many * pairs
-                    grad[2 * k] -= many * p.sum()
+                many = lengths[some].astype(float)
+                p, pairs, _ = forward_backward(np.full((len(some), int(some[-1])), self.bias), some, self.trans, many)
+                expected += pairs
+                grad[2 * k] -= many @ p.sum(1)
             grad[2 * k + 1 :] += (observed - expected).ravel()
             grad = grad / total ** 0.5 - decay * params
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
@@ -273,8 +291,7 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
     share = float(toxic.mean()) if len(toxic) else 0.0
     if not 0 < share < 1:
         return Model(None, np.array([40.0 if share else -40.0, 0, 0, 0]), np.zeros(4))
-    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    tokens = Tokens(np.frombuffer(b"".join(texts), np.uint8), off)
+    tokens = Tokens.of(texts)
     of_token = np.repeat(toxic.astype(bool), np.diff(tokens.bounds))
     crf = Crf(marks(tokens, of_token))
     act = active(tokens, crf.lexicon)
