@@ -11,20 +11,22 @@ each on its own; null ids pass through; an empty table gives an empty ledger; ex
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vouchline.llm.common import WS_CLASS, pick, table
 
-#: (name, SQL condition that means failure); a rule's bit is its place here and is never reused.
+#: (name, condition over the measurements that means failure); a rule's bit is its place here and is never reused.
 RULES = (
-    ("too_few_words", "n_words < 10"),
-    ("repeated_windows", "100 * n_repeat_words > 20 * n_words"),
-    ("symbols", "10 * n_symbols > n_words"),
-    ("duplicate_lines", "10 * n_dup_lines > 4 * n_lines AND n_lines >= 5"),
-    ("word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
-    ("stutter", "100 * n_stutter > 30 * n_words"),
-    ("very_long_words", "word_chars > 40 * n_words"),
+    ("too_few_words", lambda m: m["n_words"] < 10),
+    ("repeated_windows", lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"]),
+    ("symbols", lambda m: 10 * m["n_symbols"] > m["n_words"]),
+    ("duplicate_lines", lambda m: (10 * m["n_dup_lines"] > 4 * m["n_lines"]) & (m["n_lines"] >= 5)),
+    ("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"])),
+    ("stutter", lambda m: 100 * m["n_stutter"] > 30 * m["n_words"]),
+    ("very_long_words", lambda m: m["word_chars"] > 40 * m["n_words"]),
 )
 BIT = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 #: name and version of a policy -> the rules that reject.
@@ -41,59 +43,75 @@ def mask(policy: str) -> int:
     return sum(BIT[r] for r in POLICIES[policy])
 
 
-def _measure(df: DataFrame, text: str) -> DataFrame:
-    """Adds the measurements; helper columns start with __q."""
-    ws = f"[{WS_CLASS}]"
-    out = (
-        df.withColumn("__qt", F.coalesce(F.col(text), F.lit("")))
-        .withColumn("__qb", F.btrim(F.col("__qt"), F.lit(" \t\n\x0b\x0c\r")))
-        .withColumn("__qw", F.when(F.col("__qb") == "", F.array().cast("array<string>")).otherwise(F.split("__qb", f"{ws}+")))
-        .withColumn("__qn", F.size("__qw"))
-        .withColumn("__ql", F.filter(F.split("__qt", "\n"), lambda x: x.rlike(f"[^{WS_CLASS}]")))
-        .withColumn(
-            "__qh",
-            F.when(
-                F.col("__qn") >= 5,
-                F.expr("transform(sequence(0, greatest(__qn, 5) - 5), i -> xxhash64(get(__qw, i), get(__qw, i + 1), get(__qw, i + 2), get(__qw, i + 3), get(__qw, i + 4)))"),
-            ).otherwise(F.array().cast("array<bigint>")),
-        )
-        .withColumn("__qd", F.size(F.array_distinct("__qh")) < F.size("__qh"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    A chain of aliased columns under a filter makes the optimizer's constraint propagation grow with every
+    alias to the power of two; one expression with bound variables doesn't.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _repeated(w: Column) -> Column:
+    """Words in five-word windows that stand twice or more; windows are compared by their 64-bit hash."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(w), F.lit(5)) - 5)
+    hashes = F.when(F.size(w) >= 5, F.transform(starts, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(5))))).otherwise(F.array().cast("array<bigint>"))
+
+    def sorted_pairs(h: Column) -> Column:
         # only texts with a repeated window are sorted: (hash, place), so that equal windows are neighbours
-        .withColumn("__qs", F.when(F.col("__qd"), F.expr("array_sort(transform(__qh, (h, i) -> struct(h AS h, i AS i)))")))
-        .withColumn("__qf", F.expr("filter(__qs, (x, i) -> coalesce(get(__qs, i - 1).h = x.h, false) OR coalesce(get(__qs, i + 1).h = x.h, false))"))
-        .withColumn("__qp", F.expr("array_sort(transform(__qf, x -> x.i))"))
-    )
-    repeat = F.expr(
-        "coalesce(aggregate(__qp, struct(0L AS n, -5 AS last), (a, p) -> struct(a.n + least(5, p - a.last) AS n, p AS last), a -> a.n), 0L)"
-    )
-    return out.withColumns(
-        {
-            "n_words": F.col("__qn").cast("bigint"),
-            "word_chars": F.length(F.array_join("__qw", "")).cast("bigint"),
-            "n_symbols": (F.length("__qt") - F.length(F.regexp_replace("__qt", r"[#*$%&|<>]", ""))).cast("bigint"),
-            "n_lines": F.size("__ql").cast("bigint"),
-            "n_dup_lines": (F.size("__ql") - F.size(F.array_distinct("__ql"))).cast("bigint"),
-            "n_repeat_words": repeat,
-            "n_stutter": F.expr("CAST(size(filter(__qw, (x, i) -> i > 0 AND x = get(__qw, i - 1))) AS bigint)"),
+        pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), pairs).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+
+    def places(s: Column) -> Column:
+        same = lambda x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
+        return F.array_sort(F.transform(F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"]))
+
+    def covered(p: Column) -> Column:
+        start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-5).alias("last"))
+        return F.aggregate(p, start, lambda a, i: F.struct((a["n"] + F.least(F.lit(5), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
+
+    return _let(hashes, lambda h: _let(sorted_pairs(h), lambda s: covered(places(s))))
+
+
+def measures(text: Column) -> Column:
+    """struct of all measurements of a text and its ``fail_bits``."""
+
+    def of(t: Column, w: Column, lines: Column) -> Column:
+        values = {
+            "n_words": F.size(w).cast("bigint"),
+            "word_chars": F.length(F.array_join(w, "")).cast("bigint"),
+            "n_symbols": (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]", ""))).cast("bigint"),
+            "n_lines": F.size(lines).cast("bigint"),
+            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint"),
+            "n_repeat_words": _repeated(w),
+            "n_stutter": F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))).cast("bigint"),
         }
-    )
+        return F.struct(*(values[m].alias(m) for m in MEASURES))
 
+    def words(t: Column) -> Column:
+        return _let(F.btrim(t, F.lit(" \t\n\x0b\x0c\r")), lambda b: F.when(b == "", F.array().cast("array<string>")).otherwise(F.split(b, f"[{WS_CLASS}]+")))
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, measurements, ``fail_bits``. Reads each text once, without a shuffle."""
-    measured = _measure(pick(docs, id_col, text_col), text_col).select(id_col, *MEASURES)
-    return measured.withColumn("fail_bits", bits())
+    def lines(t: Column) -> Column:
+        return F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{WS_CLASS}]"))
 
+    known = _let(F.coalesce(text, F.lit("")), lambda t: _let(words(t), lambda w: _let(lines(t), lambda n: of(t, w, n))))
+    return _let(known, lambda m: F.struct(*(m[k].alias(k) for k in MEASURES), fail_bits(m).alias("fail_bits")))
 
-def bits():
+
+def fail_bits(m: Column) -> Column:
     total = F.lit(0).cast("bigint")
     for i, (_, fails) in enumerate(RULES):
-        total = total.bitwiseOR(F.expr(f"CASE WHEN {fails} THEN {1 << i}L ELSE 0L END"))
+        total = total.bitwiseOR(F.when(fails(m), F.lit(1 << i)).otherwise(0).cast("bigint"))
     return total
 
 
-def passes(policy: str, column: str = "fail_bits"):
-    return F.col(column).bitwiseAND(F.lit(mask(policy)).cast("bigint")) == 0
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, measurements, ``fail_bits``. Reads each text once, without a shuffle."""
+    return pick(docs, id_col, text_col).select(id_col, measures(F.col(text_col)).alias("m")).select(id_col, "m.*")
+
+
+def passes(policy: str, column: Column | None = None) -> Column:
+    return (F.col("fail_bits") if column is None else column).bitwiseAND(F.lit(mask(policy)).cast("bigint")) == 0
 
 
 def ablation(entries: DataFrame, *policies: str) -> DataFrame:
@@ -117,8 +135,7 @@ def apply(docs: DataFrame, policy: str = CURRENT, text_col: str = "text") -> Dat
     slots = [f"__d{i}" for i in range(len(docs.columns))]
     named = docs.toDF(*slots)
     text = slots[docs.columns.index(text_col)]
-    judged = _measure(named, text).withColumn("__qbits", bits()).where(passes(policy, "__qbits"))
-    return judged.select(*slots).toDF(*docs.columns)
+    return named.where(passes(policy, measures(F.col(text))["fail_bits"])).toDF(*docs.columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
