@@ -1,9 +1,12 @@
 """URL filter: explicit rules first, then trust and distrust propagated over host links.
 
-Trust starts at hosts in proportion to their pages that a rule allows and flows along links (personalised
-PageRank with the seeds as teleport); distrust starts in proportion to blocked pages and flows against links,
-to hosts that link to distrusted ones. Scores keep the seeds' scale: a host without links keeps its own
-share. A page without a rule is blocked if its host's distrust is at least ``THRESHOLD`` and over its trust.
+Trust starts at hosts in proportion to their pages that a rule allows and goes along links; distrust starts in
+proportion to blocked pages and goes against links, to hosts that link to distrusted ones. A host's score is
+the mean over its links on that side, damped, and no less than its own share: distrust over the links it
+makes, trust over those it gets. So scores lie between 0 and 1 whatever the graph's size, and how many others
+link to a blocked host doesn't matter. A page without a rule is blocked if its host's distrust is at least
+``THRESHOLD`` and over its trust. ``propagate`` also has the flow that keeps mass (personalised PageRank with
+the seeds as teleport).
 
 Links are the absolute and protocol-relative ``href`` targets of the pages; a link from a host to itself says
 nothing about either and is left out. All pages of a host pair are counted before the graph is used, so the
@@ -58,9 +61,12 @@ def host_edges(pages: DataFrame, host: str = "host", html: str = "html") -> Data
     return links.select("source", _lower(F.col("target")).alias("target")).where("source <> target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, mean: bool = False) -> DataFrame:
     """seeds (host, trust, distrust) -> host, trust, distrust over all hosts of seeds and edges.
 
+    Without ``mean`` a host deals its score out to its ways on; with it a host takes the mean over its ways in,
+    or its seed if that is more.
+
     Both propagations run as one: flow (kind, a, b, share) sends kind's score from a to b. Every fourth round is
     a written table, so lineage is short and a lost executor repeats four rounds at most.
     """
@@ -74,13 +80,15 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     # a host without a way on keeps its score
     state = stock.join(out.select("kind", F.col("a").alias("host"), F.lit(True).alias("flows")), ["kind", "host"], "left").withColumn("flows", F.coalesce("flows", F.lit(False))).withColumn("score", F.col("seed"))
     state = materialise(state, "scores")
-    flow = materialise(ways.join(out, ["kind", "a"]).select("kind", "a", "b", (F.col("weight") / F.col("total")).alias("share")), "flow")
+    totals = ways.groupBy("kind", "b").agg(F.sum("weight").alias("total")) if mean else out
+    flow = materialise(ways.join(totals, ["kind", "b" if mean else "a"]).select("kind", "a", "b", (F.col("weight") / F.col("total")).alias("share")), "flow")
     for done in range(0, rounds, CHECK_EVERY):
         now = state.withColumn("old", F.col("score"))
         for _ in range(CHECK_EVERY):
             sent = flow.join(now.select("kind", F.col("host").alias("a"), "score"), ["kind", "a"]).groupBy("kind", F.col("b").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
             kept = F.coalesce("got", F.lit(0.0)) + F.when(F.col("flows"), 0.0).otherwise(F.col("score"))
-            now = now.join(sent, ["kind", "host"], "left").withColumn("score", (1 - damping) * F.col("seed") + damping * kept).drop("got")
+            score = F.greatest("seed", damping * F.coalesce("got", F.lit(0.0))) if mean else (1 - damping) * F.col("seed") + damping * kept
+            now = now.join(sent, ["kind", "host"], "left").withColumn("score", score).drop("got")
         after = materialise(now, "scores")
         forget(state)
         state = after.drop("old")
@@ -100,7 +108,7 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     share = lambda ok: F.avg(F.when(F.col("allowed") == ok, 1.0).otherwise(0.0))
     seeds = materialise(ruled.where("host <> ''").groupBy("host").agg(share(True).alias("trust"), share(False).alias("distrust")), "seeds")
     edges = materialise(host_edges(known), "host-edges")
-    scores = materialise(propagate(seeds, edges), "host-scores")
+    scores = materialise(propagate(seeds, edges, mean=True), "host-scores")
     small = scores.count() <= BROADCAST_HOSTS
     told = scores.select("host", F.col("trust").alias("host_trust"), F.col("distrust").alias("host_distrust"))
     out = ruled.drop("html").join(F.broadcast(told) if small else told, "host", "left")
