@@ -18,6 +18,7 @@ repeated rows count as pages each; null html has no links; an empty table gives
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +30,8 @@ from vouchline.llm.common import forget, materialise, pick, table
 RULES = (("net/", False), ("example.net/en/", True), ("example.com/de/", False), ("org/fr/", True))
 DAMPING = 0.85
 THRESHOLD = 0.5
-ROUNDS, CHECK_EVERY, TOLERANCE = 40, 4, 1e-6
+#: TOLERANCE bounds what all rounds still to come could change.
+CHECK_EVERY, TOLERANCE = 4, 1e-6
 BROADCAST_HOSTS = 200_000
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _HREF = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -61,14 +63,15 @@ def host_edges(pages: DataFrame, host: str = "host", html: str = "html") -> Data
     return links.select("source", _lower(F.col("target")).alias("target")).where("source <> target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, mean: bool = False) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, mean: bool = False) -> DataFrame:
     """seeds (host, trust, distrust) -> host, trust, distrust over all hosts of seeds and edges.
 
     Without ``mean`` a host deals its score out to its ways on; with it a host takes the mean over its ways in,
     or its seed if that is more.
 
     Both propagations run as one: flow (kind, a, b, share) sends kind's score from a to b. Every fourth round is
-    a written table, so lineage is short and a lost executor repeats four rounds at most.
+    a written table, so lineage is short and a lost executor repeats four rounds at most. Rounds go on until the
+    tolerance holds; a round's change shrinks by the damping, so their number grows with the log of the seeds' mass only.
     """
     spark = seeds.sparkSession
     ways = edges.select(F.lit("trust").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), "weight").unionByName(
@@ -77,22 +80,25 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     out = ways.groupBy("kind", "a").agg(F.sum("weight").alias("total"))
     hosts = seeds.select("host").unionByName(edges.select(F.col("source").alias("host"))).unionByName(edges.select(F.col("target").alias("host"))).distinct()
     stock = hosts.join(seeds, "host", "left").select("host", F.explode(F.create_map(F.lit("trust"), F.coalesce("trust", F.lit(0.0)), F.lit("distrust"), F.coalesce("distrust", F.lit(0.0)))).alias("kind", "seed"))
-    # a host without a way on keeps its score
+    # a host without a way on keeps its score: that loop's sum is known, so it takes no rounds
     state = stock.join(out.select("kind", F.col("a").alias("host"), F.lit(True).alias("flows")), ["kind", "host"], "left").withColumn("flows", F.coalesce("flows", F.lit(False))).withColumn("score", F.col("seed"))
     state = materialise(state, "scores")
     totals = ways.groupBy("kind", "b").agg(F.sum("weight").alias("total")) if mean else out
     flow = materialise(ways.join(totals, ["kind", "b" if mean else "a"]).select("kind", "a", "b", (F.col("weight") / F.col("total")).alias("share")), "flow")
-    for done in range(0, rounds, CHECK_EVERY):
+    mass = 1.0 if mean else max(1.0, state.agg(F.sum("seed")).first()[0] or 0.0)
+    least = TOLERANCE * (1 - damping) ** 2 / damping
+    for _ in range(0, math.ceil(math.log(least / mass) / math.log(damping)) + CHECK_EVERY, CHECK_EVERY):
         now = state.withColumn("old", F.col("score"))
         for _ in range(CHECK_EVERY):
             sent = flow.join(now.select("kind", F.col("host").alias("a"), "score"), ["kind", "a"]).groupBy("kind", F.col("b").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-            kept = F.coalesce("got", F.lit(0.0)) + F.when(F.col("flows"), 0.0).otherwise(F.col("score"))
-            score = F.greatest("seed", damping * F.coalesce("got", F.lit(0.0))) if mean else (1 - damping) * F.col("seed") + damping * kept
+            got = damping * F.coalesce("got", F.lit(0.0))
+            score = F.greatest("seed", got) if mean else F.when(F.col("flows"), (1 - damping) * F.col("seed") + got).otherwise(F.col("seed") + got / (1 - damping))
             now = now.join(sent, ["kind", "host"], "left").withColumn("score", score).drop("got")
         after = materialise(now, "scores")
         forget(state)
         state = after.drop("old")
-        if (after.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0) < TOLERANCE:
+        change = F.abs(F.col("score") - F.col("old"))
+        if (after.agg(F.max(change) if mean else F.sum(change)).first()[0] or 0.0) < least:
             break
         state._vouchline_path = after._vouchline_path
     return state.groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")))
