@@ -316,11 +316,15 @@ def train(docs: DataFrame, labels: DataFrame, trains: str, id_col: str = "doc_id
     texts = pick(docs, id_col, text_col).where(F.col(text_col).isNotNull())
     # labels without a text don't use up the bound: only ids that occur are drawn from
     known = known.join(texts.select(id_col).distinct(), id_col, "left_semi")
+    toxic, clean = known.agg(F.count_if(F.col("__toxic") > 0), F.count_if(F.col("__toxic") <= 0)).first()
     drawn = [known.where(f"__toxic {test}").orderBy(F.xxhash64(id_col), id_col).limit(most) for test, most in (("> 0", MAX_TOXIC), ("<= 0", MAX_CLEAN))]
     sample = drawn[0].unionByName(drawn[1])
     rows = texts.join(F.broadcast(sample), id_col).groupBy(id_col).agg(F.min(text_col).alias("t"), F.max("__toxic").alias("y")).select("t", "y", id_col).collect()  # at most MAX_TOXIC + MAX_CLEAN rows
     rows = {r[0]: (int(r[1] > 0)) for r in sorted(rows, key=lambda r: (r[2], r[0]))}  # equal texts once
-    return fit([t.encode() for t in rows], np.array(list(rows.values()), float))
+    model = fit([t.encode() for t in rows], np.array(list(rows.values()), float))
+    # the classes are drawn at different rates: the odds of all labelled rows are the sample's over the rates' ratio
+    model.weights[0] -= np.log(min(1.0, MAX_TOXIC / max(toxic, 1)) / min(1.0, MAX_CLEAN / max(clean, 1)))
+    return model
 
 
 def tag(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
