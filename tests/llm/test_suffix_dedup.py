@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vouchline.llm import suffix_dedup as sd
@@ -63,6 +64,22 @@ def test_removed_bytes(spark, block):
     assert sum(w[1][1] > 0 for w in want) > 15
 
 
+def test_long_texts_in_parts_and_shuffled_joins(spark, monkeypatch):
+    rng = random.Random(9)
+    morse = "".join("ab"[i.bit_count() % 2] for i in range(4096))
+    passage = "".join(rng.choice("abcdefgh") for _ in range(900))
+    noise = lambda n: "".join(rng.choice("ijklmnop ") for _ in range(n))
+    texts = [morse, morse.translate(str.maketrans("ab", "ba")), noise(3000) + passage + noise(1300) + passage, "q" * 5000, noise(700) + passage[100:700], noise(2500)]
+    monkeypatch.setattr(sd, "_CHUNK", 500)
+    monkeypatch.setattr(sd, "BROADCAST_IDS", 0)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute([t.encode() for t in texts])
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.removal(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want and want[2][1] > 1500
+    found = [b for b in sd._segment_batches([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([texts[2]])], names=["rid", "text"])])]
+    assert len(found) > 5 and sum(sum(b.column(2).to_pylist()) for b in found) == len(texts[2]) - 199
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert sd.removal(docs).count() == 0

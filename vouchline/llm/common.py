@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (makes pa.compute available)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 #: ASCII white space that separates words in every contract.
 WS_CLASS = r"\x20\x09-\x0D"
@@ -31,10 +32,13 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where none is set."""
+    """The folder that the cluster shares; a temporary one only on a local master where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        context = spark.sparkContext
+        current = context._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: executors share no folder")
         root = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="vouchline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -108,40 +112,25 @@ def splitmix(x: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-_BASE = 0xD6E8FEB86659FD93
-_powers: dict[str, np.ndarray] = {}
+def span_bytes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The bytes of ordered, disjoint spans as a binary column."""
+    edge = np.zeros(len(buf) + 1, np.int8)
+    edge[start] = 1
+    edge[end] -= 1
+    data = np.ascontiguousarray(buf[np.cumsum(edge[:-1], dtype=np.int8) > 0])
+    at = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(data)])
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("p", ())) < n:
-        m = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            for key, base in (("p", _BASE), ("q", pow(_BASE, -1, 1 << 64))):
-                steps = np.full(m, base, np.uint64)
-                steps[0] = 1
-                _powers[key] = np.multiply.accumulate(steps)
-    return _powers["p"][:n], _powers["q"][:n]
+def distinct_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """A number for each span, and the distinct contents in the order of their numbers; compared byte by byte."""
+    coded = span_bytes(buf, start, end).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
 
 
-_BYTE_VALUES = splitmix(np.arange(256, dtype=np.uint64) + np.uint64(77))
-
-
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """n + 1 prefix sums of values[i] * base**i modulo 2**64."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum(values * _power(len(values))[0], out=out[1:])
-    return out
-
-
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans, alike wherever the same bytes stand."""
-    with np.errstate(over="ignore"):
-        return splitmix((prefix[end] - prefix[start]) * _power(len(prefix))[1][start] + (end - start).astype(np.uint64))
-
-
-def byte_prefix(buf: np.ndarray) -> np.ndarray:
-    return prefix_hash(_BYTE_VALUES[buf])
+def word_ids(words: list[bytes]) -> np.ndarray:
+    """64-bit XXH3 of each word: its name wherever words of different tasks meet."""
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 _IS_WS = np.zeros(256, bool)

@@ -8,10 +8,14 @@
    again). Kasai's rule gives common prefixes, all segments of a shard
    in step; neighbours that share 200 bytes form a group, duplicated if it has two occurrences in all.
 3. Cross-shard merging. An anchor with more distinct segments than ``BLOCK`` is sorted in several blocks;
-   their groups' sorted fingerprints are cut into ranges and merged by binary search, range by range.
+   their windows' sorted names are cut into ranges and merged by binary search, range by range.
+
+Segments, and windows that go from block to block, are named by their 128-bit XXH3. Long texts are cut into
+parts of ``_CHUNK`` windows that overlap by 199 bytes, so no task holds more of a text than that while it hashes.
 
 Defined results: null and empty texts have no bytes; matches never cross documents; repeated rows duplicate
-each other; null ids pass through; an empty table gives an empty result; other columns are ignored.
+each other; null ids pass through; an empty table gives an empty result; other columns, also such that differ
+from the two in case only, are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouchline.llm.common import byte_prefix, doc_chunks, materialise, pick, span_hash, table, text_bytes
-from vouchline.llm.common import _power
+from xxhash import xxh3_128_digest
+
+from vouchline.llm.common import doc_chunks, materialise, pick, splitmix, table, text_bytes
 
 WINDOW = 200
 GRAM = 32
@@ -33,7 +38,7 @@ BLOCK = 8_000
 _CHUNK = 2_000_000
 _SHARD_BYTES = 2_000_000
 #: Below so many ids a list of documents is broadcast (8 bytes each).
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 
 
 def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -45,6 +50,22 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[:-rest], v[rest:]) if rest else v
 
 
+_BYTE_VALUES = splitmix(np.arange(256, dtype=np.uint64) + np.uint64(77))
+
+
+def _gram_hash(buf: np.ndarray) -> np.ndarray:
+    """A hash of every 32-byte string, doubled from single bytes. Different strings with one hash only share a shard."""
+    h, width = _BYTE_VALUES[buf], 1
+    with np.errstate(over="ignore"):
+        while width < GRAM:
+            h = h[:-width] * np.uint64(0xD6E8FEB86659FD93) + h[width:]
+            h ^= h >> np.uint64(31)
+            width *= 2
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
 def segments_of(buf: np.ndarray, off: np.ndarray):
     """(document, first window, windows, anchor, segment hash, weight) of documents laid end to end.
 
@@ -54,12 +75,7 @@ def segments_of(buf: np.ndarray, off: np.ndarray):
     fits = np.flatnonzero(np.diff(off) >= WINDOW)
     if not len(fits):
         return None
-    prefix = byte_prefix(buf)
-    with np.errstate(over="ignore"):
-        h = (prefix[GRAM:] - prefix[:-GRAM]) * _power(n + 1)[1][: n - GRAM + 1]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
+    h = _gram_hash(buf)
     # the place of a hash is kept in its twelve low bits; where a window's places pass a multiple of 4096, those
     # of the second coding don't, so the leftmost of equal hashes is found whatever the alignment
     width, at = WINDOW - GRAM + 1, np.arange(len(h), dtype=np.int64)
@@ -77,19 +93,34 @@ def segments_of(buf: np.ndarray, off: np.ndarray):
     moves = np.zeros(len(v), np.int64)
     np.cumsum(chosen[1:] != chosen[:-1], out=moves[1:])
     doc = np.searchsorted(off, first, "right") - 1
-    return doc, first - off[doc], last - first + 1, anchor[first].view(np.int64), span_hash(prefix, first, last + WINDOW).view(np.int64), 1 + (moves[last] != moves[first])
+    raw = memoryview(np.ascontiguousarray(buf))
+    names = [xxh3_128_digest(raw[a:b]) for a, b in zip(first.tolist(), (last + WINDOW).tolist(), strict=True)]
+    return doc, first - off[doc], last - first + 1, anchor[first].view(np.int64), names, 1 + (moves[last] != moves[first])
+
+
+def _parts(off: np.ndarray):
+    """Runs of documents of about ``_CHUNK`` bytes, and parts of longer ones: (first document, end, first byte of the part, its end)."""
+    for i, j in doc_chunks(off, _CHUNK):
+        start, end = int(off[i]), int(off[j])
+        if end - start <= 2 * _CHUNK:
+            yield i, j, start, end
+        else:
+            for a in range(start, max(start + 1, end - WINDOW + 1), _CHUNK):
+                yield i, j, a, min(end, a + _CHUNK + WINDOW - 1)
 
 
 def _segment_batches(batches):
     for batch in batches:
         buf, off = text_bytes(batch.column(1))
         rid = batch.column(0).to_numpy(zero_copy_only=False)
-        for i, j in doc_chunks(off, _CHUNK):
-            found = segments_of(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+        for i, j, start, end in _parts(off):
+            inner = np.clip(off[i : j + 1], start, end) - start
+            found = segments_of(buf[start:end], inner)
             if found is not None:
                 doc, at, n, anchor, seg, weight = found
+                at = at + (start - off[i] if j - i == 1 else 0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rid[i + doc]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(seg), pa.array(weight.astype(np.int8))],
+                    [pa.array(rid[i + doc]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(seg, pa.binary()), pa.array(weight.astype(np.int8))],
                     names=["rid", "at", "n", "anchor", "seg", "weight"],
                 )
 
@@ -186,9 +217,9 @@ def _ranges(offsets: np.ndarray) -> np.ndarray:
     return np.stack([offsets[cut], offsets[np.append(cut[1:], len(offsets)) - 1]], 1).astype(np.int32).ravel()
 
 
-_SHARD_SCHEMA = "anchor bigint, seg bigint, ranges array<int>, block int, piece int, prints binary, spots binary"
+_SHARD_SCHEMA = "anchor bigint, seg binary, ranges array<int>, block int, piece int, prints binary, spots binary"
 _NAMES = [c.split()[0] for c in _SHARD_SCHEMA.split(", ")]
-_TYPES = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+_TYPES = [pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
 
 def _sort_shards(batches):
@@ -215,8 +246,8 @@ def _sort_shards(batches):
             if hit.any():
                 out.append((r[1], r[2], _ranges(mine[hit]), None, None, None, None))
             if r[4] > 1:
-                prints = span_hash(byte_prefix(np.frombuffer(r[6], np.uint8)), mine, mine + WINDOW)
-                piece = (prints >> np.uint64(32)).astype(np.int64) * r[4] >> 32
+                prints = np.array([xxh3_128_digest(r[6][o : o + WINDOW]) for o in mine.tolist()], "S16")
+                piece = (np.frombuffer(prints.tobytes(), ">u4")[::4].astype(np.int64) * r[4]) >> 32
                 for p in np.unique(piece).tolist():
                     sel = piece == p
                     out.append((r[1], r[2], None, r[5], p, prints[sel].tobytes(), mine[sel].astype(np.int32).tobytes()))
@@ -239,22 +270,22 @@ def _shard_batch(rows):
 
 
 def _merge_pieces(batches):
-    """Rows (anchor, piece, seg, prints, spots) sorted by (anchor, piece): fingerprints of one range, from several blocks.
+    """Rows (anchor, piece, seg, prints, spots) sorted by (anchor, piece): names of one range, from several blocks.
 
-    Each segment's fingerprints are looked up in the sorted fingerprints of the range by binary search.
+    Each segment's names are looked up in the sorted names of the range by binary search.
     """
 
     def work(rows):
-        every = np.sort(np.concatenate([np.frombuffer(r[3], np.uint64) for r in rows]))
+        every = np.sort(np.concatenate([np.frombuffer(r[3], "S16") for r in rows]))
         for r in rows:
-            own = np.frombuffer(r[3], np.uint64)
+            own = np.frombuffer(r[3], "S16")
             hit = np.searchsorted(every, own, "right") - np.searchsorted(every, own, "left") > 1
             if hit.any():
                 yield r[0], r[2], _ranges(np.sort(np.frombuffer(r[4], np.int32)[hit]))
 
     def flush(rows):
         got = list(work(rows))
-        return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.list_(pa.int32()))], names=["anchor", "seg", "ranges"])
+        return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary()), pa.array([g[2] for g in got], pa.list_(pa.int32()))], names=["anchor", "seg", "ranges"])
 
     pending = []
     for batch in batches:
@@ -278,23 +309,28 @@ def _cut_texts(batches):
                 rows.append((w["key"], w["anchor"], w["seg"], w["copies"], w["blocks"], w["block"], buf[s : s + w["n"] + WINDOW - 1].tobytes()))
         for k in range(0, len(rows), 2000):
             part = rows[k : k + 2000]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], t) for c, t in enumerate([pa.int64()] * 6 + [pa.binary()])], names=["key", "anchor", "seg", "copies", "blocks", "block", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], t) for c, t in enumerate([pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 3, pa.binary()])], names=["key", "anchor", "seg", "copies", "blocks", "block", "text"])
 
 
-def _among(docs: DataFrame, ids: DataFrame, n: int, how: str) -> DataFrame:
-    return docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "rid", how)
+def _among(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """For at most BROADCAST_IDS ids: only the texts that matter are shuffled."""
+    return docs.join(F.broadcast(ids), "rid", how)
 
 
 def duplicated(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """docs (rid, text) -> rid, windows (array of struct(at, ranges)): duplicated window starts, relative to ``at``."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    every = materialise(docs.mapInArrow(_segment_batches, "rid bigint, at int, n int, anchor bigint, seg bigint, weight tinyint"), "segments")
+    every = materialise(docs.mapInArrow(_segment_batches, "rid bigint, at int, n int, anchor bigint, seg binary, weight tinyint"), "segments")
     met = every.groupBy("anchor").agg(F.sum("weight").alias("met")).where("met > 1").select("anchor")
     shared = materialise(every.join(met, "anchor", "left_semi"), "shared-segments")
     distinct = shared.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("copies"), F.max("weight").alias("weight"), F.min(F.struct("rid", "at", "n")).alias("rep"))
     distinct = materialise(distinct, "distinct-segments")
     kinds = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("weight").alias("self"), F.sum(F.col("rep.n") + WINDOW - 1).alias("bytes"))
-    known = distinct.join(kinds, "anchor")
+    kinds = materialise(kinds, "anchors")
+    # anchors with over a thousandth of the segments are fewer than a thousand: those go by broadcast, the rest by key
+    often = max(100, distinct.count() // 1000)
+    hot = F.broadcast(kinds.where(F.col("kinds") > often))
+    known = distinct.join(hot, "anchor").unionByName(distinct.join(hot, "anchor", "left_anti").join(kinds.where(F.col("kinds") <= often), "anchor"))
     # one kind of segment that doesn't repeat itself: a suffix array of one text, whose windows all have its copies
     alone = known.where("kinds = 1 AND self = 1").select("anchor", "seg", F.expr("array(0, rep.n - 1)").alias("ranges"))
     sort = known.where("kinds > 1 OR self > 1").withColumn("blocks", F.expr(f"CAST(greatest(ceil(kinds / {block}D), ceil(bytes / {2.0 * _SHARD_BYTES}D)) AS bigint)")).withColumn("block", F.expr("pmod(xxhash64(seg), blocks)"))
@@ -302,14 +338,15 @@ def duplicated(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     wanted = sort.select(F.col("rep.rid").alias("rid"), F.struct("key", "anchor", "seg", "copies", "blocks", "block", F.col("rep.at").alias("at"), F.col("rep.n").alias("n")).alias("w"))
     wanted = materialise(wanted.groupBy("rid").agg(F.collect_list("w").alias("wanted")), "wanted-segments")
     holders = wanted.select("rid")
-    held = _among(docs, holders, holders.count(), "left_semi").join(wanted, "rid").select("text", "wanted")
-    texts = held.mapInArrow(_cut_texts, "key bigint, anchor bigint, seg bigint, copies bigint, blocks bigint, block bigint, text binary")
+    n = holders.count()
+    held = (_among(docs, holders, "left_semi") if n <= BROADCAST_IDS else docs).join(wanted, "rid").select("text", "wanted")
+    texts = held.mapInArrow(_cut_texts, "key bigint, anchor bigint, seg binary, copies bigint, blocks bigint, block bigint, text binary")
     # several rows of one id and text would send a segment twice
     placed = texts.repartition(parts, "key").dropDuplicates(["key", "anchor", "seg"]).sortWithinPartitions("key", "anchor", "seg")
     sorted_ = materialise(placed.mapInArrow(_sort_shards, _SHARD_SCHEMA), "sorted-shards")
     settled = sorted_.where("ranges IS NOT NULL").select("anchor", "seg", "ranges")
     open_ = sorted_.where("ranges IS NULL").select("anchor", "piece", "seg", "prints", "spots")
-    merged = open_.repartition(parts, "anchor", "piece").sortWithinPartitions("anchor", "piece").mapInArrow(_merge_pieces, "anchor bigint, seg bigint, ranges array<int>")
+    merged = open_.repartition(parts, "anchor", "piece").sortWithinPartitions("anchor", "piece").mapInArrow(_merge_pieces, "anchor bigint, seg binary, ranges array<int>")
     found = alone.unionByName(settled).unionByName(merged)
     return shared.join(found, ["anchor", "seg"]).groupBy("rid").agg(F.collect_set(F.struct("at", "ranges")).alias("windows"))
 
@@ -348,11 +385,12 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
     keyed = docs.select(F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).alias("text"), F.col(id_col).alias("__id"))
     hits = materialise(duplicated(keyed.select("rid", "text"), block), "duplicated")
     ids = hits.select("rid")
-    n = ids.count()
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    clean = _among(keyed, ids, n, "left_anti").select(F.col("__id").alias(id_col), "text").mapInArrow(_digest_batches, schema)
-    cut = _among(keyed, ids, n, "left_semi").join(hits, "rid").select(F.col("__id").alias(id_col), "text", "windows").mapInArrow(_digest_batches, schema)
+    if ids.count() > BROADCAST_IDS:  # one shuffle of the texts, by their own hash
+        return keyed.join(hits, "rid", "left").select(F.col("__id").alias(id_col), "text", "windows").mapInArrow(_digest_batches, schema)
+    clean = _among(keyed, ids, "left_anti").select(F.col("__id").alias(id_col), "text").mapInArrow(_digest_batches, schema)
+    cut = _among(keyed, ids, "left_semi").join(hits, "rid").select(F.col("__id").alias(id_col), "text", "windows").mapInArrow(_digest_batches, schema)
     return clean.unionByName(cut)
 
 

@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from vouchline.llm.common import LOWER, byte_prefix, doc_chunks, pick, span_hash, splitmix, table, text_bytes
+from vouchline.llm.common import LOWER, distinct_spans, doc_chunks, pick, splitmix, table, text_bytes, word_ids
 
 MAX_TOXIC, MAX_CLEAN = 1200, 1800
 PREFIXES = (4, 5, 6, 7)
@@ -75,13 +76,10 @@ class Tokens:
         new |= place % LONGEST == 0
         self.head = np.flatnonzero(new)
         self.size = np.diff(np.append(self.head, n))
-        prefix = byte_prefix(lowered(buf))
-        self.features = [span_hash(prefix, self.start, self.end)]
-        for k in PREFIXES:
-            cut = np.minimum(self.start + k, self.end)
-            h = splitmix(span_hash(prefix, self.start, cut) ^ np.uint64(k)) | np.uint64(1)
-            h[self.end - self.start < k] = 0  # shorter words have no such prefix
-            self.features.append(h)
+        codes, words = distinct_spans(lowered(buf), self.start, self.end)
+        self.features = [word_ids(words)[codes]]
+        for k in PREFIXES:  # shorter words have no such prefix
+            self.features.append(np.fromiter((xxh3_64_intdigest(w[:k], k) | 1 if len(w) >= k else 0 for w in words), np.uint64, len(words))[codes])
 
     @classmethod
     def of(cls, texts: list[bytes], part: int = 1_000_000) -> Tokens:
