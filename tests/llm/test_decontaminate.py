@@ -41,3 +41,31 @@ def test_containment_and_cleaning(spark):
     assert kept.columns == frame.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, *_ in docs if not any(x == d for x, _ in want))
     assert decontaminate.containment(frame, bench.limit(0)).count() == 0 and decontaminate.containment(frame.limit(0), bench).count() == 0
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    first, last = " ".join(f"w{i}" for i in range(12)), " ".join(f"w{i}" for i in range(8, 20))
+    docs = spark.createDataFrame([(1, first, "a"), (1, last, "b"), (2, first, "c"), (None, first, "d"), (None, last, "e"), (3, item, "f"), (3, item, "f")], "doc_id long, text string, TEXT string")
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    got = {(r.doc_id, r.n_shared) for r in decontaminate.containment(docs, bench).collect()}
+    assert got == {(1, 16), (None, 16), (3, 16)}
+    assert sorted(r.doc_id or 0 for r in decontaminate.clean(docs, bench).collect()) == [0, 0, 1, 1, 2]
+
+
+def test_sketches_are_kept_by_size(spark):
+    items = spark.createDataFrame([(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in (5, 9, 20, 100)], "item_id long, text string")
+    sketch = decontaminate.sketches(decontaminate._words(items, "text").select("item_id", "__w", "__m"))
+    kept = {r.item_id: r for r in sketch.groupBy("item_id", "upper").count().collect()}
+    for n, r in kept.items():
+        shingles_ = n - 4
+        assert shingles_ <= r.upper < 2 * shingles_ or r.upper == shingles_ == 1
+        assert r["count"] == min(shingles_, r.upper - math.ceil(0.8 * r.upper - 1e-9) + 1)
+    assert decontaminate.bars(sketch).count() == len({r.upper for r in kept.values()})
+
+
+def test_long_text(spark):
+    long = " ".join(f"x{i}" for i in range(120_000))
+    item = " ".join(f"x{i}" for i in range(70_000, 70_030))
+    docs = spark.createDataFrame([(1, long)], "doc_id long, text string")
+    assert [r.n_shared for r in decontaminate.containment(docs, spark.createDataFrame([(0, item)], "item_id long, text string")).collect()] == [26]

@@ -38,3 +38,22 @@ def test_redaction_keeps_rows_and_columns(spark):
     rows = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     assert rows == {1: 'a [REDACTED]" é', 2: None, 3: "clean"}
     assert secrets.redact(docs.limit(0)).columns == docs.columns
+
+
+def test_published_checksum_vectors():
+    hit = lambda t: [(secrets.KINDS[k], t[s:e]) for s, k, e in secrets.scan(t.encode())]
+    for number in ("4111 1111 1111 1111", "5500-0000-0000-0004", "378282246310005", "6011111111111117"):
+        assert hit(f"my card number: {number} ok") == [("card", f"card number: {number}")]
+        assert hit(f"card {number[:-1]}{(int(number[-1]) + 1) % 10} ok") == []
+    for account in ("GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "FR14 2004 1010 0505 0001 3M02 606", "NO9386011117947"):
+        assert hit(f"IBAN: {account} AND MORE") == [("iban", f"IBAN: {account}")]
+        assert hit(f"IBAN: {account[:2]}{(int(account[2]) + 1) % 10}{account[3:]}") == []
+    assert hit("no keyword 4111 1111 1111 1111") == []
+
+
+def test_long_text_empty_table_and_clashing_names(spark):
+    text = "filler é " * 200_000 + "token=abcdef99"
+    docs = spark.createDataFrame([(1, text, "token=abcdef11", 7)], "doc_id long, text string, TEXT string, DOC_ID int")
+    assert secrets.find(docs).first().spans == f"assign:{len(text) - 14}:{len(text)}"
+    assert secrets.redact(docs).first()[1].endswith("[REDACTED]") and secrets.redact(docs).columns == docs.columns
+    assert secrets.find(docs.limit(0)).count() == 0

@@ -4,6 +4,8 @@ import base64
 import gzip
 import hashlib
 
+import pytest
+
 from vouchline.llm import warc
 
 
@@ -28,6 +30,27 @@ def test_round_trip_at_any_cut(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(pages.limit(0), str(tmp_path / "e"))).count() == 0
 
 
+def test_loss_is_an_error(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>" * 400, "x") for i in range(30)], "page_id long, url string, html string, HTML string")
+    manifest = warc.write_archives(pages.coalesce(1), str(tmp_path / "w"))
+    assert warc.complete(warc.read_archives(manifest, 300), manifest).count() == 30
+    path = manifest.first().path
+    whole = open(path, "rb").read()
+    for harmed in (whole[:-40], whole[: len(whole) // 2] + b"\0" * 40 + whole[len(whole) // 2 + 40 :]):
+        with open(path, "wb") as f:
+            f.write(harmed)
+        with pytest.raises(Exception, match="cut short|damaged|records read"):
+            warc.complete(warc.read_archives(manifest, 300), manifest)
+
+
+def test_a_range_reads_little_beyond_its_end(tmp_path):
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(b"\0" * 3_000_000)
+    with open(path, "rb") as f:
+        window = warc._Window(f, 10)
+        assert window.find(10, 20) == -1 and f.tell() <= 10 + warc._READ
+
+
 def test_false_magic_is_passed_over(tmp_path):
     junk = b"\x1f\x8b\x08 not gzip" + gzip.compress(b"plain text, no record")
     path = tmp_path / "x.warc.gz"

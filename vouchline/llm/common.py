@@ -81,6 +81,21 @@ def forget(df: DataFrame) -> None:
     remove(df.sparkSession, df._vouchline_path)
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, small: int) -> DataFrame:
+    """Inner join on a key that may hold any share of the left rows; ``right`` has a row a key and, in ``n``, its left rows.
+
+    Up to ``small`` keys are broadcast. Of more, those with over a thousandth of the rows are fewer than a thousand
+    and are broadcast; the rest meet by key.
+    """
+    keys, total = right.agg(F.count(F.lit(1)), F.coalesce(F.sum(n), F.lit(0))).first()
+    if keys <= small:
+        return left.join(F.broadcast(right.drop(n)), key)
+    often = max(100, total // 1000)
+    hot = F.broadcast(right.where(F.col(n) > often).drop(n))
+    rest = left.join(F.broadcast(right.where(F.col(n) > often).select(key)), key, "left_anti")
+    return left.join(hot, key).unionByName(rest.join(right.where(F.col(n) <= often).drop(n), key))
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column without copies, and n + 1 offsets; null counts as empty."""
     arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -2,15 +2,19 @@
 
 A document is contaminated by a test item if it holds at least ``THRESHOLD`` of the item's distinct five-word
 shingles, wherever they stand in it and however long it is. Jaccard similarity says nothing about a short
-item in a long document, so the search is one of containment: items are partitioned by size (powers of two),
-and a partition with at most u shingles keeps each item's K(u) = u - ceil(THRESHOLD * u) + 1 least hash
-values. A document that misses at most n - ceil(THRESHOLD * n) of an item's n shingles must hold one of them,
-so the search loses nothing; candidates are then verified by exact containment of shingle strings.
+item in a long document, so the search is one of containment, and both sides have sketches that depend on the
+item's size: items are partitioned by size (powers of two); a partition with at most u shingles keeps each
+item's K(u) = u - ceil(THRESHOLD * u) + 1 least hash values as its signature, and its bar is the largest value
+kept in it. A document's sketch holds its hash values up to the highest bar, and only those are joined. A
+document that misses at most n - ceil(THRESHOLD * n) of an item's n shingles holds one of the values kept, and
+that value is under the bar, so the search loses nothing; candidates are then verified by exact containment of
+shingle strings.
 
 Words are runs of letters and digits of the lower-cased text, so case and punctuation don't hide a passage.
 A text of fewer than five words has its whole sequence as its one shingle; one without words matches nothing.
-Null texts count as empty; repeated rows of one id count once per (id, item); null ids take part; empty
-tables give an empty result; other columns are ignored.
+Null texts count as empty; rows of one id are one document, whose shingles are those of all its rows (null ids
+too are one); ``clean`` judges each row on its own; texts of any length are searched whole; empty tables give an
+empty result; other columns, also such that differ in case only, are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ WIDTH = 5
 THRESHOLD = 0.8
 #: Broadcast only below these row counts; beyond them, shuffled joins.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64_000_000
 
 
 def _words(df: DataFrame, text: str) -> DataFrame:
@@ -47,44 +52,55 @@ def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """items (item_id, __w, __m) -> h, item_id: each item's least hash values, as many as its size partition keeps."""
     hashed = items.withColumn("__h", F.array_sort(F.array_distinct(F.expr(_HASHES))))
     upper = hashed.withColumn("__u", F.expr("shiftleft(1L, CAST(ceil(log2(size(__h))) AS int))"))
+    # size(__h) <= __u < 2 * size(__h): the partition's bound
     kept = upper.withColumn("__k", (F.col("__u") - F.ceil(F.col("__u") * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int"))
-    return kept.select("item_id", F.explode(F.slice("__h", 1, F.col("__k"))).alias("h"))
+    return kept.select("item_id", F.col("__u").alias("upper"), F.explode(F.slice("__h", 1, F.col("__k"))).alias("h"))
 
 
-def containment(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """id, item_id, n_shared, n_item, containment for every pair at or over the threshold."""
-    docs = pick(docs, id_col, text_col).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__x"))
-    docs = docs.withColumn("__rid", F.expr("xxhash64(__id, __x)"))
+def bars(sketch: DataFrame) -> DataFrame:
+    """upper, bar: the largest hash value that each size partition keeps (one row a power of two)."""
+    return sketch.groupBy("upper").agg(F.max("h").alias("bar"))
+
+
+def _contained(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+    """docs (__unit, __x) -> __unit, item_id, n_shared, n_item; a unit's shingles are those of all its rows."""
     items = materialise(_words(pick(benchmark, "item_id", "text"), "text").select("item_id", "__w", "__m"), "items")
     sketch = materialise(sketches(items, threshold), "sketches")
-    shingled = _words(docs, "__x").select("__rid", F.explode(F.expr(_HASHES)).alias("h"))
-    found = shingled.join(_small(sketch, sketch.count()), "h").groupBy("__rid", "item_id").agg(F.lit(1).alias("hit"))
-    candidates = materialise(found.select("__rid", "item_id"), "candidates")
+    bar = bars(sketch).agg(F.max("bar")).first()[0]
+    own = F.filter(F.expr(_HASHES), lambda h: h <= F.lit(0 if bar is None else bar))
+    sketched = _words(docs, "__x").select("__unit", F.explode(own).alias("h"))
+    found = sketched.join(_small(sketch.select("h", "item_id"), sketch.count()), "h").groupBy("__unit", "item_id").agg(F.lit(1).alias("hit"))
+    candidates = materialise(found.select("__unit", "item_id"), "candidates")
     # exact containment: the candidates' own shingle strings against those of the items
-    rids = candidates.select("__rid").distinct()
-    own = _words(docs.join(_small(rids, rids.count()), "__rid", "left_semi"), "__x")
-    exact = own.select("__rid", "__id", F.explode(F.array_distinct(F.expr(_STRINGS))).alias("s"))
+    units = candidates.select("__unit").distinct()
+    near = _words(docs.join(_small(units, units.count()), "__unit", "left_semi"), "__x")
+    exact = near.select("__unit", F.explode(F.array_distinct(F.expr(_STRINGS))).alias("s"))
     parts = materialise(items.select("item_id", F.explode(F.array_distinct(F.expr(_STRINGS))).alias("s")).distinct(), "item-shingles")
+    n_parts, n_bytes = parts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("s")), F.lit(0))).first()
     sizes = parts.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"))
-    # repeated rows of an id give each shared shingle once
-    shared = exact.join(_small(parts, parts.count()), "s").select("__rid", "__id", "item_id", "s").distinct().groupBy("__rid", "__id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
-    full = shared.join(candidates, ["__rid", "item_id"], "left_semi").join(_small(sizes, items.count()), "item_id")
-    kept = full.where(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(threshold) - F.lit(1e-9)))
-    return (
-        kept.groupBy("__id", "item_id", "n_item")
-        .agg(F.max("n_shared").alias("n_shared"), F.collect_set("__rid").alias("__rids"))
-        .select(F.col("__id").alias(id_col), "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"), "__rids")
-    )
+    # repeated rows of a unit give each shared shingle once
+    met = exact.join(F.broadcast(parts) if n_parts <= BROADCAST_ROWS and n_bytes <= BROADCAST_BYTES else parts, "s")
+    shared = met.select("__unit", "item_id", "s").distinct().groupBy("__unit", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
+    full = shared.join(candidates, ["__unit", "item_id"], "left_semi").join(_small(sizes, items.count()), "item_id")
+    return full.where(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(threshold) - F.lit(1e-9)))
+
+
+def containment(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """id, item_id, n_shared, n_item, containment for every pair at or over the threshold."""
+    # a null id has a value of its own while units are joined
+    docs = pick(docs, id_col, text_col).select(F.array(F.col(id_col)).alias("__unit"), F.col(text_col).alias("__x"))
+    kept = _contained(docs, benchmark, threshold)
+    return kept.select(F.get("__unit", F.lit(0)).alias(id_col), "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows without a test item, with their own columns."""
-    hits = materialise(containment(docs, benchmark, id_col, text_col).select(F.explode("__rids").alias("__hit")).distinct(), "contaminated")
     slots = [f"__d{i}" for i in range(len(docs.columns))]
     named = docs.toDF(*slots)
     i, t = slots[docs.columns.index(id_col)], slots[docs.columns.index(text_col)]
-    keyed = named.withColumn("__rid", F.expr(f"xxhash64({i}, {t})"))
-    return keyed.join(_small(hits, hits.count()), keyed["__rid"] == hits["__hit"], "left_anti").select(*slots).toDF(*docs.columns)
+    keyed = named.withColumn("__unit", F.expr(f"xxhash64({i}, {t})"))
+    hits = materialise(_contained(keyed.select("__unit", F.col(t).alias("__x")), benchmark, THRESHOLD).select(F.col("__unit").alias("__hit")).distinct(), "contaminated")
+    return keyed.join(_small(hits, hits.count()), keyed["__unit"] == hits["__hit"], "left_anti").select(*slots).toDF(*docs.columns)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

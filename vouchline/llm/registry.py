@@ -16,4 +16,4 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
-ORACLES = {"op8_quality_rules": quality.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
+ORACLES = {"op2_warc": warc.ORACLE, "op8_quality_rules": quality.ORACLE, "op9_decontaminate": decontaminate.ORACLE}

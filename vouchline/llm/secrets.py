@@ -1,12 +1,15 @@
 """Secret scan: Aho-Corasick keyword prefilter, anchored expressions near hits, checksum validation.
 
 One automaton pass over the ASCII-lower-cased bytes finds keyword hits; the expression of a hit's kind is
-tried only at that hit. Token kinds that carry a checksum (``github``, ``npm``: last six characters are the
-base-62 CRC-32 of the thirty before) count only if it holds. Long hexadecimal runs have no keyword and are
-found by their run length.
+tried only at that hit. Kinds that carry a checksum count only if it holds: ``github`` and ``npm`` tokens (the last
+six characters are the base-62 CRC-32 of the thirty before), ``card`` numbers (Luhn's rule) and ``iban`` bank
+accounts (97 by ISO 7064, and the length of their country). Long hexadecimal runs have no keyword and are found
+by their run length.
 
 Defined results: null and empty texts have no spans (empty string, digest of the empty string); offsets are
-code points, end exclusive; repeated rows are scanned each on its own; null ids pass through.
+code points, end exclusive; repeated rows are scanned each on its own; null ids pass through; an empty table
+gives an empty result; other columns, also such that differ from the two in case only, are ignored by ``find``
+and kept by ``redact``; a text of any length is scanned whole, at some bytes of memory a byte.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vouchline.llm.common import pick, table, text_bytes
 
 #: In the order in which equal starts are listed.
-KINDS = ("assign", "access", "hex", "github", "npm")
+KINDS = ("assign", "access", "hex", "github", "npm", "card", "iban")
 BASE_KINDS = 3
 #: keyword (lower case) -> kind
 KEYWORDS = {
@@ -30,12 +33,20 @@ KEYWORDS = {
     "akia": "access",
     "ghp_": "github", "gho_": "github", "ghu_": "github", "ghs_": "github", "ghr_": "github",
     "npm_": "npm",
+    "card": "card", "iban": "iban",
 }
 EXPRESSIONS = {
     "assign": re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE),
     "access": re.compile(rb"AKIA[A-Z0-9]+"),
     "github": re.compile(rb"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
     "npm": re.compile(rb"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
+    "card": re.compile(rb"card(?:\x20?(?:number|no\.?))?[\x20:=#]*((?:[0-9][\x20-]?){12,18}[0-9])(?![0-9])", re.IGNORECASE),
+    "iban": re.compile(rb"iban[\x20:=#]*([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})", re.IGNORECASE),
+}
+# Length of an account number by country.
+IBAN_LENGTH = {
+    b"AT": 20, b"BE": 16, b"BG": 22, b"CH": 21, b"CY": 28, b"CZ": 24, b"DE": 22, b"DK": 18, b"EE": 20, b"ES": 24, b"FI": 18, b"FR": 27, b"GB": 22, b"GR": 27, b"HR": 21, b"HU": 28, b"IE": 22,
+    b"IT": 27, b"LT": 20, b"LU": 20, b"LV": 21, b"MT": 31, b"NL": 18, b"NO": 15, b"PL": 28, b"PT": 25, b"RO": 24, b"SA": 24, b"SE": 24, b"SI": 19, b"SK": 24, b"TR": 26,
 }
 HEX_RUN = re.compile(rb"[0-9a-f]{24,}")
 #: Digits, then capitals, then small letters: the usual base-62 order of these checksums.
@@ -65,13 +76,34 @@ def _keywords():
     return _automaton
 
 
-def _valid(kind: str, match: re.Match) -> bool:
-    if kind == "assign":
-        return match.end(1) - match.start(1) >= 6
-    if kind == "access":
-        return match.end() - match.start() >= 20
+def luhn(digits: bytes) -> bool:
+    """Every second digit from the right doubled, digits summed: a multiple of ten."""
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(c - 48 for c in reversed(digits))) % 10 == 0
+
+
+def iban_end(match: re.Match) -> int | None:
+    """Where the account number of its country's length ends, if its remainder by 97 is 1."""
+    body = match.group(1)
+    want = IBAN_LENGTH.get(body[:2].upper())
+    places = [i for i, c in enumerate(body) if c != 0x20]
+    if want is None or len(places) < want:
+        return None
+    code = bytes(body[i] for i in places[:want]).upper()
+    value = int("".join(str(int(chr(c), 36)) for c in code[4:] + code[:4]))
+    return match.start(1) + places[want - 1] + 1 if value % 97 == 1 else None
+
+
+def _valid_end(kind: str, match: re.Match) -> int | None:
+    """Where the span of a match ends, None if it fails its length or checksum."""
+    if kind == "iban":
+        return iban_end(match)
     body = match.group()[4:]
-    return base62_crc(body[:30]) == body[30:]
+    holds = {
+        "assign": lambda: match.end(1) - match.start(1) >= 6,
+        "access": lambda: match.end() - match.start() >= 20,
+        "card": lambda: luhn(re.sub(rb"[^0-9]", b"", match.group(1))),
+    }.get(kind, lambda: base62_crc(body[:30]) == body[30:])
+    return match.end() if holds() else None
 
 
 def scan(text: bytes) -> list[tuple[int, int, str]]:
@@ -83,8 +115,8 @@ def scan(text: bytes) -> list[tuple[int, int, str]]:
         # left to right without overlap, also over matches that fail the length or the checksum
         if start >= last[kind] and (m := EXPRESSIONS[kind].match(text, start)):
             last[kind] = m.end()
-            if _valid(kind, m):
-                found.append((start, KINDS.index(kind), m.end()))
+            if (end := _valid_end(kind, m)) is not None:
+                found.append((start, KINDS.index(kind), end))
     return sorted(found)
 
 

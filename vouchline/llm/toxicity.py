@@ -12,24 +12,28 @@ looked up. A document's score is a logistic function of the expected number of t
 and the largest marginal; spans are runs of tokens with a marginal of at least one half.
 
 The training sample holds at most ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled documents, the first by a hash of
-their ids; whole texts are used. Scoring covers every whole text of every row.
+their ids, and of each class no more than ``MAX_BYTES`` of text (one longer text stands alone); whole texts are
+used. Scoring covers every whole text of every row.
 
 Defined results: null and empty texts have no tokens and the score of an expected count of zero; repeated
 rows are scored each; null ids are scored and never train; a document with several labels counts as toxic if
-any is; without labelled toxic and clean documents every score is the share of toxic ones (0 if none).
+any is, and so does a text that several ids share; of rows that share an id the least text trains; without
+labelled toxic and clean documents every score is the share of toxic ones (0 if none); an empty table gives an
+empty result; other columns, also such that differ from the two in case only, are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from vouchline.llm.common import LOWER, distinct_spans, doc_chunks, pick, splitmix, table, text_bytes, word_ids
 
 MAX_TOXIC, MAX_CLEAN = 1200, 1800
+MAX_BYTES = 12_000_000
 PREFIXES = (4, 5, 6, 7)
 #: A mark occurs at least so often, and so many times as often in toxic documents.
 LEAST, RATIO = 3, 12.0
@@ -317,8 +321,12 @@ def train(docs: DataFrame, labels: DataFrame, trains: str, id_col: str = "doc_id
     toxic, clean = known.agg(F.count_if(F.col("__toxic") > 0), F.count_if(F.col("__toxic") <= 0)).first()
     drawn = [known.where(f"__toxic {test}").orderBy(F.xxhash64(id_col), id_col).limit(most) for test, most in (("> 0", MAX_TOXIC), ("<= 0", MAX_CLEAN))]
     sample = drawn[0].unionByName(drawn[1])
-    rows = texts.join(F.broadcast(sample), id_col).groupBy(id_col).agg(F.min(text_col).alias("t"), F.max("__toxic").alias("y")).select("t", "y", id_col).collect()  # at most MAX_TOXIC + MAX_CLEAN rows
-    rows = {r[0]: (int(r[1] > 0)) for r in sorted(rows, key=lambda r: (r[2], r[0]))}  # equal texts once
+    one = texts.join(F.broadcast(sample), id_col).groupBy(id_col).agg(F.min(text_col).alias("t"), F.max("__toxic").alias("y"))
+    by_hash = Window.partitionBy(F.col("y") > 0).orderBy(F.xxhash64(id_col), id_col)  # at most MAX_TOXIC + MAX_CLEAN rows
+    held = one.withColumn("b", F.sum(F.octet_length("t")).over(by_hash)).withColumn("k", F.row_number().over(by_hash)).where(F.expr(f"b <= {MAX_BYTES} OR k = 1"))
+    rows: dict[str, int] = {}
+    for r in held.select("t", "y", id_col).orderBy(id_col, "t").toLocalIterator():
+        rows[r[0]] = max(rows.get(r[0], 0), int(r[1] > 0))  # equal texts once
     model = fit([t.encode() for t in rows], np.array(list(rows.values()), float))
     # the classes are drawn at different rates: the odds of all labelled rows are the sample's over the rates' ratio
     model.weights[0] -= np.log(min(1.0, MAX_TOXIC / max(toxic, 1)) / min(1.0, MAX_CLEAN / max(clean, 1)))

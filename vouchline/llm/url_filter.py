@@ -8,12 +8,15 @@ link to a blocked host doesn't matter. A page without a rule is blocked if its h
 ``THRESHOLD`` and over its trust. ``propagate`` also has the flow that keeps mass (personalised PageRank with
 the seeds as teleport).
 
-Links are the absolute and protocol-relative ``href`` targets of the pages; a link from a host to itself says
-nothing about either and is left out. All pages of a host pair are counted before the graph is used, so the
-iteration works on distinct host edges however hot a host is.
+Host edges have two sources. Links are the absolute and protocol-relative ``href`` targets of the pages; a link
+from a host to itself says nothing about either and is left out. Site edges join a host and its parent domain,
+both ways, up to two labels: who runs ``example.com`` answers for ``blog.example.com``, and the other way round.
+All pages of a host pair are counted before the graph is used, so the iteration works on distinct host edges
+however hot a host is; a hub's scores are summed in its senders' tasks first.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule, and is allowed;
-repeated rows count as pages each; null html has no links; an empty table gives an empty result.
+repeated rows count as pages each; null html has no links, and html of any length is searched whole; an empty
+table gives an empty result; other columns, also such that differ in case only, are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +27,14 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouchline.llm.common import forget, materialise, pick, table
+from vouchline.llm.common import forget, join_hot, materialise, pick, table
 
 #: (rule, allowed); a rule is a host followed by a path prefix.
 RULES = (("net/", False), ("example.net/en/", True), ("example.com/de/", False), ("org/fr/", True))
 DAMPING = 0.85
 THRESHOLD = 0.5
 #: TOLERANCE bounds what all rounds still to come could change.
-CHECK_EVERY, TOLERANCE = 4, 1e-6
+CHECK_EVERY, TOLERANCE = 8, 1e-6
 BROADCAST_HOSTS = 200_000
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _HREF = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -63,17 +66,26 @@ def host_edges(pages: DataFrame, host: str = "host", html: str = "html") -> Data
     return links.select("source", _lower(F.col("target")).alias("target")).where("source <> target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def site_edges(hosts: DataFrame) -> DataFrame:
+    """hosts (host) -> source, target, weight 1 between every host and its parent domain of two labels or more."""
+    labels = hosts.where(~F.col("host").rlike(r"^[0-9.]+(:[0-9]+)?$")).select(F.split("host", r"\.").alias("l"))
+    names = F.transform(F.sequence(F.lit(1), F.size("l") - 1), lambda i: F.array_join(F.slice("l", i, F.size("l")), "."))
+    chain = labels.where("size(l) > 2").select(F.explode(F.arrays_zip(F.slice(names, 1, F.size("l") - 2).alias("low"), F.slice(names, 2, F.size("l") - 2).alias("high"))).alias("e"))
+    up = chain.select("e.low", "e.high").distinct()
+    return up.select(F.explode(F.array(F.struct(F.col("low").alias("source"), F.col("high").alias("target")), F.struct(F.col("high").alias("source"), F.col("low").alias("target")))).alias("e"), F.lit(1).cast("bigint").alias("weight")).select("e.*", "weight")
+
+
 def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, mean: bool = False) -> DataFrame:
     """seeds (host, trust, distrust) -> host, trust, distrust over all hosts of seeds and edges.
 
     Without ``mean`` a host deals its score out to its ways on; with it a host takes the mean over its ways in,
     or its seed if that is more.
 
-    Both propagations run as one: flow (kind, a, b, share) sends kind's score from a to b. Every fourth round is
-    a written table, so lineage is short and a lost executor repeats four rounds at most. Rounds go on until the
-    tolerance holds; a round's change shrinks by the damping, so their number grows with the log of the seeds' mass only.
+    Both propagations run as one: flow (kind, a, b, share) sends kind's score from a to b, and one aggregate of
+    what is sent and of the seeds makes a round. Every eighth round is a written table, so lineage is short and a
+    lost executor repeats eight rounds at most. Rounds go on until the tolerance holds; a round's change shrinks
+    by the damping, so their number grows with the log of the seeds' mass only.
     """
-    spark = seeds.sparkSession
     ways = edges.select(F.lit("trust").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), "weight").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("target").alias("a"), F.col("source").alias("b"), "weight")
     )
@@ -81,26 +93,33 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, mean
     hosts = seeds.select("host").unionByName(edges.select(F.col("source").alias("host"))).unionByName(edges.select(F.col("target").alias("host"))).distinct()
     stock = hosts.join(seeds, "host", "left").select("host", F.explode(F.create_map(F.lit("trust"), F.coalesce("trust", F.lit(0.0)), F.lit("distrust"), F.coalesce("distrust", F.lit(0.0)))).alias("kind", "seed"))
     # a host without a way on keeps its score: that loop's sum is known, so it takes no rounds
-    state = stock.join(out.select("kind", F.col("a").alias("host"), F.lit(True).alias("flows")), ["kind", "host"], "left").withColumn("flows", F.coalesce("flows", F.lit(False))).withColumn("score", F.col("seed"))
-    state = materialise(state, "scores")
+    stock = stock.join(out.select("kind", F.col("a").alias("host"), F.lit(True).alias("flows")), ["kind", "host"], "left").withColumn("flows", F.coalesce("flows", F.lit(False)))
+    stock = materialise(stock, "stock")
+    small = stock.count() <= 2 * BROADCAST_HOSTS
     totals = ways.groupBy("kind", "b").agg(F.sum("weight").alias("total")) if mean else out
     flow = materialise(ways.join(totals, ["kind", "b" if mean else "a"]).select("kind", "a", "b", (F.col("weight") / F.col("total")).alias("share")), "flow")
-    mass = 1.0 if mean else max(1.0, state.agg(F.sum("seed")).first()[0] or 0.0)
-    least = TOLERANCE * (1 - damping) ** 2 / damping
+    mass = 1.0 if mean else max(1.0, stock.agg(F.sum("seed")).first()[0] or 0.0)
+    # after a change of c over the rounds between two checks, all rounds to come change c * q / (1 - q) at most; a flow's
+    # ends keep 1 / (1 - damping) of what they get
+    q = damping**CHECK_EVERY
+    least = TOLERANCE * (1 - q) / q * (1.0 if mean else (1 - damping) ** 2)
+    given = stock.select("kind", "host", "seed", "flows", F.lit(0.0).alias("got"))
+    state = materialise(stock.select("kind", "host", F.col("seed").alias("score")), "scores")
     for _ in range(0, math.ceil(math.log(least / mass) / math.log(damping)) + CHECK_EVERY, CHECK_EVERY):
-        now = state.withColumn("old", F.col("score"))
+        now = state
         for _ in range(CHECK_EVERY):
-            sent = flow.join(now.select("kind", F.col("host").alias("a"), "score"), ["kind", "a"]).groupBy("kind", F.col("b").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-            got = damping * F.coalesce("got", F.lit(0.0))
+            known = now.select("kind", F.col("host").alias("a"), "score")
+            sent = flow.join(F.broadcast(known) if small else known, ["kind", "a"]).select("kind", F.col("b").alias("host"), F.lit(None).cast("double").alias("seed"), F.lit(None).cast("boolean").alias("flows"), (F.col("score") * F.col("share")).alias("got"))
+            got = damping * F.col("got")
             score = F.greatest("seed", got) if mean else F.when(F.col("flows"), (1 - damping) * F.col("seed") + got).otherwise(F.col("seed") + got / (1 - damping))
-            now = now.join(sent, ["kind", "host"], "left").withColumn("score", score).drop("got")
-        after = materialise(now, "scores")
+            now = given.unionByName(sent).groupBy("kind", "host").agg(F.max("seed").alias("seed"), F.max("flows").alias("flows"), F.sum("got").alias("got")).select("kind", "host", score.alias("score"))
+        old = state.select("kind", "host", F.col("score").alias("old"))
+        after = materialise(now.join(F.broadcast(old) if small else old, ["kind", "host"]), "scores")
         forget(state)
-        state = after.drop("old")
+        state = after
         change = F.abs(F.col("score") - F.col("old"))
         if (after.agg(F.max(change) if mean else F.sum(change)).first()[0] or 0.0) < least:
             break
-        state._vouchline_path = after._vouchline_path
     return state.groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")))
 
 
@@ -112,12 +131,13 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     rule, allowed = rule_of(F.col("host"), F.col("path"), rules)
     ruled = known.withColumn("rule", rule).withColumn("allowed", allowed)
     share = lambda ok: F.avg(F.when(F.col("allowed") == ok, 1.0).otherwise(0.0))
-    seeds = materialise(ruled.where("host <> ''").groupBy("host").agg(share(True).alias("trust"), share(False).alias("distrust")), "seeds")
-    edges = materialise(host_edges(known), "host-edges")
-    scores = materialise(propagate(seeds, edges, mean=True), "host-scores")
-    small = scores.count() <= BROADCAST_HOSTS
-    told = scores.select("host", F.col("trust").alias("host_trust"), F.col("distrust").alias("host_distrust"))
-    out = ruled.drop("html").join(F.broadcast(told) if small else told, "host", "left")
+    seeds = materialise(ruled.where("host <> ''").groupBy("host").agg(share(True).alias("trust"), share(False).alias("distrust"), F.count(F.lit(1)).alias("n")), "seeds")
+    edges = host_edges(known).unionByName(site_edges(seeds.select("host"))).groupBy("source", "target").agg(F.sum("weight").alias("weight"))
+    scores = materialise(propagate(seeds.drop("n"), materialise(edges, "host-edges"), mean=True), "host-scores")
+    told = materialise(scores.join(seeds.select("host", "n"), "host").select("host", F.col("trust").alias("host_trust"), F.col("distrust").alias("host_distrust"), "n"), "told")
+    bare = ruled.drop("html")
+    with_host = join_hot(bare.where("host <> ''"), told, "host", "n", BROADCAST_HOSTS)
+    out = with_host.unionByName(bare.where("host = ''").withColumn("host_trust", F.lit(None).cast("double")).withColumn("host_distrust", F.lit(None).cast("double")))
     bad = F.coalesce((F.col("host_distrust") >= THRESHOLD) & (F.col("host_distrust") > F.col("host_trust")), F.lit(False))
     blocked = F.when(F.col("allowed").isNotNull(), ~F.col("allowed")).otherwise(bad)
     return out.select(F.col("__id").alias(id_col), "host", "path", "rule", F.when(blocked, "block").otherwise("allow").alias("verdict"), "host_trust", "host_distrust")

@@ -7,9 +7,14 @@ inside its range; a record is read to its end wherever that is. So any cut gives
 Writing: each task writes one archive under a name of its own and returns a manifest row; only the manifest
 rows of tasks that succeeded are kept, so a retried task leaves at most an unlisted file.
 
+Nothing is lost in silence: a member whose WARC header decodes but whose rest is damaged or cut short is an
+error, and ``complete`` holds the number of records read against the manifest.
+
 Defined results: a null payload is empty; of equal payloads that with the least id is the response (rows that
 repeat that very id are responses too), all others revisit it; rows without an id never are what others
-refer to; a null url has no target line; an empty table gives no archive and no record.
+refer to; a null url has no target line; an empty table gives no archive and no record; payloads of any length
+are held whole by the task that writes or reads them, one at a time; other columns, also such that differ from
+the three in case only, are ignored.
 """
 
 from __future__ import annotations
@@ -98,45 +103,55 @@ class _Window:
     """Bytes of a file from an offset on, read as they are asked for."""
 
     def __init__(self, file, at: int):
-        self.file, self.base, self.data, self.over = file, at, b"", False
+        self.file, self.base, self.data = file, at, bytearray()
         file.seek(at)
 
     def more(self) -> bool:
         got = self.file.read(_READ)
-        self.over = not got
         self.data += got
         return bool(got)
 
-    def find(self, at: int) -> int:
-        """Offset of the next magic at or after ``at``, -1 if none."""
-        while True:
-            k = self.data.find(_MAGIC, at - self.base)
+    def find(self, at: int, end: int) -> int:
+        """Offset of the next magic in [at, end), -1 if none; nothing that can't belong to it is read."""
+        while at < end:
+            k = self.data.find(_MAGIC, at - self.base, end + len(_MAGIC) - 1 - self.base)
             if k >= 0:
                 return self.base + k
             at = max(at, self.base + len(self.data) - len(_MAGIC) + 1)
-            if not self.more():
+            if at < end and not self.more():
                 return -1
+        return -1
 
     def drop(self, at: int) -> None:
-        self.data, self.base = self.data[at - self.base :], at
+        del self.data[: at - self.base]
+        self.base = at
 
     def member(self, at: int) -> tuple[bytes, int] | None:
-        """The decoded member at ``at`` and its end; None if it isn't a WARC record."""
-        unpack, pieces, k, checked = zlib.decompressobj(31), [], at - self.base, False
+        """The decoded member at ``at`` and its end; None if it isn't a WARC record, an error if it is a broken one."""
+        unpack, out, k = zlib.decompressobj(31), bytearray(), at - self.base
         try:
             while not unpack.eof:
                 if k >= len(self.data) and not self.more():
+                    if _is_record(out):
+                        raise ValueError(f"record at {at} is cut short")
                     return None
                 chunk = self.data[k : k + _READ]
                 k += len(chunk)
-                pieces.append(unpack.decompress(chunk))
-                if not checked and sum(map(len, pieces)) >= 7:
-                    checked = True
-                    if not b"".join(pieces).startswith(b"WARC/1."):
-                        return None
-        except zlib.error:
+                out += unpack.decompress(chunk)
+                if len(out) >= len(_START) and not _is_record(out):
+                    return None
+        except zlib.error as e:
+            if _is_record(out):
+                raise ValueError(f"record at {at} is damaged: {e}") from e
             return None
-        return b"".join(pieces), self.base + k - len(unpack.unused_data)
+        return bytes(out), self.base + k - len(unpack.unused_data)
+
+
+_START = b"WARC/1."
+
+
+def _is_record(data: bytes | bytearray) -> bool:
+    return data.startswith(_START)
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes] | None:
@@ -153,11 +168,13 @@ def records_in(path: str, start: int, end: int):
     fs, local = open_fs(path)
     with fs.open_input_file(local) as file:
         window, at = _Window(file, start), start
-        while at < end and 0 <= (at := window.find(at)) < end:
+        while (at := window.find(at, end)) >= 0:
             got = window.member(at)
-            if got is None or (parsed := parse(got[0])) is None:
+            if got is None:
                 at += 1
                 continue
+            if (parsed := parse(got[0])) is None:
+                raise ValueError(f"record of {path} at {at} has no header, no length, or fewer bytes than its length")
             yield at, *parsed
             at = got[1]
             window.drop(at)
@@ -203,8 +220,28 @@ def _batch(rows, names, kinds):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds)], names=names)  # noqa: B905
 
 
+def complete(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The records as a written table, if they are as many as the manifest says; an error if not."""
+    found = materialise(found, "records")
+    got, told = found.count(), manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    if got != told:
+        raise ValueError(f"{got} records read, {told} written")
+    return found
+
+
+#: Equal payloads by their text; base32 of a SHA-1 takes five bits at a time from its hexadecimal digits.
+ORACLE = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least_id FROM pages)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(sha1(html), 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31))::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM least_id AND least_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM least_id THEN least_id END AS refers_to,
+  replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS url FROM p
+"""
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to as read back from the archives, url."""
     manifest = write_archives(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
-    found = read_archives(manifest)
+    found = complete(read_archives(manifest), manifest)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
