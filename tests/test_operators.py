@@ -151,3 +151,12 @@ def test_kernels_and_registry(spark):
     got = {r.id: (r.v, r.error) for r in registry.run("fragile", spark.createDataFrame([(1, 2.0), (2, 0.0)], "id long, v double")).collect()}
     assert got[1] == (5.0, None) and got[2][1] == "ValueError: zero"
     assert [r.available for r in registry.table(spark).orderBy("ord").collect()] == [True, False, True]
+
+
+def test_winner_of_a_fusion_is_shrunk(spark):
+    q = [(0.0, 0.0), (300.0, 0.0), (300.0, 200.0), (0.0, 200.0)]
+    far = [(x + 400, y) for x, y in q]
+    df = spark.createDataFrame([(q, far, 2.0, 1.0)], "a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>, sa double, sb double")
+    f = geo.fused(F.col("a"), F.col("sa"), F.col("b"), F.col("sb"), F.col("a"), F.lit(1200.0), F.lit(900.0))
+    got = df.select(f.alias("f")).first().f
+    assert got.branch == "winner" and abs(math.dist(got.contour[0], (0, 0)) - 2) < 1e-9

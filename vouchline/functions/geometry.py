@@ -13,7 +13,7 @@ NO_CANDIDATE = -1e18
 
 def let(value: Column, body) -> Column:
     """``body`` of a value that stands once in the expression, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))  # a body with defaults must not get the index
 
 
 def point(x: Column, y: Column) -> Column:
@@ -188,3 +188,96 @@ def fused(a: Column, sa: Column, b: Column, sb: Column, c: Column, w: Column, h:
         .when(c.isNotNull(), pack(ordered(c), F.lit(0.0), "fallback"))
         .otherwise(none)
     )
+
+
+# Guards, crops and scales of the alignment steps.
+
+
+def whole_image_ok(w: Column, h: Column) -> Column:
+    """Whether a whole image is near enough to the card's shape to stand for it."""
+    return F.abs(w / F.greatest(h, F.lit(1.0)) - CARD_RATIO) / CARD_RATIO <= 0.12
+
+
+def refined_ok(w: Column, h: Column, whole_w: Column, whole_h: Column) -> Column:
+    """A tighter crop is kept if both sides have twenty pixels and a quarter of the crop's."""
+    return (w >= F.greatest(F.lit(20.0), 0.25 * whole_w)) & (h >= F.greatest(F.lit(20.0), 0.25 * whole_h))
+
+
+def corners_turned(top: Column, left: Column) -> Column:
+    """A quad that is taller than wide has its corners in the wrong order."""
+    return left > 1.1 * top
+
+
+def face_bonus(faces: Column, w: Column, h: Column) -> Column:
+    """0.5 if any face (struct x, y, w, h) is large and where the photo belongs, however many are."""
+    fits = lambda f: (f["h"] > 0.15 * h) & (f["x"] + f["w"] / 2 < 0.40 * w) & (f["y"] + f["h"] / 2 < 0.80 * h)
+    return F.when(F.exists(faces, fits), 0.5).otherwise(0.0)
+
+
+def ordering_vote(aspect: Column, strip: Column, bonus: Column) -> Column:
+    return 0.4 * aspect + 0.6 * strip + bonus
+
+
+def strip_score(top_top: Column, bottom_bottom: Column, top_bottom: Column, bottom_top: Column) -> Column:
+    """Correlations of an image's top and bottom strips with the template's: upright less upside down."""
+    return top_top + bottom_bottom - (top_bottom + bottom_top)
+
+
+def flip_vote(strip: Column, score_0: Column, score_180: Column, tl: Column, tr: Column, bl: Column, br: Column) -> Column:
+    """180 where the strips, the turned score and the quadrant means together speak for it, else 0."""
+    dark = lambda a, b: F.greatest(F.lit(0.0), (a - b) / 255.0)
+    vote = -0.50 * strip + 0.35 * (score_180 - score_0) + 0.15 * (dark(bl, br) - dark(tr, tl))
+    return F.when(vote > 0.02, 180).otherwise(0)
+
+
+def other_rotations(w: Column, h: Column) -> Column:
+    """The quarter turns that are not tried first: first come 0 and 180 for upright images, 90 and 270 for others."""
+    every = F.array(*map(F.lit, (0, 90, 180, 270)))
+    return F.array_except(every, F.when(h >= w, F.array(F.lit(0), F.lit(180))).otherwise(F.array(F.lit(90), F.lit(270))))
+
+
+def crop_norm(x1: Column, y1: Column, x2: Column, y2: Column, w: Column, h: Column) -> Column:
+    """Pixels of a 0..1 box without padding, clamped; it may be empty."""
+    px = lambda v, most: F.least(F.greatest(F.rint(v * most), F.lit(0.0)), most).cast("int")
+    return F.struct(px(x1, w).alias("x1"), px(y1, h).alias("y1"), px(x2, w).alias("x2"), px(y2, h).alias("y2"))
+
+
+def box_corners(box: Column) -> Column:
+    """Top-left, top-right, bottom-right, bottom-left of a pixel box (struct x1, y1, x2, y2)."""
+    return quad((box["x1"], box["y1"]), (box["x2"], box["y1"]), (box["x2"], box["y2"]), (box["x1"], box["y2"]))
+
+
+def crop_size(q: Column) -> Column:
+    """Width and height of an upright crop of a quad: the longer of opposite edges, half-even, at least one pixel."""
+    least = lambda v: F.greatest(F.rint(v), F.lit(1.0)).cast("int")
+    return F.struct(least(width(q)).alias("w"), least(height(q)).alias("h"))
+
+
+def fit_scale(w: Column, h: Column, most_w: Column | float, most_h: Column | float, limit: float | None = None) -> Column:
+    """The scale that fits an image into a frame, up to ``limit`` times its size."""
+    parts = [(most_w if isinstance(most_w, Column) else F.lit(float(most_w))) / w, (most_h if isinstance(most_h, Column) else F.lit(float(most_h))) / h]
+    return F.least(*parts, *([F.lit(float(limit))] if limit is not None else []))
+
+
+def shrink_scale(w: Column, h: Column, most: float) -> Column:
+    """The scale that brings the longer side down to ``most``; never up."""
+    return most / F.greatest(w, h, F.lit(float(most)))
+
+
+def grow_scale(w: Column, h: Column, least: float, limit: float = 4.0) -> Column:
+    """The scale that brings the shorter side up to ``least``, at most ``limit`` times; never down."""
+    short = F.least(w, h)
+    return F.when(short >= least, 1.0).otherwise(F.least(least / F.greatest(short, F.lit(1.0)), F.lit(limit)))
+
+
+def quad_norm(q: Column, w: Column, h: Column) -> Column:
+    return F.transform(q, lambda p: point(p["x"] / w, p["y"] / h))
+
+
+def share(value: Column, most: Column | float) -> Column:
+    """A coordinate as a share of its axis at four places, half-even."""
+    return F.bround((value / most).cast("decimal(18,12)"), 4).cast("double")
+
+
+def area_ratio(q: Column, w: Column, h: Column) -> Column:
+    return polygon_area(q) / F.greatest(w * h, F.lit(1.0))

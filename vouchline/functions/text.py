@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vouchline.functions.geometry import let
+
 # Digit sets, letter variants, marks and label words of the card format.
 ARABIC_INDIC = "٠١٢٣٤٥٦٧٨٩"
 EXTENDED_INDIC = "۰۱۲۳۴۵۶۷۸۹"
@@ -71,14 +73,21 @@ def bidi_wrap_all(df: DataFrame) -> DataFrame:
 def numeric_field(texts: Column, prefer: int | None) -> Column:
     """The best digit run of a line array: exact length, else the first ``prefer`` digits of the longest, else the longest."""
     joined = F.translate(fold_digits(F.array_join(texts, " ")), "/-._", "    ")
-    runs = F.concat(F.regexp_extract_all(joined, F.lit(r"((?U)\d+)"), 1), F.array(only_digits(joined)))
-    found = F.array_distinct(F.filter(runs, lambda x: x != ""))
-    ranked = F.transform(F.array_sort(F.transform(found, lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x")))), lambda s: s.x)
-    if prefer is None:
-        return F.coalesce(F.get(ranked, F.lit(0)), F.lit(""))
-    exact = F.get(F.filter(ranked, lambda x: F.length(x) == prefer), F.lit(0))
-    cut = F.substring(F.get(F.filter(ranked, lambda x: F.length(x) >= prefer), F.lit(0)), 1, prefer)
-    return F.coalesce(exact, cut, F.get(ranked, F.lit(0)), F.lit(""))
+
+    def runs(t: Column) -> Column:
+        every = F.concat(F.regexp_extract_all(t, F.lit(r"((?U)\d+)"), 1), F.array(only_digits(t)))
+        return F.array_distinct(F.filter(every, lambda x: x != ""))
+
+    def chosen(found: Column) -> Column:
+        longest_first = F.array_sort(F.transform(found, lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x"))))
+        longest = lambda r: F.coalesce(F.get(r, F.lit(0))["x"], F.lit(""))
+        if prefer is None:
+            return let(longest_first, longest)
+        exact = F.get(F.filter(found, lambda x: F.length(x) == prefer), F.lit(0))
+        # the longest run is long enough if any is
+        return let(longest_first, lambda r: F.coalesce(exact, F.substring(longest(r), 1, prefer)))
+
+    return let(joined, lambda t: let(runs(t), chosen))
 
 
 def _digit_like() -> str:
@@ -119,12 +128,17 @@ def plausible_birth(c: Column, year: int) -> Column:
 
 def century_fix(id14: Column, year: int) -> Column:
     """An id whose birth year is implausible gets the first of '3', '2', '1' that makes it plausible."""
-    born = birth_from_id(id14)
-    fixed = F.lit(None).cast("string")
-    for digit in ("1", "2", "3"):
-        other = F.concat(F.lit(digit), F.substring(id14, 2, 1 << 20))
-        fixed = F.when(plausible_birth(birth_from_id(other), year), other).otherwise(fixed)
-    return F.when((born != "") & ~plausible_birth(born, year), F.coalesce(fixed, id14)).otherwise(id14)
+
+    def of(d: Column) -> Column:
+        """d: the digits. Whether they hold a month and a day doesn't depend on the century's digit."""
+        tail, two = F.substring(d, 2, 6), _part(d, 2, 2)
+        dated = (F.length(d) >= 7) & _part(d, 4, 2).between(1, 12) & _part(d, 6, 2).between(1, 31) & tail.isNotNull()
+        plausible = lambda base: F.coalesce((F.lit(year - base) - two).between(0, 100), F.lit(False))
+        now = F.when(F.substring(d, 1, 1) == "2", plausible(1900)).when(F.substring(d, 1, 1) == "3", plausible(2000))
+        other = F.when(plausible(2000), "3").when(plausible(1900), "2")
+        return F.when(F.coalesce(dated & ~now, F.lit(False)) & other.isNotNull(), F.concat(other, F.substring(d, 2, 1 << 20))).otherwise(id14)
+
+    return let(only_digits(id14), of)
 
 
 def extract_yyyymmdd(c: Column) -> Column:
@@ -177,3 +191,43 @@ def stem(path: Column) -> Column:
 
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/.][^/]*(\.[^./]+)$", 1))
+
+
+def score_label(c: Column) -> Column:
+    return F.format_string("%.3f", c)
+
+
+def percent_label(c: Column) -> Column:
+    return F.format_string("%.1f%%", c)
+
+
+def report_row(name: Column, *values: Column) -> Column:
+    """A name in 45 columns, each value right-aligned in eight."""
+    return F.concat(F.rpad(name, 45, " "), *(F.lpad(v, 8, " ") for v in values))
+
+
+def traced(c: Column, most: int = 200) -> Column:
+    """The head of a value as a trace shows it."""
+    return F.substring(c, 1, most)
+
+
+def trace_header(c: Column) -> Column:
+    """Length and names of a map as a trace shows them."""
+    return F.concat(F.lit("len="), F.size(c).cast("string"), F.lit(" keys="), F.array_join(F.array_sort(F.map_keys(c)), ","))
+
+
+def joined_lines(lines: Column) -> Column:
+    """Lines joined by blanks, without empty ones, normalised."""
+    return normalize_arabic(F.array_join(F.filter(lines, lambda x: x.isNotNull() & (x != "")), " "))
+
+
+def attempt(value: Column, message: Column | str) -> Column:
+    """struct(value, error): a null value carries the message and the run goes on."""
+    note = F.lit(message) if isinstance(message, str) else message
+    return F.struct(value.alias("value"), F.when(value.isNull(), note).alias("error"))
+
+
+def clock_ms(c: Column) -> Column:
+    """Milliseconds of a HH:MM:SS.mmm time of day."""
+    part = lambda at, n: F.substring(c, at, n).cast("bigint")
+    return ((part(1, 2) * 60 + part(4, 2)) * 60 + part(7, 2)) * 1000 + part(10, 3)

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vouchline.functions.geometry import crop_norm
+
 # Regions of the card (side, field, order, x1, y1, x2, y2, numeric, photo).
 ROIS = (
     ("front", "photo", 0, 0.02, 0.07, 0.33, 0.67, False, True),
@@ -98,3 +100,22 @@ def drag_box(x1: Column, y1: Column, x2: Column, y2: Column, w: float, h: float)
     norm = lambda v, most: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / most)), 6)
     box = F.struct(norm(F.least(x1, x2), w).alias("x1"), norm(F.least(y1, y2), h).alias("y1"), norm(F.greatest(x1, x2), w).alias("x2"), norm(F.greatest(y1, y2), h).alias("y2"))
     return F.when((F.abs(x2 - x1) >= 5) & (F.abs(y2 - y1) >= 5), box)
+
+
+def artifact_plan(images: DataFrame, rois: DataFrame, refine_numeric: bool = True, refine_text: bool = True) -> DataFrame:
+    """images (case_id, side, aligned, has_matrix) x regions of the side: how each crop is cut and refined.
+
+    A crop is taken from the source in perspective where the alignment gave a matrix, else from the aligned image;
+    numeric and text fields have their own refinement, photos that of text.
+    """
+    mode = F.when(F.col("aligned") & F.col("has_matrix"), "perspective").otherwise("plain")
+    numeric = F.when(F.lit(refine_numeric), "numeric").otherwise("none")
+    worded = F.when(F.lit(refine_text), "text").otherwise("none")
+    refine = F.when(F.col("is_photo"), "text").when(F.col("is_numeric"), numeric).otherwise(worded)
+    return images.join(F.broadcast(rois), "side").select("case_id", "side", "field", F.when(F.col("is_photo"), "photo").otherwise("crop").alias("artifact"), mode.alias("mode"), refine.alias("refine"))
+
+
+def generated_regions(rois: DataFrame, w: int, h: int) -> DataFrame:
+    """side, field, and the pixels of each region of a template: what feature files are cut from; empty ones are left out."""
+    px = crop_norm(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.lit(float(w)), F.lit(float(h)))
+    return rois.select("side", "field", "ord", px.alias("px")).where("px.x2 > px.x1 AND px.y2 > px.y1").select("side", "field", "ord", "px.*")

@@ -55,15 +55,45 @@ def preferred_models(preferred: DataFrame, ready: DataFrame, k: int = 4) -> Data
     return first.unionByName(rest).withColumn("place", at).where(F.col("place") <= k).select("side", "place", "model")
 
 
-def two_nearest(queries: DataFrame, train: DataFrame, distance: Column) -> DataFrame:
-    """queries (q, qe) against train (t, te): the two nearest per query; a per-task top two before the shuffle.
+#: Queries that one broadcast holds; more are dealt into blocks of so many.
+QUERY_BLOCK = 20_000
 
-    Exact: every query meets every row, in tasks of the train side, with queries broadcast if their size allows.
+
+def two_nearest(queries: DataFrame, train: DataFrame, distance: Column, block: int = QUERY_BLOCK) -> DataFrame:
+    """queries (q, qe) against train (t, te): the two nearest per query, by distance and t.
+
+    Exact: every query meets every row. Up to ``block`` queries are broadcast to the tasks of the train side; more
+    are dealt into blocks, and a block meets the train rows by key. Each pair's distance is computed once, and two
+    rows a query and task are left before the shuffle.
     """
-    pairs = queries.join(train, F.col("q") != F.col("t")).select("q", F.struct(distance.alias("d"), F.col("t").alias("t")).alias("n"))
-    one = pairs.groupBy("q").agg(F.min_by("n", F.col("n")).alias("n1"), F.min("n").alias("first"))
-    second = pairs.join(one.select("q", "first"), "q").where(F.col("n") > F.col("first")).groupBy("q").agg(F.min("n").alias("second"))
-    return one.join(second, "q", "left").select("q", F.col("first.t").alias("t1"), F.col("first.d").alias("d1"), F.col("second.t").alias("t2"), F.col("second.d").alias("d2"))
+    blocks = max(1, -(-queries.count() // block))
+    if blocks == 1:
+        met = train.join(F.broadcast(queries), F.col("q") != F.col("t"))
+    else:
+        dealt = queries.withColumn("__b", F.pmod(F.xxhash64("q"), F.lit(blocks)))
+        met = train.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(dealt, "__b").where(F.col("q") != F.col("t"))
+    pairs = met.select("q", "t", distance.alias("d"))
+    place = F.row_number().over(Window.partitionBy("q").orderBy("d", "t"))
+    at = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
+    two = pairs.withColumn("k", place).where("k <= 2").groupBy("q").agg(at("t", 1).alias("t1"), at("d", 1).alias("d1"), at("t", 2).alias("t2"), at("d", 2).alias("d2"))
+    return two
+
+
+def hamming(a: Column, b: Column) -> Column:
+    """Differing bits of two binary descriptors of 64 bits."""
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def keypoint_pairs(matches: DataFrame, query_points: DataFrame, train_points: DataFrame, *keys: str) -> DataFrame:
+    """matches (query_idx, train_idx) with the points of both sides: two equi-joins on the keys and the index."""
+    a = query_points.select(*keys, F.col("idx").alias("query_idx"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+    b = train_points.select(*keys, F.col("idx").alias("train_idx"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    return matches.join(a, [*keys, "query_idx"]).join(b, [*keys, "train_idx"])
+
+
+def drawn(matches: DataFrame, keys: list[str], *order: Column, most: int = 80) -> DataFrame:
+    """The matches that a picture shows: the first ``most`` of each key."""
+    return matches.withColumn("__at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__at") <= most).drop("__at")
 
 
 def ratio_test(nearest: DataFrame, ratio: float) -> DataFrame:

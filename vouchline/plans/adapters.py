@@ -37,7 +37,7 @@ VIEWS: dict[str, tuple[str, str, str | None]] = {
     ),
     "v_box": (
         "lineitem",
-        """SELECT l_orderkey % 500 AS image_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS tie, CAST(l_partkey % 900 AS INT) AS x1, CAST(l_suppkey * 7 % 560 AS INT) AS y1,
+        """SELECT CAST(floor(l_orderkey / 40) AS BIGINT) AS image_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS tie, CAST(l_partkey % 900 AS INT) AS x1, CAST(l_suppkey * 7 % 560 AS INT) AS y1,
              CAST(l_partkey % 900 + l_quantity AS INT) AS x2, CAST(l_suppkey * 7 % 560 + l_linenumber * 4 AS INT) AS y2, l_discount * 10 AS conf FROM lineitem""",
         None,
     ),

@@ -80,9 +80,16 @@ def liveness(spark, sf):
     return gates.liveness(faces, "user_id").select("user_id", "face_count", "passed", "status", "selected_face_is_real", "score_present", "score_ok")
 
 
-@query("largest_face", _LIVE + " SELECT user_id, event_type, arg_max(event_id, struct_pack(a := area, p := -event_id)) AS face FROM v_live GROUP BY ALL")
+@query(
+    "largest_face",
+    _LIVE + """, f AS (SELECT *, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN 0 WHEN event_id % 3 = 1 THEN area END, 0), area * 2, 0) * coalesce(nullif(CASE WHEN event_id % 5 = 0 THEN NULL ELSE 2.0::DOUBLE END, 0), 3, 0) AS size FROM v_live)
+SELECT user_id, event_type, arg_max(event_id, struct_pack(a := size, p := -event_id)) AS face FROM f GROUP BY ALL""",
+)
 def largest_face(spark, sf):
-    return rank.best(view(spark, sf, "v_live"), ["user_id", "event_type"], F.col("area"), F.col("event_id"), F.col("event_id"), "face")
+    """Sides that are missing or zero fall back to width and height."""
+    w = F.when(F.col("event_id") % 3 == 0, 0.0).when(F.col("event_id") % 3 == 1, F.col("area"))
+    faces = view(spark, sf, "v_live").withColumns({"w": w, "width": F.col("area") * 2, "h": F.when(F.col("event_id") % 5 != 0, 2.0), "height": F.lit(3.0)})
+    return rank.largest_face(faces, ["user_id", "event_type"], F.col("event_id"), F.col("event_id"))
 
 
 @query("min_distance", _LIVE + " SELECT user_id, arg_min(event_id, struct_pack(d := coalesce(antispoof_score, 1), p := -event_id)) AS event FROM v_live GROUP BY user_id")
@@ -237,7 +244,7 @@ def drag_box(spark, sf):
 def roi_names(spark, sf):
     """Names that a side would hold twice, or empty ones, are rejected."""
     named = boxes.roi_table(spark).select("side", "field").unionByName(spark.createDataFrame([("front", "name"), ("back", " ")], "side string, field string"))
-    return named.groupBy("side", "field").agg(F.count(F.lit(1)).alias("n")).withColumn("rejected", (F.col("n") > 1) | (F.trim("field") == ""))
+    return rank.repeated_or_empty(named, ["side"], "field")
 
 
 @query("side_regions", None)
@@ -245,5 +252,5 @@ def side_regions(spark, sf):
     """Plausible text boxes of a side, merged, in page order, as named 0..1 regions (half-even at four places)."""
     plausible = _boxes(spark, sf).where(boxes.text_region(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), 300, 300))
     placed = rank.rank_by(boxes.merge_boxes(plausible, "image_id", 10), ["image_id"], F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2"), alias="place")
-    share = lambda c, most: F.bround((F.col(c) / most).cast("decimal(18,12)"), 4).cast("double").alias(c)
+    share = lambda c, most: geo.share(F.col(c), most).alias(c)
     return placed.select("image_id", F.format_string("region_%02d", F.col("place")).alias("region"), share("x1", 960), share("y1", 600), share("x2", 960), share("y2", 600))

@@ -121,10 +121,29 @@ def fused_branch(spark, sf):
     return v.withColumn("f", f).select(*KEY, F.col("f.branch").alias("branch"), F.when(both, F.round(geo.corner_distance(F.col("q"), F.col("b")), 6)).alias("distance"))
 
 
-@query("fused_detection", None)
+_CORNER = "list_sort(list_transform(range(1, 5), lambda j: {{'k': {0}, 'i': j, 'x': raw[j].x, 'y': raw[j].y}}))[1]"
+_CLIP = "{{'x': CASE WHEN a_ok AND b_ok THEN least(greatest({0}.x, 0), 1199) ELSE {0}.x END, 'y': CASE WHEN a_ok AND b_ok THEN least(greatest({0}.y, 0), 899) ELSE {0}.y END}}"
+
+
+@query(
+    "fused_detection",
+    _FUSED + f""", w AS (SELECT *, CASE WHEN sa >= sb THEN a ELSE b END AS win FROM g), z AS (SELECT *, list_sum(list_transform(win, lambda p: p.x)) / 4 AS mx, list_sum(list_transform(win, lambda p: p.y)) / 4 AS my FROM w),
+n AS (SELECT *, list_transform(win, lambda p: {{'p': p, 'n': sqrt(pow(mx - p.x, 2) + pow(my - p.y, 2))}}) AS moved FROM z),
+raws AS (SELECT * EXCLUDE (tl, tr, br, bl), CASE WHEN a_ok AND b_ok AND dist < 25 THEN list_transform(range(1, 5), lambda j: {{'x': (a[j].x + b[j].x) / 2, 'y': (a[j].y + b[j].y) / 2}})
+  WHEN a_ok AND b_ok THEN list_transform(moved, lambda m: {{'x': CASE WHEN m.n > 0 THEN m.p.x + (mx - m.p.x) / m.n * 2 ELSE m.p.x END, 'y': CASE WHEN m.n > 0 THEN m.p.y + (my - m.p.y) / m.n * 2 ELSE m.p.y END}})
+  WHEN b_ok AND NOT a_ok THEN list_transform(b, lambda p: {{'x': p.x, 'y': p.y}}) ELSE list_transform(a, lambda p: {{'x': p.x, 'y': p.y}}) END AS raw FROM n),
+c4 AS (SELECT *, {_CORNER.format("raw[j].x + raw[j].y")} AS tl0, {_CORNER.format("raw[j].y - raw[j].x")} AS tr0, {_CORNER.format("-(raw[j].x + raw[j].y)")} AS br0, {_CORNER.format("-(raw[j].y - raw[j].x)")} AS bl0 FROM raws),
+q4 AS (SELECT *, {_CLIP.format("tl0")} AS tl, {_CLIP.format("tr0")} AS tr, {_CLIP.format("br0")} AS br, {_CLIP.format("bl0")} AS bl FROM c4),
+d4 AS (SELECT *, greatest(sqrt(pow(tr.x - tl.x, 2) + pow(tr.y - tl.y, 2)), sqrt(pow(br.x - bl.x, 2) + pow(br.y - bl.y, 2))) AS w, greatest(sqrt(pow(bl.x - tl.x, 2) + pow(bl.y - tl.y, 2)), sqrt(pow(br.x - tr.x, 2) + pow(br.y - tr.y, 2))) AS h,
+  abs(tl.x * tr.y - tr.x * tl.y + tr.x * br.y - br.x * tr.y + br.x * bl.y - bl.x * br.y + bl.x * tl.y - tl.x * bl.y) / 2 * 1000000 / 1080000 AS area,
+  CASE WHEN a_ok AND b_ok AND dist < 25 THEN 'agree' WHEN a_ok AND b_ok THEN 'winner' WHEN a_ok THEN 'first' WHEN b_ok THEN 'second' ELSE 'fallback' END AS branch FROM q4)
+SELECT {_K}, branch, round({_RECT} + CASE branch WHEN 'agree' THEN 0.5 + least(dist, 25) / 50.0 WHEN 'winner' THEN 0.2 WHEN 'fallback' THEN 0.0 ELSE 0.1 END, 6) AS score, round(tl.x, 4) AS tlx, round(tl.y, 4) AS tly, round(br.x, 4) AS brx, round(br.y, 4) AS bry FROM d4""",
+)
 def fused_detection(spark, sf):
     f = geo.fused(F.col("q"), F.col("sa"), F.col("b"), F.col("sb"), F.col("q"), F.lit(1200.0), F.lit(900.0))
-    return _fusion(spark, sf).withColumn("f", f).select(*KEY, F.col("f.branch").alias("branch"), F.round("f.score", 6).alias("score"), "f.contour")
+    at = lambda i, axis, name: F.round(F.get("f.contour", F.lit(i))[axis], 4).alias(name)
+    out = _fusion(spark, sf).withColumn("f", f)
+    return out.select(*KEY, F.col("f.branch").alias("branch"), F.round("f.score", 6).alias("score"), at(0, "x", "tlx"), at(0, "y", "tly"), at(2, "x", "brx"), at(2, "y", "bry"))
 
 
 @query(
@@ -159,6 +178,10 @@ def _runs(spark, sf):
     return images.crossJoin(methods).withColumn("score", score)
 
 
+def _table_images(spark, sf):
+    return spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("image_id"))
+
+
 @query("rank_methods", _RUNS + " SELECT image_id, method, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, ord)::INT AS rank FROM r")
 def rank_methods(spark, sf):
     return rank.rank_by(_runs(spark, sf), ["image_id"], F.col("score").desc(), F.col("ord")).select("image_id", "method", "rank")
@@ -184,7 +207,7 @@ def top_contours(spark, sf):
 @query("first_fit_epsilon", _RUNS + " SELECT image_id, min(ord) AS ord FROM r WHERE score BETWEEN 0.25 AND 0.5 GROUP BY image_id")
 def first_fit_epsilon(spark, sf):
     """The first parameter of a sweep whose polygon has four corners."""
-    return _runs(spark, sf).where("score BETWEEN 0.25 AND 0.5").groupBy("image_id").agg(F.min("ord").alias("ord"))
+    return rank.first_fit(_runs(spark, sf), ["image_id"], F.col("score").between(0.25, 0.5), "ord")
 
 
 @query(
@@ -194,9 +217,9 @@ SELECT image_id, CASE WHEN image_id % 5 < 2 AND s < 0.10::DOUBLE THEN 'full_imag
 )
 def best_alignment(spark, sf):
     """The best candidate; the whole image takes its place where it is eligible and the best is below 0.10."""
-    b = rank.best(_runs(spark, sf).where("ord < 3"), ["image_id"], F.col("score"), F.col("ord"), F.struct("ord", "score"))
-    choice = F.when((F.col("image_id") % 5 < 2) & (F.col("best.score") < 0.10), "full_image").when(F.col("best.score") > -1e17, F.concat(F.lit("candidate_"), F.col("best.ord").cast("string")))
-    return b.select("image_id", choice.alias("choice"))
+    runs = _runs(spark, sf).where("ord < 3").withColumn("name", F.concat(F.lit("candidate_"), F.col("ord").cast("string")))
+    whole = _table_images(spark, sf).where("image_id % 5 < 2").withColumn("whole_score", F.lit(1.0))
+    return rank.best_alignment(runs, ["image_id"], whole).select("image_id", F.col("name").alias("choice"))
 
 
 @query(
@@ -207,7 +230,7 @@ SELECT {_K}, arg_max(v, struct_pack(s := s, o := -v))::INT AS ordering FROM s GR
 def corner_ordering(spark, sf):
     """Six corner orders, scored by aspect, strip and a face in place."""
     c = view(spark, sf, "v_quad").withColumn("v", F.explode(F.array(*map(F.lit, range(6)))))
-    s = F.expr("0.4D * r * (v % 3) + 0.6D * t * 10 * (v % 2) + CASE WHEN sk = v THEN 0.5D ELSE 0D END")
+    s = geo.ordering_vote(F.expr("r * (v % 3)"), F.expr("t * 10 * (v % 2)"), F.expr("CASE WHEN sk = v THEN 0.5D ELSE 0D END"))
     return rank.best(c, KEY, s, F.col("v"), F.col("v"), "ordering")
 
 
@@ -220,7 +243,7 @@ def scale_and_guards(spark, sf):
     """Resize scales, crop and orientation guards, and normalised coordinates."""
     w, h, x, y = (F.col(c) for c in ("pw", "ph", "px", "py"))
     return view(spark, sf, "v_quad").select(
-        *KEY, F.round(F.least(600 / w, 400 / h), 6).alias("fit"), F.round(F.least(1600 / w, 1600 / h, F.lit(4.0)), 6).alias("upscale"), F.round(2048 / F.greatest(w, h, F.lit(2048.0)), 6).alias("shrink"),
-        ((w - 40 >= F.greatest(F.lit(20.0), 0.25 * w)) & (h - 40 >= F.greatest(F.lit(20.0), 0.25 * h))).alias("refined"), (h > 1.1 * w).alias("turned"), (F.abs(w / h - geo.CARD_RATIO) / geo.CARD_RATIO <= 0.12).alias("whole"),
-        F.round(x / 700, 6).alias("nx"), F.bround((x / 700).cast("decimal(18,12)"), 4).cast("double").alias("nx4"), ((y / 200 > 0.15) & (x / 300 < 0.40)).alias("face_ok"),
+        *KEY, F.round(geo.fit_scale(w, h, 600, 400), 6).alias("fit"), F.round(geo.fit_scale(w, h, 1600, 1600, 4.0), 6).alias("upscale"), F.round(geo.shrink_scale(w, h, 2048), 6).alias("shrink"),
+        geo.refined_ok(w - 40, h - 40, w, h).alias("refined"), geo.corners_turned(w, h).alias("turned"), geo.whole_image_ok(w, h).alias("whole"),
+        F.round(F.get(geo.quad_norm(geo.quad((x, y)), F.lit(700.0), F.lit(700.0)), F.lit(0))["x"], 6).alias("nx"), geo.share(x, 700).alias("nx4"), ((y / 200 > 0.15) & (x / 300 < 0.40)).alias("face_ok"),
     )

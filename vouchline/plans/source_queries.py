@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vouchline.operators import records
 from vouchline.sources import files
 
 QUERIES, ORACLES = {}, {}
@@ -55,5 +56,4 @@ def result_json(spark, sf):
 @query("missing_input", "SELECT event_id, CASE WHEN event_id % 3 = 0 OR user_id % 7 = 0 THEN 'error' END AS stage, CASE WHEN event_id % 3 = 0 OR user_id % 7 = 0 THEN 0 END AS gate FROM events")
 def missing_input(spark, sf):
     e = _events(spark, sf).withColumn("front", F.when(F.col("event_id") % 3 != 0, "f")).withColumn("selfie", F.when(F.col("user_id") % 7 != 0, "s"))
-    missing = F.col("front").isNull() | F.col("selfie").isNull()
-    return e.select("event_id", F.when(missing, "error").alias("stage"), F.when(missing, 0).alias("gate"))
+    return e.select("event_id", records.missing_input(F.col("front"), F.col("selfie")).alias("m")).select("event_id", "m.*")

@@ -159,9 +159,9 @@ def web_id_digits(spark, sf):
 def label_format(spark, sf):
     path = F.concat(F.lit("/in/"), F.col("day"), F.lit("/x.tar.JPG"))
     return _id(spark, sf).select(
-        "case_id", F.format_string("%.3f", F.col("cust") / 8.0).alias("score3"), F.format_string("%.1f%%", F.col("cust") / 5.0).alias("percent"),
-        F.concat(F.rpad(F.concat(F.lit("case_"), F.col("case_id").cast("string")), 45, " "), F.lpad("status", 8, " ")).alias("report_row"),
-        F.substring(F.repeat("day", 30), 1, 200).alias("traced"), text.stem(path).alias("stem"), text.extension(path).alias("ext"),
+        "case_id", text.score_label(F.col("cust") / 8.0).alias("score3"), text.percent_label(F.col("cust") / 5.0).alias("percent"),
+        text.report_row(F.concat(F.lit("case_"), F.col("case_id").cast("string")), F.col("status")).alias("report_row"), text.traced(F.repeat("day", 30)).alias("traced"),
+        text.stem(path).alias("stem"), text.extension(path).alias("ext"),
     )
 
 
