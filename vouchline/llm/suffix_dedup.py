@@ -34,7 +34,7 @@ from vouchline.llm.common import doc_chunks, materialise, pick, splitmix, table,
 WINDOW = 200
 GRAM = 32
 #: Distinct segments of one anchor that are sorted together.
-BLOCK = 8_000
+BLOCK = 1_000
 _CHUNK = 2_000_000
 _SHARD_BYTES = 2_000_000
 #: Below so many ids a list of documents is broadcast (8 bytes each).
