@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; ``run`` writes each
 result as Parquet in the shared folder and reads it as the next stage's documents. All stages but the last
 return the columns of documents.
+
+Defined results: a null text counts as empty, fails the quality rules and goes; null ids pass through, and each
+such row is judged on its own; of rows that are equal in id and text one stays; texts of any length are taken
+whole; an empty table gives an empty result; other columns, also such that differ from doc_id and text in case
+only, are kept up to the last stage.
 """
 
 from __future__ import annotations
