@@ -53,7 +53,7 @@ def test_suffix_array_and_prefixes():
             assert got[k] == n
 
 
-@pytest.mark.parametrize("block", [8000, 1])
+@pytest.mark.parametrize("block", [8000, 3, 1])
 def test_removed_bytes(spark, block):
     texts = corpus(block)
     docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)] + [(7, texts[7], "s"), (None, texts[30], "s")], "doc_id long, text string, seg string")

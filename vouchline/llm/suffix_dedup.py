@@ -8,7 +8,7 @@
    again). Kasai's rule gives common prefixes, all segments of a shard
    in step; neighbours that share 200 bytes form a group, duplicated if it has two occurrences in all.
 3. Cross-shard merging. An anchor with more distinct segments than ``BLOCK`` is sorted in several blocks;
-   their windows' sorted names are cut into ranges and merged by binary search, range by range.
+   their windows' names are cut into ranges, a row for each block and range, and merged by binary search.
 
 Segments, and windows that go from block to block, are named by their 128-bit XXH3. Long texts are cut into
 parts of ``_CHUNK`` windows that overlap by 199 bytes, so no task holds more of a text than that while it hashes.
@@ -217,16 +217,34 @@ def _ranges(offsets: np.ndarray) -> np.ndarray:
     return np.stack([offsets[cut], offsets[np.append(cut[1:], len(offsets)) - 1]], 1).astype(np.int32).ravel()
 
 
-_SHARD_SCHEMA = "anchor bigint, seg binary, ranges array<int>, block int, piece int, prints binary, spots binary"
+_SHARD_SCHEMA = "anchor bigint, seg binary, ranges array<int>, piece int, segs binary, owners binary, prints binary, spots binary"
 _NAMES = [c.split()[0] for c in _SHARD_SCHEMA.split(", ")]
-_TYPES = [pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+_TYPES = [pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int32(), *[pa.binary()] * 4]
+
+
+def _pieces(anchor: int, blocks: int, segs: list[bytes], texts: list[bytes], offsets: list[np.ndarray]):
+    """One block of an anchor as a row for each range of names: names of 16 bytes, and the segment and offset of each.
+
+    A range holds about a block's share of the anchor's windows, however many segments the anchor has.
+    """
+    owner = np.repeat(np.arange(len(segs), dtype=np.int32), [len(o) for o in offsets])
+    spot = np.concatenate(offsets).astype(np.int32)
+    prints = np.array([xxh3_128_digest(t[o : o + WINDOW]) for t, mine in zip(texts, offsets, strict=True) for o in mine.tolist()], "S16")
+    piece = (np.frombuffer(prints.tobytes(), ">u4")[::4].astype(np.int64) * blocks) >> 32
+    order = np.argsort(piece, kind="stable")  # segments and offsets stay in order
+    piece = piece[order]
+    first = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+    for a, b in zip(first.tolist(), np.append(first[1:], len(piece)).tolist(), strict=True):
+        sel = order[a:b]
+        names, own = np.unique(owner[sel], return_inverse=True)
+        yield anchor, None, None, int(piece[a]), b"".join(segs[i] for i in names.tolist()), own.astype(np.int32).tobytes(), prints[sel].tobytes(), spot[sel].tobytes()
 
 
 def _sort_shards(batches):
     """Rows (key, anchor, seg, copies, blocks, block, text) sorted by key -> duplicated windows per segment.
 
-    Windows of an anchor in one block are settled here. Of an anchor in several blocks, the windows also go on
-    as fingerprints, cut into as many ranges as there are blocks.
+    Windows of a block are settled here. Of an anchor in several blocks, the windows also go on
+    as names, cut into as many ranges as there are blocks.
     """
 
     def work(rows):
@@ -241,16 +259,15 @@ def _sort_shards(batches):
         order = np.lexsort((offset, owner))
         owner, offset, twice = owner[order], offset[order], twice[order]
         bounds = np.searchsorted(owner, np.arange(len(rows) + 1))
+        split = {}
         for k, r in enumerate(rows):
             mine, hit = offset[bounds[k] : bounds[k + 1]], twice[bounds[k] : bounds[k + 1]]
             if hit.any():
-                out.append((r[1], r[2], _ranges(mine[hit]), None, None, None, None))
+                out.append((r[1], r[2], _ranges(mine[hit]), *[None] * 5))
             if r[4] > 1:
-                prints = np.array([xxh3_128_digest(r[6][o : o + WINDOW]) for o in mine.tolist()], "S16")
-                piece = (np.frombuffer(prints.tobytes(), ">u4")[::4].astype(np.int64) * r[4]) >> 32
-                for p in np.unique(piece).tolist():
-                    sel = piece == p
-                    out.append((r[1], r[2], None, r[5], p, prints[sel].tobytes(), mine[sel].astype(np.int32).tobytes()))
+                split.setdefault((r[1], r[4], r[5]), []).append((r[2], r[6], mine))
+        for (anchor, blocks, _), members in split.items():
+            out.extend(_pieces(anchor, blocks, *map(list, zip(*members, strict=True))))
         return out
 
     pending, size = [], 0
@@ -270,18 +287,20 @@ def _shard_batch(rows):
 
 
 def _merge_pieces(batches):
-    """Rows (anchor, piece, seg, prints, spots) sorted by (anchor, piece): names of one range, from several blocks.
+    """Rows (anchor, piece, segs, owners, prints, spots) sorted by (anchor, piece): one range's names, a row a block.
 
-    Each segment's names are looked up in the sorted names of the range by binary search.
+    Each block's names are looked up in the sorted names of the range by binary search.
     """
 
     def work(rows):
-        every = np.sort(np.concatenate([np.frombuffer(r[3], "S16") for r in rows]))
+        every = np.sort(np.concatenate([np.frombuffer(r[4], "S16") for r in rows]))
         for r in rows:
-            own = np.frombuffer(r[3], "S16")
-            hit = np.searchsorted(every, own, "right") - np.searchsorted(every, own, "left") > 1
-            if hit.any():
-                yield r[0], r[2], _ranges(np.sort(np.frombuffer(r[4], np.int32)[hit]))
+            names = np.frombuffer(r[4], "S16")
+            hit = np.searchsorted(every, names, "right") - np.searchsorted(every, names, "left") > 1
+            owner, spot = np.frombuffer(r[3], np.int32)[hit], np.frombuffer(r[5], np.int32)[hit]
+            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else owner
+            for a, b in zip(first.tolist(), np.append(first[1:], len(owner)).tolist(), strict=False):
+                yield r[0], r[2][16 * owner[a] : 16 * owner[a] + 16], _ranges(spot[a:b])
 
     def flush(rows):
         got = list(work(rows))
@@ -345,7 +364,7 @@ def duplicated(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     placed = texts.repartition(parts, "key").dropDuplicates(["key", "anchor", "seg"]).sortWithinPartitions("key", "anchor", "seg")
     sorted_ = materialise(placed.mapInArrow(_sort_shards, _SHARD_SCHEMA), "sorted-shards")
     settled = sorted_.where("ranges IS NOT NULL").select("anchor", "seg", "ranges")
-    open_ = sorted_.where("ranges IS NULL").select("anchor", "piece", "seg", "prints", "spots")
+    open_ = sorted_.where("ranges IS NULL").select("anchor", "piece", "segs", "owners", "prints", "spots")
     merged = open_.repartition(parts, "anchor", "piece").sortWithinPartitions("anchor", "piece").mapInArrow(_merge_pieces, "anchor bigint, seg binary, ranges array<int>")
     found = alone.unionByName(settled).unionByName(merged)
     return shared.join(found, ["anchor", "seg"]).groupBy("rid").agg(F.collect_set(F.struct("at", "ranges")).alias("windows"))
