@@ -63,7 +63,7 @@ def test_configuration_is_replaced_whole(spark, tmp_path):
 def test_results(spark, tmp_path):
     df = spark.createDataFrame([(1, float("nan"), None, "نص", "NaN said")], "id int, d double, e string, t string, u string")
     files.write_result(df, str(tmp_path / "r"))
-    line = next((tmp_path / "r").glob("part-*")).read_text().strip()
+    line = "".join(p.read_text() for p in (tmp_path / "r").glob("part-*")).strip()  # the first part may be an empty file
     assert line == '{"id":1,"d":NaN,"e":null,"t":"⁧نص⁩","u":"NaN said"}' and json.loads(line)["e"] is None
     assert "\n" in df.select(files.to_result_json(F.struct("id", "t"), indent=True)).first()[0]
     assert files.write_csv(df.select("id", "t"), str(tmp_path / "c")) and spark.read.csv(str(tmp_path / "c"), header=True).first().t == "نص"
