@@ -34,9 +34,13 @@ def _dist(q: Column, i: int, j: int) -> Column:
 
 def polygon_area(q: Column) -> Column:
     """Shoelace, absolute."""
-    n = F.size(q)
-    terms = F.transform(q, lambda p, i: p.x * F.get(q, (i + 1) % n)["y"] - F.get(q, (i + 1) % n)["x"] * p.y)
-    return F.abs(F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)) / 2
+
+    def of(q):
+        n = F.size(q)
+        terms = F.transform(q, lambda p, i: p.x * F.get(q, (i + 1) % n)["y"] - F.get(q, (i + 1) % n)["x"] * p.y)
+        return F.abs(F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)) / 2
+
+    return let(q, of)
 
 
 def _first_least(q: Column, key) -> Column:
@@ -46,7 +50,8 @@ def _first_least(q: Column, key) -> Column:
 
 def order_points(q: Column) -> Column:
     """Top-left, top-right, bottom-right, bottom-left by coordinate sums and differences; first index on ties."""
-    return F.array(_first_least(q, lambda p: p.x + p.y), _first_least(q, lambda p: p.y - p.x), _first_least(q, lambda p: -(p.x + p.y)), _first_least(q, lambda p: -(p.y - p.x)))
+    keys = (lambda p: p.x + p.y, lambda p: p.y - p.x, lambda p: -(p.x + p.y), lambda p: -(p.y - p.x))
+    return let(q, lambda q: F.array(*(_first_least(q, key) for key in keys)))
 
 
 def width(q: Column) -> Column:
@@ -66,8 +71,9 @@ def rect_score(q: Column, image_area: Column) -> Column:
         ok = (h >= 1) & frac.between(MIN_AREA, MAX_AREA) & (err <= MAX_RATIO_ERROR)
         return F.when(ok, frac - err * 0.8).otherwise(NO_CANDIDATE)
 
-    frac = polygon_area(q) / F.greatest(image_area, F.lit(1.0))
-    return let(F.struct(width(q).alias("w"), height(q).alias("h"), frac.alias("frac")), of)
+    # the quad stands once: a caller's column may be a long expression that a filter on the score writes out again
+    fraction = lambda q: polygon_area(q) / F.greatest(image_area, F.lit(1.0))
+    return let(let(q, lambda q: F.struct(width(q).alias("w"), height(q).alias("h"), fraction(q).alias("frac"))), of)
 
 
 def aspect_score(q: Column) -> Column:
