@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vouchline.llm.bits import bit_filter, fits
 from vouchline.llm.common import LOWER, distinct_spans, doc_chunks, forget, join_hot, materialise, pick, splitmix, table, text_bytes, word_ids, word_spans
 from vouchline.llm.components import SMALL, least_reachable
 
@@ -41,7 +42,6 @@ LEAVES = 256
 #: Shingles of a bucket that one task compares with as many others.
 BLOCK = 2_000_000
 _CHUNK = 4_000_000
-_FILTER_BITS = 26
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -119,28 +119,14 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return read.mapInArrow(_prints, f"id {read.schema[id_col].dataType.simpleString()}, rid bigint, v bigint, n bigint, bands array<bigint>")
 
 
-def _filter(keys: DataFrame, column: str) -> np.ndarray:
-    """A bit array of fixed size with the top bits of these 64-bit hashes set; other hashes may fit it too."""
-    word, bit = F.shiftrightunsigned(column, 64 - (_FILTER_BITS - 6)).cast("int"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned({column}, 20) & 63 AS int))")
-    rows = keys.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most 2**20 rows
-    bits = np.zeros(1 << (_FILTER_BITS - 6), np.int64)
-    bits[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
-    return bits.view(np.uint64)
-
-
-def _fits(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    h = hashes.view(np.uint64)
-    return (bits[(h >> np.uint64(64 - (_FILTER_BITS - 6))).astype(np.int64)] >> ((h >> np.uint64(20)) & np.uint64(63))) & np.uint64(1) > 0
-
-
 def full_sets(docs: DataFrame, rids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """v, full (its sorted hashes) of at least the rows named in rids (rid)."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(rids, "rid"))  # 8 MB
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(rids, "rid"))  # 8 MB
 
     def rows(batches):
         bits = shared.value
         for batch in batches:
-            chosen = batch.filter(pa.array(_fits(bits, batch.column(1).to_numpy(zero_copy_only=False))))
+            chosen = batch.filter(pa.array(fits(bits, batch.column(1).to_numpy(zero_copy_only=False))))
             buf, off = text_bytes(chosen.column(0))
             for i, j in doc_chunks(off, _CHUNK):
                 sets = {_set_name(s): s for s in shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i]) if len(s)}

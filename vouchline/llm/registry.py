@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from vouchline.llm import bpe, decontaminate, minhash, pitman_yor, quality, secrets, simhash, suffix_dedup, toxicity, url_filter, warc
+from vouchline.llm import bpe, collocations, decontaminate, divergence, minhash, pitman_yor, quality, secrets, simhash, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_pitman_yor": pitman_yor.op1_pitman_yor,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op11_minhash": minhash.op11_minhash,
+    "op12_divergence": divergence.op12_divergence,
+    "op13_collocations": collocations.op13_collocations,
     "op2_warc": warc.op2_warc,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_secret_scan": secrets.op4_secret_scan,
@@ -17,4 +19,11 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
-ORACLES = {"op11_minhash": minhash.ORACLE, "op2_warc": warc.ORACLE, "op8_quality_rules": quality.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
+ORACLES = {
+    "op11_minhash": minhash.ORACLE,
+    "op12_divergence": divergence.ORACLE,
+    "op13_collocations": collocations.ORACLE,
+    "op2_warc": warc.ORACLE,
+    "op8_quality_rules": quality.ORACLE,
+    "op9_decontaminate": decontaminate.ORACLE,
+}
