@@ -9,7 +9,7 @@
    The text is read again for it; a bit array of fixed size names those pairs, and what it names besides is
    merged and falls below ``LEAST`` itself. So few of the text's triples are ever shuffled.
 3. Walking a phrase's path up gives its left parts, a suffix link (its node without the first word) its right
-   parts; both are lookups in the merged levels, where keys with a great share of the rows are split off.
+   parts: nodes and the paths that lead to them are sorted together and read in that order.
 
 Words are named by XXH3 seeded with their language: two of n words share a name with a probability of about
 n squared / 2**65.
@@ -29,8 +29,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from vouchline.llm.bits import bit_filter, fits
-from vouchline.llm.common import LOWER, distinct_spans, doc_chunks, join_hot, materialise, pick, splitmix, table, text_bytes
-from vouchline.llm.components import SMALL
+from vouchline.llm.common import LOWER, distinct_spans, doc_chunks, materialise, pick, splitmix, table, text_bytes
 from vouchline.llm.tokens import byte_set, runs
 
 LEAST = 10
@@ -239,10 +238,54 @@ def _merge_three(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (*steps, n)], names=["w1", "w2", "w3", "n"])
 
 
-def _lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Inner join with a row a key on the right, whatever share of the left rows a key has."""
-    rows = materialise(left.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).join(right, key), "lookup")
-    return join_hot(left, rows, key, "__n", SMALL)
+def _filled(keys: int, payload: int):
+    """Rows sorted by key, a key's node (its last columns null) first: each other row with its node's payload."""
+
+    def walk(batches):
+        last = None
+        for batch in batches:
+            columns = [batch.column(i) for i in range(batch.num_columns)]
+            is_node = columns[-1].is_valid().to_numpy(zero_copy_only=False)
+            names = [c.to_numpy(zero_copy_only=False) for c in columns[:keys]]
+            values = [np.asarray(c.fill_null(0).to_numpy(zero_copy_only=False)) for c in columns[-payload:]]
+            if last is not None:  # the node of a key that goes on from the batch before stands in front
+                names = [np.append(x[:1], n) for x, n in zip(last[0], names, strict=True)]
+                values = [np.append(x[:1], v) for x, v in zip(last[1], values, strict=True)]
+                is_node = np.append(True, is_node)
+            at = np.maximum.accumulate(np.where(is_node, np.arange(len(is_node)), 0))
+            known = ~is_node & is_node[at]
+            for n in names:
+                known &= n == n[at]
+            last = ([n[at[-1:]] for n in names], [v[at[-1:]] for v in values]) if len(at) else last
+            known, at = known[len(known) - batch.num_rows :], at[len(at) - batch.num_rows :]
+            keep = pa.array(known)
+            kept = [c.filter(keep) for c in columns[:-payload]] + [pa.array(v[at[known]]) for v in values]
+            yield pa.RecordBatch.from_arrays(kept, names=batch.schema.names)
+
+    return walk
+
+
+def _walk(paths: DataFrame, nodes: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
+    """paths with the payload (bigint) of the node that their key names: up the trie, or along a suffix link.
+
+    Nodes and paths are sorted together, each node ahead of its paths. A key with over a thousandth of the paths is
+    dealt in ``SPREAD`` slots, each with its node; there are fewer than a thousand such keys.
+    """
+    parts = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = [c for c in paths.columns if c not in keys]
+    counted = paths.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    often = max(1000, paths.count() // 1000)
+    hot = [tuple(r)[:-1] for r in counted.where(F.col("__n") > often).collect()]
+    name = F.concat_ws(":", *keys)
+    is_hot = name.isin([":".join(map(str, k)) for k in hot]) if hot else F.lit(False)
+    slots = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))))
+    slot = F.when(is_hot, F.pmod(F.xxhash64(*rest), F.lit(SPREAD)).cast("int")).otherwise(0)
+    kinds = {f.name: f.dataType.simpleString() for f in paths.schema}
+    above = nodes.select(*keys, slots.alias("__slot"), *(F.lit(None).cast(kinds[c]).alias(c) for c in rest), *payload)
+    below = paths.select(*keys, slot.alias("__slot"), *rest, *(F.lit(None).cast("bigint").alias(c) for c in payload))
+    placed = above.unionByName(below).repartition(parts, *keys, "__slot").sortWithinPartitions(*keys, "__slot", F.col(payload[0]).desc_nulls_last())
+    schema = ", ".join(f"{c} {kinds.get(c, 'bigint' if c != '__slot' else 'int')}" for c in placed.columns)
+    return materialise(placed.mapInArrow(_filled(len(keys), len(payload)), schema).drop("__slot"), "walk")
 
 
 def _score(a: str, left: str, right: str):
@@ -266,30 +309,34 @@ def levels(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[Dat
 def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases of two and three words."""
     two, three = levels(docs, text, lang)
-    words = two.where("kind = 1").select("l", "w1", "word", "n")
-    pairs = two.where("kind = 2").select(F.struct("w1", "w2").alias("k"), "n")
-    word = lambda i: words.select(F.col("w1").alias(f"w{i}"), F.col("word").alias(f"t{i}"), F.col("n").alias(f"f{i}"))
-    pair = lambda i: pairs.select(F.col("k").alias(f"k{i}"), F.col("n").alias(f"f{i}"))
-
-    long = three.select("*", F.struct("w1", "w2").alias("k12"), F.struct(F.col("w2").alias("w1"), F.col("w3").alias("w2")).alias("k23"))
-    around = long.select(F.col("k12").alias("k"), "n").unionByName(long.select(F.col("k23").alias("k"), "n")).groupBy("k").agg(F.max("n").alias("longer"))
-    short = pairs.join(around, "k", "left").where(f"longer IS NULL OR 100 * longer < {COVERED} * n").select("k.w1", "k.w2", F.col("n").alias("a"))
-    first = words.select("w1", "l", F.col("word").alias("t1"), F.col("n").alias("f1"))
-    short = _lookup(_lookup(short, first, "w1"), word(2), "w2")
-    short = short.select(F.col("l").alias("lang_"), F.concat_ws(" ", "t1", "t2").alias("phrase"), "a", F.col("f1").alias("l"), F.col("f2").alias("r"), _score("a", "f1", "f2").alias("score"))
-
-    long = long.withColumnRenamed("n", "a")
-    for found, key in ((pair(12), "k12"), (pair(23), "k23"), (first, "w1"), (word(2), "w2"), (word(3), "w3")):
-        long = _lookup(long, found, key)
+    words = two.where("kind = 1")
+    pairs = two.where("kind = 2").select("w1", "w2", "n")
+    word = lambda key, *names: words.select(F.col("w1").alias(key), *(F.col(c).alias(n) for c, n in zip(("n", "l"), names)))  # noqa: B905, E731
+    pair = lambda x, y, name: pairs.select(F.col("w1").alias(x), F.col("w2").alias(y), F.col("n").alias(name))
+
+    # a pair and the triples that begin or end with it, in one aggregate
+    longer = three.select(F.explode(F.array(F.struct("w1", "w2"), F.struct(F.col("w2").alias("w1"), F.col("w3").alias("w2")))).alias("p"), "n").select("p.*", F.lit(None).cast("bigint").alias("a"), F.col("n").alias("longer"))
+    short = pairs.select("w1", "w2", F.col("n").alias("a"), F.lit(None).cast("bigint").alias("longer")).unionByName(longer).groupBy("w1", "w2").agg(F.max("a").alias("a"), F.max("longer").alias("longer"))
+    short = materialise(short.where(f"a IS NOT NULL AND (longer IS NULL OR 100 * longer < {COVERED} * a)").select("w1", "w2", "a"), "pairs")
+    short = _walk(_walk(short, word("w1", "f1", "lang_"), ["w1"], ["f1", "lang_"]), word("w2", "f2"), ["w2"], ["f2"])
+    short = short.select("lang_", "w1", "w2", F.lit(None).cast("bigint").alias("w3"), "a", F.col("f1").alias("l"), F.col("f2").alias("r"), _score("a", "f1", "f2").alias("score"))
+
+    long = three.withColumnRenamed("n", "a")
+    for nodes, keys, payload in ((word("w1", "f1", "lang_"), ["w1"], ["f1", "lang_"]), (word("w3", "f3"), ["w3"], ["f3"]), (pair("w1", "w2", "f12"), ["w1", "w2"], ["f12"]), (pair("w2", "w3", "f23"), ["w2", "w3"], ["f23"])):
+        long = _walk(long, nodes, keys, payload)
     long = long.withColumn("s1", _score("a", "f1", "f23")).withColumn("s2", _score("a", "f12", "f3"))
-    long = long.select(F.col("l").alias("lang_"), F.concat_ws(" ", "t1", "t2", "t3").alias("phrase"), "a", F.expr("IF(s1 <= s2, f1, f12)").alias("l"), F.expr("IF(s1 <= s2, f23, f3)").alias("r"), F.least("s1", "s2").alias("score"))
+    long = long.select("lang_", "w1", "w2", "w3", "a", F.expr("IF(s1 <= s2, f1, f12)").alias("l"), F.expr("IF(s1 <= s2, f23, f3)").alias("r"), F.least("s1", "s2").alias("score"))
 
-    order = [F.desc("score"), F.desc("a"), "phrase"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a language's candidates are cut down in parts first, so no task sorts all of them
-    part = Window.partitionBy("lang_", F.expr(f"pmod(xxhash64(phrase), {parts})")).orderBy(*order)
-    best = short.unionByName(long).withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top)
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang_").orderBy(*order))).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a")]
+    # a language's candidates are cut down in parts first, ties kept, so no task sorts all of them; only the rest is spelt
+    part = Window.partitionBy("lang_", F.expr(f"pmod(xxhash64(w1, w2, w3), {parts})")).orderBy(*order)
+    best = short.unionByName(long).withColumn("rank", F.rank().over(part)).where(F.col("rank") <= top)
+    best = materialise(best.withColumn("rank", F.rank().over(Window.partitionBy("lang_").orderBy(*order))).where(F.col("rank") <= top), "best")
+    for i in (1, 2, 3):
+        best = best.join(words.select(F.col("w1").alias(f"w{i}"), F.col("word").alias(f"t{i}")), f"w{i}", "left")
+    best = best.withColumn("phrase", F.concat_ws(" ", "t1", "t2", "t3"))
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang_").orderBy(*order, "phrase"))).where(F.col("rank") <= top)
     totals = two.where("kind = 0").groupBy(F.col("l").alias("lang_")).agg(F.sum("n").alias("n"))
     langs = pick(docs, lang).select(F.coalesce(lang, F.lit("und")).alias("lang")).distinct().withColumn("lang_", F.xxhash64("lang"))
     return best.join(totals, "lang_").join(langs, "lang_").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
