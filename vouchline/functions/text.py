@@ -142,11 +142,10 @@ def century_fix(id14: Column, year: int) -> Column:
 
 
 def extract_yyyymmdd(c: Column) -> Column:
-    """First separated date if valid, else first run of eight, else the first valid window over all digits."""
+    """First separated date (two digits for month and day) if valid, else first run of eight, else the first valid window over all digits."""
     t = fold_digits(c)
-    separated = F.regexp_extract(t, r"([0-9]{4})\s*[/\\\-.]\s*([0-9]{1,2})\s*[/\\\-.]\s*([0-9]{1,2})", 0)
-    parts = [F.regexp_extract(t, r"([0-9]{4})\s*[/\\\-.]\s*([0-9]{1,2})\s*[/\\\-.]\s*([0-9]{1,2})", k) for k in (1, 2, 3)]
-    first = F.when(separated != "", F.concat(parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0")))
+    pattern = r"([0-9]{4})\s*[/\\\-.]\s*([0-9]{2})\s*[/\\\-.]\s*([0-9]{2})"
+    first = F.concat(*(F.regexp_extract(t, pattern, k) for k in (1, 2, 3)))
     plain = F.regexp_replace(F.regexp_extract(t, r"[0-9]{4}\s*[0-9]{2}\s*[0-9]{2}", 0), r"[^0-9]", "")
     digits = F.regexp_replace(t, r"[^0-9]", "")
     windows = F.transform(F.sequence(F.lit(1), F.greatest(F.length(digits) - 7, F.lit(1))), lambda i: digits.substr(i, F.lit(8)))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vouchline.functions.geometry import crop_norm
+from vouchline.storage import cut
 
 # Regions of the card (side, field, order, x1, y1, x2, y2, numeric, photo).
 ROIS = (
@@ -55,31 +55,45 @@ def overlap_pairs(boxes: DataFrame, page: str, box_id: str, gap: int, cell: int)
     return a.join(b, on).where(first).select(F.col(f"a.{page}").alias(page), F.col(f"a.{box_id}").alias("a"), F.col(f"b.{box_id}").alias("b"))
 
 
+def _near(a: Column, b: Column, gap: int) -> Column:
+    return (a["x1"] - gap < b["x2"] + gap) & (b["x1"] - gap < a["x2"] + gap) & (a["y1"] - gap < b["y2"] + gap) & (b["y1"] - gap < a["y2"] + gap)
+
+
+def _around(a: Column, b: Column) -> Column:
+    least, most = (lambda c: F.least(a[c], b[c]).alias(c)), (lambda c: F.greatest(a[c], b[c]).alias(c))
+    return F.struct(least("x1"), least("y1"), most("x2"), most("y2"), (a["members"] + b["members"]).alias("members"))
+
+
 def merge_boxes(boxes: DataFrame, page: str, gap: int) -> DataFrame:
     """Overlapping boxes of a page united until none overlap; page, x1, y1, x2, y2, members.
 
-    A page's boxes are one image's regions; pages are the unit of parallel work.
+    A page's boxes stand in one array, and a round goes through it four times: each box takes in what it overlaps of
+    those before it. What has grown may overlap others, so rounds go on over the pages that still changed. The result
+    doesn't depend on any order: whatever overlaps must end in one box. A page is one image's boxes and one row.
     """
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        todo = frame.sort_values(["y1", "x1", "y2", "x2"])[["x1", "y1", "x2", "y2"]].to_numpy(dtype="int64").tolist()
-        todo = [[*b, 1] for b in todo]
-        count = -1
-        while count != len(todo):
-            count, done = len(todo), []
-            for b in todo:
-                for d in done:
-                    if d[0] - gap < b[2] + gap and b[0] - gap < d[2] + gap and d[1] - gap < b[3] + gap and b[1] - gap < d[3] + gap:
-                        d[:] = [min(d[0], b[0]), min(d[1], b[1]), max(d[2], b[2]), max(d[3], b[3]), d[4] + b[4]]
-                        break
-                else:
-                    done.append(b)
-            todo = done
-        out = pd.DataFrame(todo, columns=["x1", "y1", "x2", "y2", "members"])
-        out.insert(0, page, frame[page].iloc[0])
-        return out
-
-    return boxes.select(page, "x1", "y1", "x2", "y2").groupBy(page).applyInPandas(merge, f"{page} bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint, members bigint")
+    sides = ("x1", "y1", "x2", "y2")
+    kind = "array<struct<x1:bigint,y1:bigint,x2:bigint,y2:bigint,members:bigint>>"
+
+    def take_in(done: Column, box: Column) -> Column:
+        met = F.filter(done, lambda d: _near(d, box, gap))
+        return F.when(F.size(met) == 0, F.concat(done, F.array(box))).otherwise(F.concat(F.filter(done, lambda d: ~_near(d, box, gap)), F.array(F.aggregate(met, box, _around))))
+
+    first = boxes.select(page, *(F.col(c).cast("bigint").alias(c) for c in sides)).groupBy(page, *sides).agg(F.count(F.lit(1)).alias("members"))
+    now, settled = first.groupBy(page).agg(F.array_sort(F.collect_list(F.struct(*sides, "members"))).cast(kind).alias("b")), []
+    while True:
+        after = F.col("b")
+        for _ in range(4):
+            after = F.aggregate(after, F.array().cast(kind), take_in)
+        now = cut(now.withColumn("after", after))
+        same = F.size("b") == F.size("after")
+        settled.append(now.where(same).select(page, "b"))
+        now = now.where(~same).select(page, F.col("after").alias("b"))
+        if not now.take(1):
+            break
+    every = settled[0]
+    for more in settled[1:]:
+        every = every.unionByName(more)
+    return every.select(page, F.explode("b").alias("b")).select(page, "b.*")
 
 
 def text_region(x1: Column, y1: Column, x2: Column, y2: Column, w: int, h: int) -> Column:

@@ -50,13 +50,15 @@ def text_scores(df: DataFrame, keys: list[str], line: Column, confidence: Column
 
 
 def expiry_anchors(df: DataFrame, keys: list[str], pos: str, line: str, cy: Column, h: Column) -> DataFrame:
-    """Lines with a label word, merged with up to two following lines, each within 1.3 line heights; a gap ends the run."""
+    """Lines with a label word, merged with up to two following lines, each within 1.3 heights of the label's own line
+    (at least 1.3 pixels); a gap ends the run.
+    """
     w = Window.partitionBy(*keys).orderBy(pos)
-    near = lambda a, b, hh: F.abs(b - a) <= 1.3 * hh
+    near = lambda c: F.coalesce(F.abs(F.col(c) - F.col("__cy")) <= 1.3 * F.greatest(F.col("__h"), F.lit(1.0)), F.lit(False))
     marked = df.withColumns({"__cy": cy, "__h": h, "label": text.expiry_label_score(F.col(line))})
     marked = marked.withColumns({"__c1": F.lead("__cy", 1).over(w), "__c2": F.lead("__cy", 2).over(w), "__l1": F.lead(line, 1).over(w), "__l2": F.lead(line, 2).over(w)})
-    one = F.coalesce(near(F.col("__cy"), F.col("__c1"), F.col("__h")), F.lit(False))
-    two = one & F.coalesce(near(F.col("__cy"), F.col("__c2"), F.col("__h") * 2), F.lit(False))
+    one = near("__c1")
+    two = one & near("__c2")
     merged = text.normalize_arabic(F.concat_ws(" ", F.col(line), F.when(one, F.col("__l1")), F.when(two, F.col("__l2"))))
     found = marked.where("label > 0").withColumn("merged", merged).withColumn("label_score", text.expiry_label_score(F.col("merged"))).withColumn("date", text.extract_yyyymmdd(F.col("merged")))
     return found.withColumn("matched", (F.col("label_score") >= 2) & (F.col("date") != "")).select(*keys, pos, "merged", "label_score", "date", "matched")

@@ -154,9 +154,11 @@ def warped(px: DataFrame, matrix: list[list[float]], w: int, h: int) -> DataFram
     return every.join(found, ["image", "y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
 
 
-def lines_quad(segments: DataFrame, w: int, h: int) -> DataFrame:
+def lines_quad(segments: DataFrame, w: int | str, h: int | str) -> DataFrame:
     """segments (image, pos, x1, y1, x2, y2) -> image, contour, score: the quad of the outermost level and upright lines.
 
+    The images' size is the same for all, or in two columns of the segments.
+
     Null and the sentinel where an image has fewer than two of either class or parallel outermost lines.
     """
     kind = geo.line_class(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
@@ -170,8 +172,10 @@ def lines_quad(segments: DataFrame, w: int, h: int) -> DataFrame:
     cut = lambda p, q: geo.line_intersection(p["a"], p["b"], p["c"], q["a"], q["b"], q["c"])
     corners = F.array(*(cut(F.col(i), F.col(j)) for i in ("h1", "h2") for j in ("v1", "v2")))
     found = hs.join(vs, "image").withColumn("q", corners).where(~F.exists("q", lambda p: p.isNull()))
-    contour = geo.let(geo.clip_quad(F.col("q"), F.lit(float(w)), F.lit(float(h))), geo.order_points)
-    scored = found.select("image", contour.alias("contour")).withColumn("score", geo.rect_score(F.col("contour"), F.lit(float(w * h))))
+    side = lambda s, name: (F.first(s) if isinstance(s, str) else F.max(F.lit(s))).cast("double").alias(name)
+    found = found.join(segments.groupBy("image").agg(side(w, "__w"), side(h, "__h")), "image")
+    contour = geo.let(geo.clip_quad(F.col("q"), F.col("__w"), F.col("__h")), geo.order_points)
+    scored = found.select("image", "__w", "__h", contour.alias("contour")).withColumn("score", geo.rect_score(F.col("contour"), F.col("__w") * F.col("__h"))).drop("__w", "__h")
     return segments.select("image").distinct().join(scored, "image", "left").withColumn("score", F.coalesce("score", F.lit(geo.NO_CANDIDATE)))
 
 

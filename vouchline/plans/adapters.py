@@ -52,6 +52,15 @@ VIEWS: dict[str, tuple[str, str, str | None]] = {
         "SELECT doc_id, pos, line FROM (SELECT doc_id, posexplode(split(text, '\\n')) AS (pos, line) FROM documents) WHERE trim(line) <> ''",
         "SELECT doc_id, (i - 1)::INT AS pos, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE trim(l[i]) <> ''",
     ),
+    "v_raster": (  # a bright, sheared card with its own noise on a dark ground; images of twelve sizes, one a supplier
+        "supplier",
+        """SELECT image, w, h, shear, x0, y0, cw, ch, transform(sequence(0, w * h - 1), i -> IF(i % w - x0 - (i DIV w - y0) * shear DIV 8 BETWEEN 0 AND cw - 1 AND i DIV w - y0 BETWEEN 0 AND ch - 1, 190, 40) + (i * 7919 + image * 31) * (i % 13 + 1) % 17) AS v FROM
+             (SELECT /*+ REPARTITION(s_suppkey) */ CAST(s_suppkey AS INT) AS image, CAST(48 + s_suppkey % 3 * 8 AS INT) AS w, CAST(36 + s_suppkey % 4 * 4 AS INT) AS h, CAST(s_suppkey % 3 - 1 AS INT) AS shear, CAST(9 + s_suppkey % 5 AS INT) AS x0, CAST(6 + s_suppkey % 4 AS INT) AS y0,
+               CAST(30 + s_suppkey % 3 * 6 AS INT) AS cw, CAST(20 + s_suppkey % 4 * 3 AS INT) AS ch FROM supplier)""",
+        """SELECT image, w, h, shear, x0, y0, cw, ch, list_transform(range(w * h), lambda i: (CASE WHEN i % w - x0 - ((i // w - y0) * shear // 8) BETWEEN 0 AND cw - 1 AND i // w - y0 BETWEEN 0 AND ch - 1 THEN 190 ELSE 40 END + (i * 7919 + image * 31) * (i % 13 + 1) % 17)::INT) AS v FROM
+             (SELECT s_suppkey::INT AS image, (48 + s_suppkey % 3 * 8)::INT AS w, (36 + s_suppkey % 4 * 4)::INT AS h, (s_suppkey % 3 - 1)::INT AS shear, (9 + s_suppkey % 5)::INT AS x0, (6 + s_suppkey % 4)::INT AS y0,
+               (30 + s_suppkey % 3 * 6)::INT AS cw, (20 + s_suppkey % 4 * 3)::INT AS ch FROM supplier)""",
+    ),
     "v_stage": (
         "orders",
         """SELECT o_orderkey AS case_id, o_orderkey % 17 <> 0 AS has_front, o_orderkey % 19 <> 0 AS has_back, o_orderkey % 23 <> 0 AS has_selfie, o_orderkey % 29 = 0 AS feature_error, o_orderkey % 5 <> 0 AS feature_front,

@@ -189,7 +189,16 @@ def overlap_pairs(spark, sf):
     return boxes.overlap_pairs(_boxes(spark, sf).select("image_id", "box", "x1", "y1", "x2", "y2"), "image_id", "box", 10, 64)
 
 
-@query("merged_boxes", None)
+# every box takes in whatever overlaps it, all boxes at once, over and over; boxes of one group end up equal
+_MERGE = """, g AS (
+  SELECT {page}, id, 0 AS turn, x1, y1, x2, y2 FROM start UNION ALL
+  SELECT a.{page}, a.id, a.turn + 1, min(b.x1), min(b.y1), max(b.x2), max(b.y2) FROM g a JOIN g b ON a.{page} = b.{page}
+    AND (a.id = b.id OR (greatest(a.x1, b.x1) - {gap} < least(a.x2, b.x2) + {gap} AND greatest(a.y1, b.y1) - {gap} < least(a.y2, b.y2) + {gap}))
+  WHERE a.turn < 40 GROUP BY a.{page}, a.id, a.turn
+), merged AS (SELECT {page}, x1::BIGINT AS x1, y1::BIGINT AS y1, x2::BIGINT AS x2, y2::BIGINT AS y2, count(*) AS members FROM g WHERE turn = 40 GROUP BY 1, 2, 3, 4, 5)"""
+
+
+@query("merged_boxes", cte("v_box").replace("WITH", "WITH RECURSIVE", 1) + ", start AS (SELECT image_id, row_number() OVER () AS id, x1, y1, x2, y2 FROM v_box)" + _MERGE.format(page="image_id", gap=2) + " SELECT * FROM merged")
 def merged_boxes(spark, sf):
     return boxes.merge_boxes(view(spark, sf, "v_box"), "image_id", 2)
 
@@ -247,7 +256,12 @@ def roi_names(spark, sf):
     return rank.repeated_or_empty(named, ["side"], "field")
 
 
-@query("side_regions", None)
+@query(
+    "side_regions",
+    _BOX.replace("WITH", "WITH RECURSIVE", 1) + """, start AS (SELECT image_id, box AS id, x1, y1, x2, y2 FROM b WHERE (x2 - x1) * (y2 - y1) / 90000.0::DOUBLE BETWEEN 0.0003 AND 0.55 AND x2 - x1 >= 0.02 * 300 AND y2 - y1 >= 0.015 * 300 AND (x2 - x1) / greatest(y2 - y1, 1)::DOUBLE BETWEEN 0.2 AND 40)"""
+    + _MERGE.format(page="image_id", gap=10) + """ SELECT image_id, printf('region_%02d', row_number() OVER (PARTITION BY image_id ORDER BY y1, x1, y2, x2)) AS region,
+  round_even(x1 / 960.0::DOUBLE, 4) AS x1, round_even(y1 / 600.0::DOUBLE, 4) AS y1, round_even(x2 / 960.0::DOUBLE, 4) AS x2, round_even(y2 / 600.0::DOUBLE, 4) AS y2 FROM merged""",
+)
 def side_regions(spark, sf):
     """Plausible text boxes of a side, merged, in page order, as named 0..1 regions (half-even at four places)."""
     plausible = _boxes(spark, sf).where(boxes.text_region(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), 300, 300))

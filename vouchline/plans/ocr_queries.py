@@ -72,7 +72,7 @@ def best_variant(spark, sf):
 
 _E = cte("v_id14") + """, l AS (SELECT case_id, id14, day, unnest([0, 1, 2, 3]) AS pos FROM v_id14),
 e AS (SELECT case_id, pos, CASE pos WHEN 0 THEN CASE WHEN case_id % 3 = 0 THEN 'البطاقة سارية' ELSE 'البطاقة' END WHEN 1 THEN CASE WHEN case_id % 2 = 0 THEN 'حتى' ELSE 'xx' END
-   WHEN 2 THEN day ELSE 'حتى' END AS line, (pos * 20 + case_id % 4 * pos * 3)::DOUBLE AS cy, 20.0::DOUBLE AS h FROM l)"""
+   WHEN 2 THEN day ELSE 'حتى' END AS line, (pos * CASE WHEN case_id % 6 = 0 THEN 1 ELSE 20 + case_id % 4 * 3 END)::DOUBLE AS cy, (case_id % 6 * 9)::DOUBLE AS h FROM l)"""
 _LABEL_SCORE = "((contains({0}, 'البطاقه'))::INT + (contains({0}, 'ساريه'))::INT + (contains({0}, 'حتي'))::INT)"
 _UNIFY = "translate({0}, 'أإآةىؤئ', 'اااهيوي')"
 
@@ -80,11 +80,11 @@ _UNIFY = "translate({0}, 'أإآةىؤئ', 'اااهيوي')"
 def _expiry_lines(spark, sf):
     v = view(spark, sf, "v_id14").select("case_id", "day", F.explode(F.array(*map(F.lit, range(4)))).alias("pos"))
     line = F.expr("""CASE pos WHEN 0 THEN CASE WHEN case_id % 3 = 0 THEN 'البطاقة سارية' ELSE 'البطاقة' END WHEN 1 THEN CASE WHEN case_id % 2 = 0 THEN 'حتى' ELSE 'xx' END WHEN 2 THEN day ELSE 'حتى' END""")
-    return v.select("case_id", "pos", line.alias("line"), F.expr("CAST(pos * 20 + case_id % 4 * pos * 3 AS DOUBLE)").alias("cy"), F.lit(20.0).alias("h"))
+    return v.select("case_id", "pos", line.alias("line"), F.expr("CAST(pos * CASE WHEN case_id % 6 = 0 THEN 1 ELSE 20 + case_id % 4 * 3 END AS DOUBLE)").alias("cy"), F.expr("CAST(case_id % 6 * 9 AS DOUBLE)").alias("h"))
 
 
 _ANCHOR = _E + f""", n AS (SELECT *, lead(cy, 1) OVER w AS c1, lead(cy, 2) OVER w AS c2, lead(line, 1) OVER w AS l1, lead(line, 2) OVER w AS l2, {_LABEL_SCORE.format(_UNIFY.format('line'))} AS label FROM e WINDOW w AS (PARTITION BY case_id ORDER BY pos)),
-a AS (SELECT case_id, pos, concat_ws(' ', line, CASE WHEN abs(c1 - cy) <= 1.3::DOUBLE * h THEN l1 END, CASE WHEN abs(c1 - cy) <= 1.3::DOUBLE * h AND abs(c2 - cy) <= 1.3::DOUBLE * (h * 2) THEN l2 END) AS merged FROM n WHERE label > 0),
+a AS (SELECT case_id, pos, concat_ws(' ', line, CASE WHEN abs(c1 - cy) <= greatest(h, 1) * 1.3::DOUBLE THEN l1 END, CASE WHEN abs(c1 - cy) <= greatest(h, 1) * 1.3::DOUBLE AND abs(c2 - cy) <= greatest(h, 1) * 1.3::DOUBLE THEN l2 END) AS merged FROM n WHERE label > 0),
 b AS (SELECT case_id, pos, merged, {_LABEL_SCORE.format(_UNIFY.format('merged'))} AS label_score, replace(regexp_extract(merged, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}', 0), '-', '') AS date FROM a)"""
 
 

@@ -82,14 +82,17 @@ def date_valid(spark, sf):
     return _id(spark, sf).select("case_id", text.valid_yyyymmdd(F.substring("id14", 2, 8)).alias("inner_ok"), text.valid_yyyymmdd(F.replace("day", F.lit("-"), F.lit(""))).alias("day_ok"))
 
 
-_RAW = "CASE case_id % 5 WHEN 0 THEN 'x ' || replace(day, '-', '/') WHEN 1 THEN 'n 99-99 ' || day WHEN 2 THEN substr(id14, 1, 3) || ' ' || replace(day, '-', ' ') WHEN 3 THEN id14 || status ELSE 'none ' || substr(id14, 9) END"
-_SEP = r"'([0-9]{4})\s*[/\\\-.]\s*([0-9]{1,2})\s*[/\\\-.]\s*([0-9]{1,2})'"
+# separated, padded and unpadded dates, a separated one that is none before a plain one, runs of digits, and no date
+_RAW = """CASE case_id % 8 WHEN 0 THEN 'x ' || replace(day, '-', '/') WHEN 1 THEN 'n 99-99 ' || day WHEN 2 THEN substr(id14, 1, 3) || ' ' || replace(day, '-', ' ') WHEN 3 THEN id14 || status
+  WHEN 4 THEN substr(day, 1, 4) || '/' || regexp_replace(substr(day, 6, 2), '^0', '') || '/' || regexp_replace(substr(day, 9, 2), '^0', '') WHEN 5 THEN '1234/56/78 . ' || replace(day, '-', '') WHEN 6 THEN substr(day, 1, 7) || '-' || regexp_replace(substr(day, 9, 2), '^0', '') || ' '
+  ELSE 'none ' || substr(id14, 9) END"""
+_SEP = r"'([0-9]{4})\s*[/\\\-.]\s*([0-9]{2})\s*[/\\\-.]\s*([0-9]{2})'"
 
 
 @query(
     "date_extract",
     _ID + f""", t AS (SELECT case_id, {_RAW} AS t FROM v_id14),
-p AS (SELECT case_id, t, CASE WHEN regexp_matches(t, {_SEP}) THEN regexp_extract(t, {_SEP}, 1) || lpad(regexp_extract(t, {_SEP}, 2), 2, '0') || lpad(regexp_extract(t, {_SEP}, 3), 2, '0') END AS p1,
+p AS (SELECT case_id, t, CASE WHEN regexp_matches(t, {_SEP}) THEN regexp_extract(t, {_SEP}, 1) || regexp_extract(t, {_SEP}, 2) || regexp_extract(t, {_SEP}, 3) END AS p1,
   regexp_replace(regexp_extract(t, '[0-9]{{4}}\\s*[0-9]{{2}}\\s*[0-9]{{2}}', 0), '[^0-9]', '', 'g') AS p2, regexp_replace(t, '[^0-9]', '', 'g') AS d FROM t)
 SELECT case_id, coalesce(CASE WHEN {_VALID.format('p1')} THEN p1 END, CASE WHEN {_VALID.format('p2')} THEN p2 END,
   list_filter(list_transform(range(1, greatest(length(d) - 6, 2)), lambda i: substr(d, i, 8)), lambda x: {_VALID.format('x')})[1], '') AS found FROM p""",
