@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vouchline.functions import geometry as geo
 from vouchline.functions import homography as hg
 from vouchline.functions import text
-from vouchline.operators import boxes, connect, edges, ocr, ransac, raster
+from vouchline.operators import boxes, connect, edges, ocr, outlines, ransac, raster
 
 
 def solved(source, target):
@@ -143,3 +143,31 @@ def test_dates_have_two_digits_for_month_and_day(spark):
 def test_area_of_a_flat_quad(spark):
     flat = geo.quad(*((F.lit(1.0), F.lit(2.0)),) * 4)
     assert spark.range(1).select(geo.polygon_area(flat).alias("a")).first().a == 0.0
+
+
+def test_closing_fills_small_gaps_only(spark):
+    row = [1, 1, 0, 1, 1, 0, 0, 0, 0, 1, 1]
+    df = spark.createDataFrame([(1, 11, 3, row * 3)], "image int, w int, h int, mask array<int>")
+    assert outlines.closed(df, "mask", 3).first()["mask"] == [1, 1, 1, 1, 1, 0, 0, 0, 0, 1, 1] * 3
+    assert outlines.closed(df, "mask", 3, 2).first()["mask"] == [1] * 33
+
+
+def test_regions_touch_at_corners_and_outlines_are_simplified(spark):
+    picture = [
+        "##......",
+        "##......",
+        "..####..",  # touches the square above at a corner only
+        "..####..",
+        "......#.",
+    ]
+    mask = [int(c == "#") for line in picture for c in line]
+    runs = edges.runs(spark.createDataFrame([(1, 8, 5, mask)], "image int, w int, h int, mask array<int>"), "mask")
+    assert runs.count() == 5
+    assert edges.regions(runs).select("region").distinct().count() == 1
+    assert edges.regions(runs, diagonal=False).select("region").distinct().count() == 3
+    ring = [(float(x), 0.0) for x in range(21)] + [(20.0, float(y)) for y in range(1, 11)] + [(float(x), 10.0) for x in range(19, -1, -1)] + [(0.0, float(y)) for y in range(9, 0, -1)]
+    ring[5] = (5.0, 1.0)  # a dent of one pixel
+    df = spark.createDataFrame([(e, ring, float(e)) for e in (2, 0)], "i int, o array<struct<x:double,y:double>>, eps double")
+    got = {r.i: {(p.x, p.y) for p in r.polygon} for r in outlines.simplified(df, "o", "eps").collect()}
+    corners = {(0.0, 0.0), (20.0, 0.0), (20.0, 10.0), (0.0, 10.0)}
+    assert got[2] == corners and corners | {(5.0, 1.0)} < got[0]

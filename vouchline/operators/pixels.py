@@ -179,13 +179,15 @@ def lines_quad(segments: DataFrame, w: int | str, h: int | str) -> DataFrame:
     return segments.select("image").distinct().join(scored, "image", "left").withColumn("score", F.coalesce("score", F.lit(geo.NO_CANDIDATE)))
 
 
-def contours_quad(contours: DataFrame, image_area: float, most: int = 8) -> DataFrame:
+def contours_quad(contours: DataFrame, image_area: float | str, most: int = 8) -> DataFrame:
     """contours (image, pos, area, eps_ord, polygon) -> image, contour, score: the best quad of the largest contours.
 
     A contour has one row for each simplification in order; the first with four corners stands for it, ordered and
-    scored; among the ``most`` largest contours the best score wins, the first on ties.
+    scored; among the ``most`` largest contours the best score wins, the first on ties. The images' area is one number
+    or a column.
     """
+    whole = (F.col(image_area) if isinstance(image_area, str) else F.lit(float(image_area))).alias("__whole")
     large = contours.withColumn("__k", F.dense_rank().over(Window.partitionBy("image").orderBy(F.col("area").desc(), "pos"))).where(F.col("__k") <= most)
-    four = large.where("size(polygon) = 4").groupBy("image", "pos", "__k").agg(F.min_by("polygon", "eps_ord").alias("polygon"))
-    scored = four.withColumn("contour", geo.let(F.col("polygon"), geo.order_points)).withColumn("score", geo.rect_score(F.col("contour"), F.lit(float(image_area)))).where("score > -1e17")
+    four = large.where("size(polygon) = 4").select("*", whole).groupBy("image", "pos", "__k").agg(F.min_by("polygon", "eps_ord").alias("polygon"), F.first("__whole").alias("__whole"))
+    scored = four.withColumn("contour", geo.let(F.col("polygon"), geo.order_points)).withColumn("score", geo.rect_score(F.col("contour"), F.col("__whole"))).where("score > -1e17")
     return best(scored, ["image"], F.col("score"), F.col("__k"), F.struct("contour", "score")).select("image", "best.contour", "best.score")

@@ -332,14 +332,14 @@ def lines_quad(spark, sf):
 
 @query(
     "contours_quad",
-    """WITH c AS (SELECT l_orderkey AS image, l_linenumber AS pos, (l_quantity * 1000)::DOUBLE AS area, l_partkey % 3 AS skip, (l_partkey % 100)::DOUBLE AS x, (l_suppkey % 50)::DOUBLE AS y, l_quantity * 8 AS w, l_quantity * 5 AS h FROM lineitem WHERE l_linenumber <= 6),
-k AS (SELECT *, dense_rank() OVER (PARTITION BY image ORDER BY area DESC, pos) AS k FROM c), s AS (SELECT *, w * h / 160000.0::DOUBLE AS frac, abs(greatest(w, h) / greatest(least(w, h), 1) - 85.6::DOUBLE / 54) / (85.6::DOUBLE / 54) AS err FROM k WHERE k <= 3 AND skip < 2)
+    """WITH c AS (SELECT l_orderkey AS image, l_linenumber AS pos, (l_quantity * 1000)::DOUBLE AS area, l_partkey % 3 AS skip, (l_partkey % 100)::DOUBLE AS x, (l_suppkey % 50)::DOUBLE AS y, l_quantity * 8 AS w, l_quantity * 5 AS h FROM lineitem),
+k AS (SELECT *, dense_rank() OVER (PARTITION BY image ORDER BY area DESC, pos) AS k FROM c), s AS (SELECT *, w * h / 160000.0::DOUBLE AS frac, abs(greatest(w, h) / greatest(least(w, h), 1) - 85.6::DOUBLE / 54) / (85.6::DOUBLE / 54) AS err FROM k WHERE k <= 8 AND skip < 2)
 SELECT image, round(max(frac - err * 0.8::DOUBLE), 6) AS score FROM s WHERE frac BETWEEN 0.05 AND 0.97 AND h >= 1 AND err <= 0.5 GROUP BY image""",
 )
 def contours_quad(spark, sf):
     """Contours with three simplifications each, of which the first with four corners counts (none for a third of them)."""
-    c = _table(spark, sf, "lineitem").where("l_linenumber <= 6").selectExpr("l_orderkey AS image", "l_linenumber AS pos", "double(l_quantity * 1000) AS area", "l_partkey % 3 AS skip", "double(l_partkey % 100) AS x", "double(l_suppkey % 50) AS y", "l_quantity * 8 AS w", "l_quantity * 5 AS h")
+    c = _table(spark, sf, "lineitem").selectExpr("l_orderkey AS image", "l_linenumber AS pos", "double(l_quantity * 1000) AS area", "l_partkey % 3 AS skip", "double(l_partkey % 100) AS x", "double(l_suppkey % 50) AS y", "l_quantity * 8 AS w", "l_quantity * 5 AS h")
     x, y, w, h = (F.col(n) for n in ("x", "y", "w", "h"))
     four, five = geo.quad((x + w, y), (x, y), (x, y + h), (x + w, y + h)), geo.quad((x, y), (x + 1, y), (x + w, y), (x + w, y + h), (x, y + h))
     every = c.withColumn("eps_ord", F.explode(F.array(*map(F.lit, range(3))))).withColumn("polygon", F.when((F.col("skip") < 2) & (F.col("eps_ord") >= F.col("skip")), four).otherwise(five))
-    return pixels.contours_quad(every, 160000.0, 3).select("image", F.round("score", 6).alias("score"))
+    return pixels.contours_quad(every, 160000.0).select("image", F.round("score", 6).alias("score"))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from vouchline.functions import geometry as geo
 from vouchline.functions import homography as hg
-from vouchline.operators import edges, pixels, ransac, raster
+from vouchline.operators import edges, outlines, pixels, ransac, raster
 from vouchline.plans.adapters import cte, view
+from vouchline.storage import cut
 
 QUERIES, ORACLES = {}, {}
 
@@ -160,3 +161,37 @@ def hough_quad(spark, sf):
     out = pixels.lines_quad(sized, "w", "h")
     sums = F.transform("contour", lambda p: p["x"] + p["y"])
     return out.select("image", F.col("contour").isNotNull().alias("found"), F.round(F.array_min(sums), 4).alias("nearest"), F.round(F.array_max(sums), 4).alias("farthest"))
+
+
+# runs of pixels over 130 by islands, joined to regions by all runs reachable; a ring of each row's ends
+_REGION = cte("v_raster").replace("WITH", "WITH RECURSIVE", 1) + """, px AS (SELECT image, w, i % w AS x, i // w AS y FROM (SELECT image, w, unnest(range(w * h)) AS i, unnest(v) AS v FROM v_raster) WHERE v > 52),
+il AS (SELECT *, x - row_number() OVER (PARTITION BY image, y ORDER BY x) AS g FROM px),
+rn AS (SELECT image, y, min(x) AS x1, max(x) AS x2, min(y * w + x) AS run FROM il GROUP BY image, y, g),
+tc AS (SELECT a.image, a.run AS a, b.run AS b FROM rn a JOIN rn b ON a.image = b.image AND abs(a.y - b.y) = 1 AND a.x1 <= b.x2 + 1 AND b.x1 <= a.x2 + 1),
+ls AS (SELECT image, run, run AS region, 0 AS turn FROM rn UNION ALL
+  SELECT l.image, l.run, least(l.region, coalesce(min(n.region), l.region)), l.turn + 1 FROM ls l LEFT JOIN tc ON tc.image = l.image AND tc.a = l.run LEFT JOIN ls n ON n.image = l.image AND n.run = tc.b WHERE l.turn < 150 GROUP BY l.image, l.run, l.region, l.turn),
+rg AS (SELECT rn.*, region FROM ls JOIN rn USING (image, run) WHERE turn = 150),
+ln AS (SELECT image, region, y, min(x1) AS a, max(x2) AS b, sum(x2 - x1 + 1) AS n FROM rg GROUP BY ALL),
+pt AS (SELECT image, region, b AS x, y, y AS o FROM ln UNION ALL SELECT image, region, a, y, 100000 - y FROM ln),
+nx AS (SELECT *, coalesce(lead(x) OVER p, first(x) OVER p) AS u, coalesce(lead(y) OVER p, first(y) OVER p) AS v FROM pt WINDOW p AS (PARTITION BY image, region ORDER BY o)),
+ar AS (SELECT image, region, abs(sum(x * v - u * y)) / 2.0::DOUBLE AS area, sum(sqrt((x - u) ** 2 + (y - v) ** 2)) AS perimeter FROM nx GROUP BY ALL)"""
+
+
+@query("mask_regions", _REGION + " SELECT image, region::BIGINT AS region, sum(n)::BIGINT AS pixels, ar.area, round(perimeter, 4) AS perimeter FROM ln JOIN ar USING (image, region) GROUP BY ALL")
+def mask_regions(spark, sf):
+    """Connected regions of the pixels over 52, which are the cards and their noisy grounds: size, area and way around."""
+    masks = outlines.level_mask(view(spark, sf, "v_raster").select("image", "w", "h", "v"), 52)
+    return outlines.outlines(edges.regions(edges.runs(masks, "mask"))).select("image", "region", "pixels", "area", F.round("perimeter", 4).alias("perimeter"))
+
+
+@query("outline_quads", cte("v_raster") + " SELECT image, method, true AS at_card FROM v_raster, (VALUES ('otsu'), ('gradient')) m(method)")
+def outline_quads(spark, sf):
+    """Quads found in each blurred image's Otsu mask and in that of its morphological gradient: all corners within three, or six, pixels of the card's."""
+    slim = cut(raster.blur(view(spark, sf, "v_raster").select("image", "w", "h", "v"), 5))
+    found = outlines.mask_quads(outlines.otsu_mask(slim), 3, 1).withColumn("method", F.lit("otsu"))
+    found = found.unionByName(outlines.mask_quads(outlines.otsu_mask(outlines.morph_gradient(slim, 3)), 3, 1).withColumn("method", F.lit("gradient")))
+    x0, y0, cw, ch, k = (F.col(c) for c in ("x0", "y0", "cw", "ch", "shear"))
+    lean = (ch - 1) * k / 8.0
+    card = geo.quad((x0, y0), (x0 + cw - 1, y0), (x0 + cw - 1 + lean, y0 + ch - 1), (x0 + lean, y0 + ch - 1))
+    near = F.forall(F.zip_with("contour", "card", lambda a, b: F.greatest(F.abs(a["x"] - b["x"]), F.abs(a["y"] - b["y"]))), lambda d: d <= F.when(F.col("method") == "otsu", 3).otherwise(6))
+    return found.join(view(spark, sf, "v_raster").select("image", card.alias("card")), "image").select("image", "method", near.alias("at_card"))
