@@ -72,11 +72,11 @@ def outlines(of_runs: DataFrame) -> DataFrame:
     lines = of_runs.groupBy("image", "w", "h", "region", "y").agg(F.min("x1").alias("a"), F.max("x2").alias("b"), F.sum(F.col("x2") - F.col("x1") + 1).alias("n"))
     whole = lines.groupBy("image", "w", "h", "region").agg(F.array_sort(F.collect_list(F.struct("y", "a", "b"))).alias("l"), F.sum("n").alias("pixels"))
     ring = F.concat(F.transform("l", lambda r: geo.point(r["b"], r["y"])), F.transform(F.reverse("l"), lambda r: geo.point(r["a"], r["y"])))
-    df = whole.withColumn("ring", ring)
-    fresh = F.filter(F.transform("ring", lambda p, i: F.when((i == 0) | (p != F.get("ring", i - 1)), p)), lambda p: p.isNotNull())
-    df = df.withColumn("outline", fresh.cast(_POINTS)).drop("l", "ring")
-    step = F.transform("outline", lambda p, i: _far(p, F.get("outline", (i + 1) % F.size("outline"))))
-    return df.withColumns({"area": geo.polygon_area(F.col("outline")), "perimeter": F.aggregate(step, F.lit(0.0), lambda a, d: a + d)})
+    # rings are bound before their points are looked at, or they would be put together again for every point
+    fresh = let(ring, lambda r: F.filter(F.transform(r, lambda p, i: F.when((i == 0) | (p != F.get(r, i - 1)), p)), lambda p: p.isNotNull()))
+    df = whole.withColumn("outline", fresh.cast(_POINTS)).drop("l")
+    around = let(F.col("outline"), lambda o: F.aggregate(F.transform(o, lambda p, i: _far(p, F.get(o, (i + 1) % F.size(o)))), F.lit(0.0), lambda a, d: a + d))
+    return df.withColumns({"area": geo.polygon_area(F.col("outline")), "perimeter": around})
 
 
 def _far(p: Column, q: Column) -> Column:
@@ -111,8 +111,8 @@ def simplified(polygons: DataFrame, outline: str, tolerance: str, alias: str = "
         return F.array_sort(F.array_distinct(F.concat(keep, F.filter(F.transform(keep, cut_at), lambda k: k.isNotNull()))))
 
     while True:
-        now = now.withColumn("__a", farther(F.col("__keep"))).withColumn("__b", farther(F.col("__a")))
-        now = cut(now)
+        now = cut(now.withColumn("__a", let(F.col("__keep"), farther)))
+        now = cut(now.withColumn("__b", let(F.col("__a"), farther)))
         same = F.size("__b") == F.size("__a")
         settled.append(now.where(same).drop("__keep", "__a").withColumnRenamed("__b", "__keep"))
         now = now.where(~same).drop("__keep", "__a").withColumnRenamed("__b", "__keep")
