@@ -251,16 +251,17 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = materialise(signatures(docs, id_col, text_col), "prints")
     distinct = prints.where("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     distinct = materialise(distinct, "sets")
-    rows = distinct.select("v", "n", "rid", F.explode("bands").alias("key"))
+    rows = distinct.select("v", F.explode("bands").alias("key"))
     centres = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("centre")).where("m > 1"), "centres")
     members = materialise(join_hot(rows, centres, "key", "m", SMALL), "members")
     forget(centres)
-    full = materialise(full_sets(docs, members.select("rid").distinct(), id_col, text_col), "full-sets")
+    involved = members.select("v").distinct().join(distinct.select("v", "rid"), "v")
+    full = materialise(full_sets(docs, involved.select("rid"), id_col, text_col), "full-sets")
     stars = materialise(members.where("v <> centre").select(F.col("centre").alias("a"), F.col("v").alias("b")).distinct(), "stars")
     linked = materialise(confirmed(stars, full), "links")
     vertices = distinct.select("v", F.struct(F.col("rep").isNull().alias("none"), "rep", "v").alias("label"))
     reached = least_reachable(vertices, linked)
-    more = leaf_links(members, reached.select("v", F.col("label.v").alias("lab")), full, block)
+    more = leaf_links(members.join(distinct.select("v", "n"), "v"), reached.select("v", F.col("label.v").alias("lab")), full, block)
     if more is not None:
         more = materialise(more, "leaf-links")
         if more.take(1):
