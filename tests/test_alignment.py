@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vouchline.functions import geometry as geo
 from vouchline.functions import homography as hg
 from vouchline.functions import text
-from vouchline.operators import boxes, connect, edges, ocr, outlines, ransac, raster
+from vouchline.operators import boxes, connect, edges, faces, ocr, outlines, ransac, raster
 
 
 def solved(source, target):
@@ -171,3 +171,14 @@ def test_regions_touch_at_corners_and_outlines_are_simplified(spark):
     got = {r.i: {(p.x, p.y) for p in r.polygon} for r in outlines.simplified(df, "o", "eps").collect()}
     corners = {(0.0, 0.0), (20.0, 0.0), (20.0, 10.0), (0.0, 10.0)}
     assert got[2] == corners and corners | {(5.0, 1.0)} < got[0]
+
+
+def test_failed_attempts_vote_against_and_keep_their_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, 0, None, 0.3, 0.5, 2), (1, 1, "no face", 0.1, 0.5, 3), (1, 2, None, None, 0.5, 4), (1, 3, None, 0.5, 0.5, 5), (2, 0, None, nan, 0.5, 1), (2, 1, None, 0.1, inf, 1), (3, 0, None, 0.1, 0.2, 1), (3, 1, None, 0.2, 0.2, 1)]
+    report = faces.attempts(spark.createDataFrame(rows, "c int, o int, error string, distance double, threshold double, elapsed int"))
+    got = {(r.c, r.o): (r.status, r.passed, r.distance, r.threshold_margin) for r in report.collect()}
+    assert got[1, 1] == ("error", False, None, None) and got[1, 2] == ("ok", False, None, None) and got[1, 3] == ("ok", True, 0.5, 0.0)
+    assert got[2, 0] == ("ok", False, None, None) and got[2, 1] == ("ok", False, 0.1, None)
+    decided = {r.c: (r.passed, r.failed, r.elapsed) for r in faces.decision(report, ["c"], "o").collect()}
+    assert decided == {1: (False, 1, 14), 2: (False, 0, 2), 3: (True, 0, 2)}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vouchline.functions import geometry as geo
 from vouchline.functions import scoring
-from vouchline.operators import boxes, gates, match, rank, vote
+from vouchline.operators import boxes, faces, gates, match, rank, vote
 from vouchline.plans.adapters import cte, view
 
 QUERIES, ORACLES = {}, {}
@@ -155,6 +155,34 @@ def face_rank(spark, sf):
     return rank.rank_by(_faces(spark, sf), ["vec_id"], F.col("passed").desc(), F.round(scoring.nan_safe(F.col("margin")), 9).desc(), F.col("o")).select("vec_id", "model", "rank")
 
 
+# no face where a picture's first component is low; no distance from the last model where its second is high
+_TRIED = _FACE + """, f AS (SELECT m.*, p.a[1] < -0.15 OR (o = 1 AND p.b[1] < -0.1) AS failed, o = 3 AND p.a[2] > 0.1 AS lost, (o + 1) * 10 + vec_id % 7 AS ms FROM m JOIN p USING (vec_id)),
+r AS (SELECT *, NOT failed AND NOT lost AND d <= t AS passed FROM f)"""
+
+
+def _tried(spark, sf):
+    models = F.broadcast(spark.createDataFrame(list(_THRESHOLDS), "o int, model string, threshold double"))
+    df = _pairs(spark, sf).crossJoin(models).withColumn("error", F.when((F.get("a", F.lit(0)) < -0.15) | ((F.col("o") == 1) & (F.get("b", F.lit(0)) < -0.1)), "no face"))
+    lost = (F.col("o") == 3) & (F.get("a", F.lit(1)) > 0.1)
+    df = df.withColumn("distance", F.when(~lost, scoring.cosine_distance(F.col("a"), F.col("b")))).withColumn("elapsed", (F.col("o") + 1) * 10 + F.col("vec_id") % 7)
+    return faces.attempts(df.drop("a", "b"))
+
+
+@query("face_report", _TRIED + " SELECT vec_id, model, CASE WHEN failed THEN 'error' ELSE 'ok' END AS status, CASE WHEN failed THEN 'no face' END AS error, passed, CASE WHEN NOT failed AND NOT lost THEN round(t - d, 6) END AS margin, ms AS elapsed FROM r")
+def face_report(spark, sf):
+    """Every model's attempt on every pair, with failed ones and those without a distance."""
+    return _tried(spark, sf).select("vec_id", "model", "status", "error", "passed", F.round("threshold_margin", 6).alias("margin"), "elapsed")
+
+
+@query(
+    "face_decision",
+    _TRIED + """, v AS (SELECT vec_id, list(passed ORDER BY o) AS v, count(*) FILTER (failed) AS failed, sum(ms)::BIGINT AS elapsed FROM r GROUP BY vec_id)
+SELECT vec_id, len(list_filter(v, lambda x: x)) > 2 OR (v[1] AND v[2]) AS passed, failed, elapsed FROM v""",
+)
+def face_decision(spark, sf):
+    return faces.decision(_tried(spark, sf), ["vec_id"], "o").select("vec_id", "passed", "failed", "elapsed")
+
+
 _KNN = _EMB + """, d AS (SELECT q.vec_id AS q, t.vec_id AS t, list_distance(q.e, t.e) AS d FROM v_emb q JOIN v_emb t ON q.vec_id % 50 = 0 AND q.vec_id <> t.vec_id),
 k AS (SELECT q, arg_min(t, struct_pack(d := d, t := t)) AS t1, min(d) AS d1, (list(d ORDER BY d, t))[2] AS d2 FROM d GROUP BY q)"""
 
