@@ -1,18 +1,21 @@
-"""URL filter: explicit rules first, then trust and distrust propagated over host links.
-
-Trust starts at hosts in proportion to their pages that a rule allows and goes along links; distrust starts in
-proportion to blocked pages and goes against links, to hosts that link to distrusted ones. A host's score is
-the mean over its links on that side, damped, and no less than its own share: distrust over the links it
-makes, trust over those it gets. So scores lie between 0 and 1 whatever the graph's size, and how many others
-link to a blocked host doesn't matter. A page without a rule is blocked if its host's distrust is at least
-``THRESHOLD`` and over its trust. ``propagate`` also has the flow that keeps mass (personalised PageRank with
-the seeds as teleport).
+"""URL filter: explicit rules first, then personalised PageRank from trusted and blocked seeds over host edges.
+
+A host's seed of trust is the share of its pages that a rule allows, its seed of distrust the share that one blocks.
+Trust follows links and distrust goes against them. A host is judged by its personalised PageRank: of a walk that
+restarts at the host and else takes one of its links (distrust; trust: one of the links to it), the share of time on
+seeds, weighted by them; a host without such a link is walked on for ever. These shares need no scale, as they lie between 0 and 1
+whatever the graph's size and however many others link to a seed. They are found for all hosts at once by starting at
+the seeds and going the other way (contributions to the seeds), not by a walk a host. A page without a rule is blocked
+if its host's distrust is at least ``THRESHOLD`` and over its trust, where each is the larger of that share and the
+host's own seed: links to clean hosts don't clear a host whose own pages are blocked. ``propagate`` also has
+the flow that keeps mass: PageRank scores with the seeds as teleport.
 
 Host edges have two sources. Links are the absolute and protocol-relative ``href`` targets of the pages; a link
-from a host to itself says nothing about either and is left out. Site edges join a host and its parent domain,
-both ways, up to two labels: who runs ``example.com`` answers for ``blog.example.com``, and the other way round.
+from a host to itself says nothing about either and is left out. Site edges join a host and the next domain above it
+that is a host of the pages or a link's target itself, both ways: who runs ``example.com`` answers for
+``blog.example.com``. A public suffix such as ``co.uk`` joins nothing, as it has no pages.
 All pages of a host pair are counted before the graph is used, so the iteration works on distinct host edges
-however hot a host is; a hub's scores are summed in its senders' tasks first.
+however hot a host is; a hub's scores are summed in its senders' tasks first and its links dealt to several tasks.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule, and is allowed;
 repeated rows count as pages each; null html has no links, and html of any length is searched whole; an empty
@@ -36,6 +39,10 @@ THRESHOLD = 0.5
 #: TOLERANCE bounds what all rounds still to come could change.
 CHECK_EVERY, TOLERANCE = 8, 1e-6
 BROADCAST_HOSTS = 200_000
+#: A graph of at most so many edges, in both directions, is iterated in one task a job; a larger one is shuffled each round.
+ONE_TASK_EDGES = 200_000
+#: Links that a host sends along from one task; more are dealt to further ones.
+HUB_LINKS = 100_000
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _HREF = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
@@ -67,60 +74,81 @@ def host_edges(pages: DataFrame, host: str = "host", html: str = "html") -> Data
 
 
 def site_edges(hosts: DataFrame) -> DataFrame:
-    """hosts (host) -> source, target, weight 1 between every host and its parent domain of two labels or more."""
-    labels = hosts.where(~F.col("host").rlike(r"^[0-9.]+(:[0-9]+)?$")).select(F.split("host", r"\.").alias("l"))
-    names = F.transform(F.sequence(F.lit(1), F.size("l") - 1), lambda i: F.array_join(F.slice("l", i, F.size("l")), "."))
-    chain = labels.where("size(l) > 2").select(F.explode(F.arrays_zip(F.slice(names, 1, F.size("l") - 2).alias("low"), F.slice(names, 2, F.size("l") - 2).alias("high"))).alias("e"))
-    up = chain.select("e.low", "e.high").distinct()
-    return up.select(F.explode(F.array(F.struct(F.col("low").alias("source"), F.col("high").alias("target")), F.struct(F.col("high").alias("source"), F.col("low").alias("target")))).alias("e"), F.lit(1).cast("bigint").alias("weight")).select("e.*", "weight")
+    """hosts (host, distinct) -> source, target, weight 1 between every host and the nearest domain above it among the hosts, both ways."""
+    labels = hosts.where(~F.col("host").rlike(r"^[0-9.]+(:[0-9]+)?$")).select("host", F.split("host", r"\.").alias("l")).where("size(l) > 1")
+    above = labels.select("host", F.posexplode(F.transform(F.sequence(F.lit(2), F.size("l")), lambda i: F.array_join(F.slice("l", i, F.size("l")), "."))).alias("up", "parent"))
+    known = above.join(hosts.select(F.col("host").alias("parent")), "parent", "left_semi")
+    pairs = known.groupBy("host").agg(F.min_by("parent", "up").alias("parent"))
+    both = F.array(F.struct(F.col("host").alias("source"), F.col("parent").alias("target")), F.struct(F.col("parent").alias("source"), F.col("host").alias("target")))
+    return pairs.select(F.explode(both).alias("e"), F.lit(1).cast("bigint").alias("weight")).select("e.*", "weight")
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, mean: bool = False) -> DataFrame:
     """seeds (host, trust, distrust) -> host, trust, distrust over all hosts of seeds and edges.
 
-    Without ``mean`` a host deals its score out to its ways on; with it a host takes the mean over its ways in,
-    or its seed if that is more.
+    Without ``mean`` a host deals its score out to its ways on (PageRank with the seeds as teleport). With it a host
+    keeps 1 - damping of its seed and takes damping of the mean over its ways in: what its own personalised PageRank,
+    walking those ways backwards, holds of the seeds. A host without a way on (with ``mean``: in) keeps what it has.
 
     Both propagations run as one: flow (kind, a, b, share) sends kind's score from a to b, and one aggregate of
     what is sent and of the seeds makes a round. Every eighth round is a written table, so lineage is short and a
     lost executor repeats eight rounds at most. Rounds go on until the tolerance holds; a round's change shrinks
-    by the damping, so their number grows with the log of the seeds' mass only.
+    by the damping, so their number grows with the log of the seeds' mass only. Without edges there are none.
     """
     ways = edges.select(F.lit("trust").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), "weight").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("target").alias("a"), F.col("source").alias("b"), "weight")
     )
-    out = ways.groupBy("kind", "a").agg(F.sum("weight").alias("total"))
+    totals = ways.groupBy("kind", F.col("b" if mean else "a").alias("host")).agg(F.sum("weight").alias("total"))
+    fan = ways.groupBy("kind", F.col("a").alias("host")).agg((1 + F.floor(F.count(F.lit(1)) / HUB_LINKS)).cast("int").alias("tasks"))
     hosts = seeds.select("host").unionByName(edges.select(F.col("source").alias("host"))).unionByName(edges.select(F.col("target").alias("host"))).distinct()
     stock = hosts.join(seeds, "host", "left").select("host", F.explode(F.create_map(F.lit("trust"), F.coalesce("trust", F.lit(0.0)), F.lit("distrust"), F.coalesce("distrust", F.lit(0.0)))).alias("kind", "seed"))
     # a host without a way on keeps its score: that loop's sum is known, so it takes no rounds
-    stock = stock.join(out.select("kind", F.col("a").alias("host"), F.lit(True).alias("flows")), ["kind", "host"], "left").withColumn("flows", F.coalesce("flows", F.lit(False)))
-    stock = materialise(stock, "stock")
-    small = stock.count() <= 2 * BROADCAST_HOSTS
-    totals = ways.groupBy("kind", "b").agg(F.sum("weight").alias("total")) if mean else out
-    flow = materialise(ways.join(totals, ["kind", "b" if mean else "a"]).select("kind", "a", "b", (F.col("weight") / F.col("total")).alias("share")), "flow")
+    stock = stock.join(totals, ["kind", "host"], "left").join(fan, ["kind", "host"], "left")
+    stock = materialise(stock.select("kind", "host", "seed", F.col("total").isNotNull().alias("flows"), F.coalesce("tasks", F.lit(1)).alias("tasks")), "stock")
+    shares = ways.join(totals.withColumnRenamed("host", "b" if mean else "a"), ["kind", "b" if mean else "a"])
+    if not shares.isEmpty():
+        tasks = fan.select("kind", F.col("host").alias("a"), "tasks")
+        flow = materialise(shares.join(tasks, ["kind", "a"]).select("kind", "a", "b", (F.col("weight") / F.col("total")).alias("share"), F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int").alias("task")), "flow")
+        state = _settle(stock, flow, damping, mean)
+    else:
+        state = stock.select("kind", "host", F.col("seed").alias("score"))
+    return state.groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")))
+
+
+def _settle(stock: DataFrame, flow: DataFrame, damping: float, mean: bool) -> DataFrame:
+    """kind, host, score at the fixpoint."""
+    small = flow.count() <= ONE_TASK_EDGES and stock.count() <= 2 * ONE_TASK_EDGES
+    together = (lambda df: df.coalesce(1)) if small else (lambda df: df)
+    joined = lambda df: df.hint("shuffle_hash") if small else df  # noqa: E731  (no broadcast a round)
     mass = 1.0 if mean else max(1.0, stock.agg(F.sum("seed")).first()[0] or 0.0)
     # after a change of c over the rounds between two checks, all rounds to come change c * q / (1 - q) at most; a flow's
     # ends keep 1 / (1 - damping) of what they get
     q = damping**CHECK_EVERY
     least = TOLERANCE * (1 - q) / q * (1.0 if mean else (1 - damping) ** 2)
-    given = stock.select("kind", "host", "seed", "flows", F.lit(0.0).alias("got"))
-    state = materialise(stock.select("kind", "host", F.col("seed").alias("score")), "scores")
+    given = stock.select("kind", "host", "seed", "flows", "tasks", F.lit(0.0).alias("got"))
+    state = stock.select("kind", "host", F.col("seed").alias("score"), "tasks")
+    written = []
     for _ in range(0, math.ceil(math.log(least / mass) / math.log(damping)) + CHECK_EVERY, CHECK_EVERY):
         now = state
         for _ in range(CHECK_EVERY):
-            known = now.select("kind", F.col("host").alias("a"), "score")
-            sent = flow.join(F.broadcast(known) if small else known, ["kind", "a"]).select("kind", F.col("b").alias("host"), F.lit(None).cast("double").alias("seed"), F.lit(None).cast("boolean").alias("flows"), (F.col("score") * F.col("share")).alias("got"))
+            known = now.select("kind", F.col("host").alias("a"), "score", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
+            sent = together(flow).join(joined(together(known)), ["kind", "a", "task"]).select(
+                "kind", F.col("b").alias("host"), F.lit(None).cast("double").alias("seed"), F.lit(None).cast("boolean").alias("flows"), F.lit(None).cast("int").alias("tasks"), (F.col("score") * F.col("share")).alias("got")
+            )
             got = damping * F.col("got")
-            score = F.greatest("seed", got) if mean else F.when(F.col("flows"), (1 - damping) * F.col("seed") + got).otherwise(F.col("seed") + got / (1 - damping))
-            now = given.unionByName(sent).groupBy("kind", "host").agg(F.max("seed").alias("seed"), F.max("flows").alias("flows"), F.sum("got").alias("got")).select("kind", "host", score.alias("score"))
+            kept = F.col("seed") if mean else F.col("seed") + got / (1 - damping)
+            score = F.when(F.col("flows"), (1 - damping) * F.col("seed") + got).otherwise(kept)
+            now = together(given.unionByName(sent)).groupBy("kind", "host").agg(*(F.max(c).alias(c) for c in ("seed", "flows", "tasks")), F.sum("got").alias("got")).select("kind", "host", score.alias("score"), "tasks")
         old = state.select("kind", "host", F.col("score").alias("old"))
-        after = materialise(now.join(F.broadcast(old) if small else old, ["kind", "host"]), "scores")
-        forget(state)
-        state = after
+        after = materialise(now.join(joined(together(old)), ["kind", "host"]), "scores")
+        if written:
+            forget(written.pop())
+        written.append(after)
+        state = after.drop("old")
         change = F.abs(F.col("score") - F.col("old"))
         if (after.agg(F.max(change) if mean else F.sum(change)).first()[0] or 0.0) < least:
             break
-    return state.groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")))
+    return state
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -132,9 +160,12 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     ruled = known.withColumn("rule", rule).withColumn("allowed", allowed)
     share = lambda ok: F.avg(F.when(F.col("allowed") == ok, 1.0).otherwise(0.0))
     seeds = materialise(ruled.where("host <> ''").groupBy("host").agg(share(True).alias("trust"), share(False).alias("distrust"), F.count(F.lit(1)).alias("n")), "seeds")
-    edges = host_edges(known).unionByName(site_edges(seeds.select("host"))).groupBy("source", "target").agg(F.sum("weight").alias("weight"))
-    scores = materialise(propagate(seeds.drop("n"), materialise(edges, "host-edges"), mean=True), "host-scores")
-    told = materialise(scores.join(seeds.select("host", "n"), "host").select("host", F.col("trust").alias("host_trust"), F.col("distrust").alias("host_distrust"), "n"), "told")
+    links = materialise(host_edges(known), "links")
+    met = seeds.select("host").unionByName(links.select(F.col("target").alias("host"))).distinct()
+    edges = materialise(links.unionByName(site_edges(met)).groupBy("source", "target").agg(F.sum("weight").alias("weight")), "host-edges")
+    scores = propagate(seeds.drop("n"), edges, mean=True)
+    most = lambda c: F.greatest(F.col(f"p.{c}"), F.col(f"s.{c}")).alias(f"host_{c}")
+    told = materialise(scores.alias("p").join(seeds.alias("s"), F.col("p.host") == F.col("s.host")).select("s.host", most("trust"), most("distrust"), "s.n"), "told")
     bare = ruled.drop("html")
     with_host = join_hot(bare.where("host <> ''"), told, "host", "n", BROADCAST_HOSTS)
     out = with_host.unionByName(bare.where("host = ''").withColumn("host_trust", F.lit(None).cast("double")).withColumn("host_distrust", F.lit(None).cast("double")))
