@@ -32,8 +32,7 @@ def test_scores_are_personalised_pagerank(spark, monkeypatch):
     every = [*hosts, "lone.io"]
     trust = exact(every, {h: v[0] for h, v in seeds.items()}, [(b, a, w) for a, b, w in edges])
     distrust = exact(every, {h: v[1] for h, v in seeds.items()}, edges)
-    for one_task, hub in ((uf.ONE_TASK_EDGES, uf.HUB_LINKS), (0, 5)):
-        monkeypatch.setattr(uf, "ONE_TASK_EDGES", one_task)
+    for hub in (uf.HUB_LINKS, 5):
         monkeypatch.setattr(uf, "HUB_LINKS", hub)
         got = {r.host: r for r in uf.propagate(rows, links, mean=True).collect()}
         assert sorted(got) == sorted(every)

@@ -39,8 +39,6 @@ THRESHOLD = 0.5
 #: TOLERANCE bounds what all rounds still to come could change.
 CHECK_EVERY, TOLERANCE = 8, 1e-6
 BROADCAST_HOSTS = 200_000
-#: A graph of at most so many edges, in both directions, is iterated in one task a job; a larger one is shuffled each round.
-ONE_TASK_EDGES = 200_000
 #: Links that a host sends along from one task; more are dealt to further ones.
 HUB_LINKS = 100_000
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -95,6 +93,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, mean
     lost executor repeats eight rounds at most. Rounds go on until the tolerance holds; a round's change shrinks
     by the damping, so their number grows with the log of the seeds' mass only. Without edges there are none.
     """
+    if edges.isEmpty():
+        return seeds.select("host", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")))
     ways = edges.select(F.lit("trust").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), "weight").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("target").alias("a"), F.col("source").alias("b"), "weight")
     )
@@ -106,20 +106,13 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, mean
     stock = stock.join(totals, ["kind", "host"], "left").join(fan, ["kind", "host"], "left")
     stock = materialise(stock.select("kind", "host", "seed", F.col("total").isNotNull().alias("flows"), F.coalesce("tasks", F.lit(1)).alias("tasks")), "stock")
     shares = ways.join(totals.withColumnRenamed("host", "b" if mean else "a"), ["kind", "b" if mean else "a"])
-    if not shares.isEmpty():
-        tasks = fan.select("kind", F.col("host").alias("a"), "tasks")
-        flow = materialise(shares.join(tasks, ["kind", "a"]).select("kind", "a", "b", (F.col("weight") / F.col("total")).alias("share"), F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int").alias("task")), "flow")
-        state = _settle(stock, flow, damping, mean)
-    else:
-        state = stock.select("kind", "host", F.col("seed").alias("score"))
-    return state.groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")))
+    tasks = fan.select("kind", F.col("host").alias("a"), "tasks")
+    flow = materialise(shares.join(tasks, ["kind", "a"]).select("kind", "a", "b", (F.col("weight") / F.col("total")).alias("share"), F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int").alias("task")), "flow")
+    return _settle(stock, flow, damping, mean).groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")))
 
 
 def _settle(stock: DataFrame, flow: DataFrame, damping: float, mean: bool) -> DataFrame:
     """kind, host, score at the fixpoint."""
-    small = flow.count() <= ONE_TASK_EDGES and stock.count() <= 2 * ONE_TASK_EDGES
-    together = (lambda df: df.coalesce(1)) if small else (lambda df: df)
-    joined = lambda df: df.hint("shuffle_hash") if small else df  # noqa: E731  (no broadcast a round)
     mass = 1.0 if mean else max(1.0, stock.agg(F.sum("seed")).first()[0] or 0.0)
     # after a change of c over the rounds between two checks, all rounds to come change c * q / (1 - q) at most; a flow's
     # ends keep 1 / (1 - damping) of what they get
@@ -132,15 +125,15 @@ def _settle(stock: DataFrame, flow: DataFrame, damping: float, mean: bool) -> Da
         now = state
         for _ in range(CHECK_EVERY):
             known = now.select("kind", F.col("host").alias("a"), "score", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
-            sent = together(flow).join(joined(together(known)), ["kind", "a", "task"]).select(
+            sent = flow.join(known, ["kind", "a", "task"]).select(
                 "kind", F.col("b").alias("host"), F.lit(None).cast("double").alias("seed"), F.lit(None).cast("boolean").alias("flows"), F.lit(None).cast("int").alias("tasks"), (F.col("score") * F.col("share")).alias("got")
             )
             got = damping * F.col("got")
             kept = F.col("seed") if mean else F.col("seed") + got / (1 - damping)
             score = F.when(F.col("flows"), (1 - damping) * F.col("seed") + got).otherwise(kept)
-            now = together(given.unionByName(sent)).groupBy("kind", "host").agg(*(F.max(c).alias(c) for c in ("seed", "flows", "tasks")), F.sum("got").alias("got")).select("kind", "host", score.alias("score"), "tasks")
+            now = given.unionByName(sent).groupBy("kind", "host").agg(*(F.max(c).alias(c) for c in ("seed", "flows", "tasks")), F.sum("got").alias("got")).select("kind", "host", score.alias("score"), "tasks")
         old = state.select("kind", "host", F.col("score").alias("old"))
-        after = materialise(now.join(joined(together(old)), ["kind", "host"]), "scores")
+        after = materialise(now.join(old, ["kind", "host"]), "scores")
         if written:
             forget(written.pop())
         written.append(after)
