@@ -129,7 +129,9 @@ def artifact_plan(images: DataFrame, rois: DataFrame, refine_numeric: bool = Tru
     return images.join(F.broadcast(rois), "side").select("case_id", "side", "field", F.when(F.col("is_photo"), "photo").otherwise("crop").alias("artifact"), mode.alias("mode"), refine.alias("refine"))
 
 
-def generated_regions(rois: DataFrame, w: int, h: int) -> DataFrame:
-    """side, field, and the pixels of each region of a template: what feature files are cut from; empty ones are left out."""
-    px = crop_norm(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.lit(float(w)), F.lit(float(h)))
-    return rois.select("side", "field", "ord", px.alias("px")).where("px.x2 > px.x1 AND px.y2 > px.y1").select("side", "field", "ord", "px.*")
+def generated_regions(rois: DataFrame, templates: DataFrame) -> DataFrame:
+    """templates (template, side, w, h) -> template, side, field, ord and the pixels of each region of its side: what feature
+    files are cut from; empty ones are left out."""
+    px = crop_norm(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("w").cast("double"), F.col("h").cast("double"))
+    placed = templates.join(F.broadcast(rois), "side").select("template", "side", "field", "ord", px.alias("px"))
+    return placed.where("px.x2 > px.x1 AND px.y2 > px.y1").select("template", "side", "field", "ord", "px.*")

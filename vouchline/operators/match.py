@@ -46,27 +46,29 @@ def rank_models(summary: DataFrame, *keys: str) -> DataFrame:
     return summary.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def preferred_models(preferred: DataFrame, ready: DataFrame, k: int = 4) -> DataFrame:
-    """preferred (side, ord, model), ready (ord, model): ready preferred ones in order, then the other ready ones, k a side."""
-    first = preferred.join(ready.select("model"), "model", "left_semi").select("side", F.lit(0).alias("src"), "ord", "model")
-    sides = preferred.select("side").distinct()
-    rest = sides.join(ready, how="cross").join(preferred.select("side", "model"), ["side", "model"], "left_anti").select("side", F.lit(1).alias("src"), "ord", "model")
-    at = F.row_number().over(Window.partitionBy("side").orderBy("src", "ord"))
-    return first.unionByName(rest).withColumn("place", at).where(F.col("place") <= k).select("side", "place", "model")
+def preferred_models(preferred: DataFrame, ready: DataFrame, *keys: str, k: int = 4) -> DataFrame:
+    """preferred (side, ord, model), ready (keys, ord, model) -> keys, side, place, model: the key's ready models, preferred
+    ones in the side's order, then the others in theirs; a model once, k a side. The preferences are few and broadcast."""
+    once = ready.groupBy(*keys, "model").agg(F.min("ord").alias("ord"))
+    sides = preferred.groupBy("side").agg(F.map_from_entries(F.collect_list(F.struct("model", "ord"))).alias("wish"))
+    wish = F.try_element_at("wish", F.col("model"))
+    each = once.join(F.broadcast(sides), how="cross").select(*keys, "side", "model", wish.isNull().alias("other"), F.coalesce(wish, "ord").alias("ord"))
+    at = F.row_number().over(Window.partitionBy(*keys, "side").orderBy("other", "ord", "model"))
+    return each.withColumn("place", at).where(F.col("place") <= k).select(*keys, "side", "place", "model")
 
 
 #: Queries that one broadcast holds; more are dealt into blocks of so many.
 QUERY_BLOCK = 20_000
 
 
-def two_nearest(queries: DataFrame, train: DataFrame, distance: Column, block: int = QUERY_BLOCK) -> DataFrame:
+def two_nearest(queries: DataFrame, train: DataFrame, distance: Column, block: int = QUERY_BLOCK, most: int | None = None) -> DataFrame:
     """queries (q, qe) against train (t, te): the two nearest per query, by distance and t.
 
     Exact: every query meets every row. Up to ``block`` queries are broadcast to the tasks of the train side; more
     are dealt into blocks, and a block meets the train rows by key. Each pair's distance is computed once, and two
-    rows a query and task are left before the shuffle.
+    rows a query and task are left before the shuffle. ``most`` is the number of queries at most, counted if not given.
     """
-    blocks = max(1, -(-queries.count() // block))
+    blocks = max(1, -(-(queries.count() if most is None else most) // block))
     if blocks == 1:
         met = train.join(F.broadcast(queries), F.col("q") != F.col("t"))
     else:

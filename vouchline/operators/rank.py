@@ -53,5 +53,6 @@ def sweep(rows: DataFrame, keys: list[str], grid: DataFrame, score: Column, payl
 
 
 def repeated_or_empty(names: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """keys, name, n, rejected: names that a group holds twice, or empty ones, are rejected."""
-    return names.groupBy(*keys, name).agg(F.count(F.lit(1)).alias("n")).withColumn("rejected", (F.col("n") > 1) | (F.trim(name) == ""))
+    """keys, name, n, rejected: names without the white space around them; those that a group holds twice, or empty ones, are rejected."""
+    bare = names.withColumn(name, F.btrim(name, F.lit(" \t\n\x0b\f\r")))
+    return bare.groupBy(*keys, name).agg(F.count(F.lit(1)).alias("n")).withColumn("rejected", (F.col("n") > 1) | (F.col(name) == ""))

@@ -75,9 +75,16 @@ def artifact_plan(spark, sf):
     return boxes.artifact_plan(images, boxes.roi_table(spark))
 
 
-@query("generated_regions", "SELECT side, field, ord, round_even(x1 * 928, 0)::INT AS x1, round_even(y1 * 584, 0)::INT AS y1, round_even(x2 * 928, 0)::INT AS x2, round_even(y2 * 584, 0)::INT AS y2 FROM (VALUES " + ", ".join(f"('{s}', '{f}', {o}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for s, f, o, a, b, c, d, _, _ in boxes.ROIS) + ") roi(side, field, ord, x1, y1, x2, y2)")
+@query(
+    "generated_regions",
+    "WITH t AS (SELECT s_suppkey AS template, CASE WHEN s_nationkey % 2 = 0 THEN 'front' ELSE 'back' END AS side, 20 + s_suppkey % 900 AS w, 4 + s_suppkey * 7 % 560 AS h FROM supplier), px AS (SELECT template, side, field, ord, "
+    + ", ".join(f"round_even({n}{i} * {most}, 0)::INT AS {n}{i}" for i in (1, 2) for n, most in (("x", "w"), ("y", "h")))
+    + " FROM t JOIN (VALUES " + ", ".join(f"('{s}', '{f}', {o}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for s, f, o, a, b, c, d, _, _ in boxes.ROIS) + ") roi(side, field, ord, x1, y1, x2, y2) USING (side)) SELECT * FROM px WHERE x2 > x1 AND y2 > y1",
+)
 def generated_regions(spark, sf):
-    return boxes.generated_regions(boxes.roi_table(spark), 928, 584)
+    """Templates of many sizes, some so small that regions vanish."""
+    templates = _table(spark, sf, "supplier").selectExpr("s_suppkey AS template", "CASE WHEN s_nationkey % 2 = 0 THEN 'front' ELSE 'back' END AS side", "20 + s_suppkey % 900 AS w", "4 + s_suppkey * 7 % 560 AS h")
+    return boxes.generated_regions(boxes.roi_table(spark), templates)
 
 
 # ---- matches

@@ -277,11 +277,15 @@ def drag_box(spark, sf):
     return view(spark, sf, "v_box").withColumn("d", box).where("d IS NOT NULL").select("image_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "d.*")
 
 
-@query("roi_names", f"SELECT side, field, count(*)::BIGINT AS n, count(*) > 1 OR trim(field) = '' AS rejected FROM (SELECT side, field FROM {_ROI_VALUES} UNION ALL SELECT 'front', 'name' UNION ALL SELECT 'back', ' ') GROUP BY side, field")
+@query(
+    "roi_names",
+    """SELECT doc_id, field, count(*)::BIGINT AS n, count(*) > 1 OR length(field) = 0 AS rejected
+  FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS field FROM documents) GROUP BY doc_id, field""",
+)
 def roi_names(spark, sf):
-    """Names that a side would hold twice, or empty ones, are rejected."""
-    named = boxes.roi_table(spark).select("side", "field").unionByName(spark.createDataFrame([("front", "name"), ("back", " ")], "side string, field string"))
-    return rank.repeated_or_empty(named, ["side"], "field")
+    """Each line of a document as a region's name: those that it holds twice, or empty ones, are rejected."""
+    named = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.explode(F.split("text", "\n")).alias("field"))
+    return rank.repeated_or_empty(named, ["doc_id"], "field")
 
 
 @query(
