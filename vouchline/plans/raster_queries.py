@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vouchline.functions import geometry as geo
 from vouchline.functions import homography as hg
-from vouchline.operators import edges, outlines, pixels, ransac, raster
+from vouchline.operators import clusters, edges, outlines, pixels, ransac, raster
 from vouchline.plans.adapters import cte, view
 from vouchline.storage import cut
 
@@ -195,3 +195,23 @@ def outline_quads(spark, sf):
     card = geo.quad((x0, y0), (x0 + cw - 1, y0), (x0 + cw - 1 + lean, y0 + ch - 1), (x0 + lean, y0 + ch - 1))
     near = F.forall(F.zip_with("contour", "card", lambda a, b: F.greatest(F.abs(a["x"] - b["x"]), F.abs(a["y"] - b["y"]))), lambda d: d <= F.when(F.col("method") == "otsu", 3).otherwise(6))
     return found.join(view(spark, sf, "v_raster").select("image", card.alias("card")), "image").select("image", "method", near.alias("at_card"))
+
+
+@query(
+    "level_clusters",
+    cte("v_raster").replace("WITH", "WITH RECURSIVE", 1) + """, hist AS (SELECT image, v, count(*)::BIGINT AS n FROM (SELECT image, unnest(v) AS v FROM v_raster) GROUP BY ALL),
+  upto AS (SELECT image, v, sum(n) OVER (PARTITION BY image ORDER BY v) AS u, sum(n) OVER (PARTITION BY image) AS total FROM hist),
+  start AS (SELECT image, k, j, min(v)::DOUBLE AS c FROM upto, (VALUES (3), (4), (5)) ks(k), range(5) js(j) WHERE j < k AND u * 2 * k >= (2 * j + 1) * total GROUP BY ALL),
+  go AS (SELECT image, k, 0 AS turn, list(c ORDER BY j) AS cs FROM start GROUP BY image, k
+    UNION ALL SELECT image, k, turn + 1, list(coalesce(m, o) ORDER BY j) FROM (
+      SELECT g.image, g.k, g.turn, j, any_value(g.cs[j + 1]) AS o, sum(CASE WHEN near = j THEN v * n END)::DOUBLE / sum(CASE WHEN near = j THEN n END)::DOUBLE AS m
+      FROM (SELECT go.*, v, n, list_position(list_transform(cs, lambda c: (v - c) * (v - c)), list_min(list_transform(cs, lambda c: (v - c) * (v - c)))) - 1 AS near FROM go JOIN hist USING (image) WHERE turn < 20) g, range(5) js(j) WHERE j < g.k GROUP BY ALL)
+      GROUP BY image, k, turn),
+  last AS (SELECT image, k, cs FROM go WHERE turn = 20),
+  near AS (SELECT image, k, list_position(list_transform(cs, lambda c: (v - c) * (v - c)), list_min(list_transform(cs, lambda c: (v - c) * (v - c)))) - 1 AS ord, sum(n)::BIGINT AS n FROM last JOIN hist USING (image) GROUP BY ALL)
+SELECT l.image, l.k, j::INT AS ord, round(cs[j + 1], 6) AS level, coalesce(n, 0)::BIGINT AS n FROM (SELECT image, k, cs, unnest(range(k)) AS j FROM last) l LEFT JOIN near ON near.image = l.image AND near.k = l.k AND near.ord = l.j""",
+)
+def level_clusters(spark, sf):
+    """Three, four and five clusters of each image's grey levels, with their pixels."""
+    seen = raster.histogram(view(spark, sf, "v_raster")).select("image", F.array("v").alias("v"), "n")
+    return clusters.clusters(seen).select("image", "k", "ord", F.round(F.col("centre")[0], 6).alias("level"), "n")
