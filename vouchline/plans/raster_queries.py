@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vouchline.functions import geometry as geo
 from vouchline.functions import homography as hg
-from vouchline.operators import clusters, edges, outlines, pixels, ransac, raster
+from vouchline.operators import clusters, contrast, edges, outlines, pixels, ransac, raster
 from vouchline.plans.adapters import cte, view
 from vouchline.storage import cut
 
@@ -215,3 +215,24 @@ def level_clusters(spark, sf):
     """Three, four and five clusters of each image's grey levels, with their pixels."""
     seen = raster.histogram(view(spark, sf, "v_raster")).select("image", F.array("v").alias("v"), "n")
     return clusters.clusters(seen).select("image", "k", "ord", F.round(F.col("centre")[0], 6).alias("level"), "n")
+
+
+@query(
+    "equalised",
+    cte("v_raster") + """, sized AS (SELECT image, w, h, v, CASE WHEN w % 8 = 0 AND h % 8 = 0 THEN w // 8 ELSE (w + 8 - w % 8) // 8 END AS tw, CASE WHEN w % 8 = 0 AND h % 8 = 0 THEN h // 8 ELSE (h + 8 - h % 8) // 8 END AS th FROM v_raster),
+  px AS (SELECT image, w, h, v, tw, th, unnest(range(tw * th * 64)) AS i FROM sized),
+  seen AS (SELECT image, tw, th, (i // (tw * 8)) // th * 8 + (i % (tw * 8)) // tw AS tile, v[1 + (CASE WHEN i // (tw * 8) >= h THEN 2 * (h - 1) - i // (tw * 8) ELSE i // (tw * 8) END) * w + CASE WHEN i % (tw * 8) >= w THEN 2 * (w - 1) - i % (tw * 8) ELSE i % (tw * 8) END] AS g FROM px),
+  n AS (SELECT image, tw, th, tile, g, count(*) AS n FROM seen GROUP BY ALL),
+  f AS (SELECT t.*, l, coalesce(n.n, 0) AS n, greatest(1, floor(2.0::DOUBLE * tw * th / 256))::BIGINT AS most FROM (SELECT DISTINCT image, tw, th, tile FROM n) t CROSS JOIN range(256) r(l) LEFT JOIN (SELECT image, tile, g, n FROM n) n ON n.image = t.image AND n.tile = t.tile AND n.g = l),
+  o AS (SELECT *, sum(greatest(n - most, 0)) OVER (PARTITION BY image, tile)::BIGINT AS spare FROM f),
+  d AS (SELECT *, least(n, most) + spare // 256 + CASE WHEN l % (256 // greatest(spare % 256, 1)) = 0 AND l // (256 // greatest(spare % 256, 1)) < spare % 256 THEN 1 ELSE 0 END AS m FROM o),
+  lut AS (SELECT image, tile, l, least(255, round_even(round(sum(m) OVER (PARTITION BY image, tile ORDER BY l)::DOUBLE * 255 / (tw * th), 6), 0)) AS y FROM d),
+  p AS (SELECT image, i, g, floor(fx) AS x0, floor(fy) AS y0, fx - floor(fx) AS a, fy - floor(fy) AS b FROM (SELECT image, i, v[i + 1] AS g, (i % w) / tw::DOUBLE - 0.5::DOUBLE AS fx, (i // w) / th::DOUBLE - 0.5::DOUBLE AS fy FROM (SELECT *, unnest(range(w * h)) AS i FROM sized))),
+  c AS (SELECT p.image, i, sum(y * CASE WHEN dx = 0 THEN 1 - a ELSE a END * CASE WHEN dy = 0 THEN 1 - b ELSE b END) AS y FROM p, range(2) xs(dx), range(2) ys(dy), lut WHERE lut.image = p.image AND lut.l = p.g AND lut.tile = greatest(least(y0 + dy, 7), 0) * 8 + greatest(least(x0 + dx, 7), 0) GROUP BY ALL)
+SELECT image, sum(e)::BIGINT AS total, sum(e * (i % 97))::BIGINT AS placed FROM (SELECT image, i, least(255, round_even(round(y, 6), 0)) AS e FROM c) GROUP BY image""",
+)
+def equalised(spark, sf):
+    """Each image with its contrast evened out tile by tile, as the sum of its levels and that of its levels by place."""
+    even = contrast.equalised(cut(view(spark, sf, "v_raster").select("image", "w", "h", "v")))
+    total = lambda f: F.aggregate(F.transform("v", f), F.lit(0).cast("bigint"), lambda s, x: s + x).alias
+    return even.select("image", total(lambda v, i: v)("total"), total(lambda v, i: v * (i % 97))("placed"))
