@@ -9,7 +9,11 @@ and only the root's dishes pass between shards: a shard sends, for each word, th
 the word's own shard, which seats them at the root and sends back customers and tables. A previous word that alone
 would fill a shard (``Layout.hot``) is dealt further by the word before it; the dishes of such a parent are seated
 where their word is, from the tables of all its leaves, and only its two totals are collected (and those of the
-root). States lie in the shared folder by shard and are read there, so a sweep moves nothing but these numbers.
+root). States lie in the shared folder by shard and are read there, so a sweep moves nothing but these numbers; blocks
+of documents lie there in files of their own, and scoring moves the files' names.
+
+Memory. Two tasks share an executor's limit with Spark's own process, and workers stay between tasks: arrays of a
+shard are dropped as soon as they are used, places are 32-bit numbers, and what a shard or block took is given back.
 
 Seating is drawn as in ``pitman_yor``: a sweep draws the table count of each (restaurant, word) from its exact
 conditional, given the other tables and the probability above as the sweep before left them. Counts of one have one
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from vouchline.llm.common import doc_chunks, materialise, pick, shared_path, splitmix, text_bytes
+from vouchline.llm.common import doc_chunks, give_back, materialise, pick, shared_path, splitmix, text_bytes
 from vouchline.llm.pitman_yor import _BLOCK_BYTES, _PART_BYTES, BURN_IN, DISCOUNT, SAMPLES, SEED, START, STRENGTH, reseat, tokens
 from vouchline.llm.warc import open_fs
 
@@ -70,6 +74,35 @@ def _unpack(blob: bytes) -> dict[str, np.ndarray]:
     return out
 
 
+def _one_by_one(make, units):
+    """``make`` of each unit; what it took is given back before the next."""
+    for unit in units:
+        out = make(unit)
+        del unit
+        give_back()
+        yield out
+        del out
+
+
+def _rows_of(batches):
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and the place of each among them, in half the memory of ``np.unique``."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    x = x[new]
+    place = np.cumsum(new, dtype=np.int32)
+    place -= 1
+    out = np.empty(len(order), np.int32)
+    out[order] = place
+    return x, out
+
+
 def _by_key(batches, width: int):
     """Runs of rows that share the first column."""
     pending = []
@@ -127,30 +160,52 @@ def _find(names: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(hit, at, len(names)), hit
 
 
+def _gathered(batches):
+    """Columns of as many batches as make a block: batches of short texts hold few bytes, and each block becomes a file."""
+    pending = []
+    for batch in batches:
+        pending.append(batch)
+        if sum(b.nbytes for b in pending) >= _BLOCK_BYTES:
+            yield pa.Table.from_batches(pending).columns
+            pending = []
+    if pending:
+        yield pa.Table.from_batches(pending).columns
+
+
 def _blocks(batches):
     """(id, held, text) -> a row per block: ids, packed words (frequent first) and counts of the most frequent, packed token codes, offsets, held flags."""
-    for batch in batches:
-        buf, off = text_bytes(batch.column(2))
-        held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for i, j in doc_chunks(off, _BLOCK_BYTES):
-            cuts = [(i + k, i + m) for k, m in doc_chunks(off[i : j + 1], _PART_BYTES)]
-            parts = [tokens(buf[off[k] : off[m]], off[k : m + 1] - off[k]) for k, m in cuts]
-            words = np.concatenate([w for w, _ in parts])
-            at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(a) for _, a in parts]))])
-            codes, unique = pd.factorize(words)
-            n = np.bincount(codes, minlength=len(unique))
-            order = np.lexsort((unique, -n))
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            lexicon = _pack(words=unique[order], n=n[order][:_OFTEN].astype(np.uint32), docs=np.array([j - i], np.uint32))
-            blob = _pack(codes=place[codes].astype(np.uint32), at=at.astype(np.uint32), held=held[i:j])
-            # blocks of equal contents get equal numbers, and equal answers
-            number = xxh64_intdigest(blob, xxh64_intdigest(lexicon)) >> 1
-            ids = pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(batch.schema.types[0]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), ids, pa.array([len(words)], pa.int64()), pa.array([lexicon], pa.binary()), pa.array([blob], pa.binary())],
-                names=["block", "ids", "n_tokens", "lexicon", "blob"],
-            )
+
+    def chunks():
+        for ids, held, texts in _gathered(batches):
+            buf, off = text_bytes(texts)
+            held = held.to_numpy().astype(bool)
+            for i, j in doc_chunks(off, _BLOCK_BYTES):
+                yield ids.slice(i, j - i), held[i:j], buf[off[i] : off[j]], off[i : j + 1] - off[i]
+
+    yield from _one_by_one(_block, chunks())
+
+
+def _block(chunk) -> pa.RecordBatch:
+    ids, held, buf, off = chunk
+    parts = [tokens(buf[off[k] : off[m]], off[k : m + 1] - off[k]) for k, m in doc_chunks(off, _PART_BYTES)]
+    at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(a) for _, a in parts]))])
+    words = np.concatenate([w for w, _ in parts])
+    del parts
+    codes, unique = pd.factorize(words)
+    n_tokens = len(words)
+    del words
+    n = np.bincount(codes, minlength=len(unique))
+    order = np.lexsort((unique, -n))
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order))
+    lexicon = _pack(words=unique[order], n=n[order][:_OFTEN].astype(np.uint32), docs=np.array([len(held)], np.uint32))
+    blob = _pack(codes=place[codes], at=at.astype(np.uint32), held=held)
+    # blocks of equal contents get equal numbers, and equal answers
+    number = xxh64_intdigest(blob, xxh64_intdigest(lexicon)) >> 1
+    return pa.RecordBatch.from_arrays(
+        [pa.array([number], pa.int64()), pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([n_tokens], pa.int64()), pa.array([lexicon], pa.binary()), pa.array([blob], pa.binary())],
+        names=["block", "ids", "n_tokens", "lexicon", "blob"],
+    )
 
 
 def _often(batches):
@@ -190,8 +245,12 @@ def trigrams(block: dict, n_words: int):
     u[at[:-1]] = n_words
     room, rooms = v * (n_words + 1) + u, None
     if (n_words + 1) ** 3 >= 2**63:
-        rooms, room = np.unique(room, return_inverse=True)
-    key, inverse = np.unique(room * n_words + w, return_inverse=True)
+        rooms, room = _distinct(room)
+        room = room.astype(np.int64)
+    del v, u
+    room *= n_words
+    room += w
+    key, inverse = _distinct(room)
     room, w = key // n_words, key % n_words
     room = room if rooms is None else rooms[room]
     trained = np.repeat(~block["held"], np.diff(at))
@@ -215,48 +274,54 @@ def _pieces(lay: Layout):
     """Blocks -> (shard, block, its distinct trigrams of that shard)."""
 
     def rows(batches):
-        for batch in batches:
-            for number, lexicon, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = np.append(_unpack(lexicon)["words"], START)
-                rank = _ranks(lay.common, words)
-                v, u, w, count, _ = trigrams(_unpack(blob), len(words) - 1)
-                first = _first_of_runs(v, u)
-                size = np.diff(np.append(first, len(v)))
-                v, u = v[first], u[first]
-                base, hot, part = lay.hints(words)
-                shard = lay.by_hints(base[v], hot[v], part[u])
-                by_room, cut_room = _by_shard(shard, lay.shards)
-                by_pair, cut_pair = _by_shard(np.repeat(shard, size), lay.shards)
-                out = []
-                for k in np.unique(shard).tolist():
-                    r, p = by_room[cut_room[k] : cut_room[k + 1]], by_pair[cut_pair[k] : cut_pair[k + 1]]
-                    codes = np.concatenate([v[r], u[r], w[p]])
-                    far = rank[codes] < 0
-                    rare = np.unique(codes[far])
-                    named = rank[codes]
-                    named[far] = COMMON + np.searchsorted(rare, codes[far])
-                    named = named.astype(np.uint32)
-                    n = len(r)
-                    out.append((k, _pack(v=named[:n], u=named[n : 2 * n], w=named[2 * n :], size=size[r].astype(np.uint32), count=count[p].astype(np.uint32), names=words[rare])))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in out], pa.int32()), pa.array([number] * len(out), pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["shard", "block", "blob"]
-                )
+        yield from _one_by_one(one, _rows_of(batches))
+
+    def one(row):
+        number, lexicon, blob = row
+        words = np.append(_unpack(lexicon)["words"], START)
+        rank = _ranks(lay.common, words)
+        v, u, w, count, _ = trigrams(_unpack(blob), len(words) - 1)
+        first = _first_of_runs(v, u)
+        size = np.diff(np.append(first, len(v)))
+        v, u = v[first], u[first]
+        base, hot, part = lay.hints(words)
+        shard = lay.by_hints(base[v], hot[v], part[u])
+        by_room, cut_room = _by_shard(shard, lay.shards)
+        by_pair, cut_pair = _by_shard(np.repeat(shard, size), lay.shards)
+        out = []
+        for k in np.unique(shard).tolist():
+            r, p = by_room[cut_room[k] : cut_room[k + 1]], by_pair[cut_pair[k] : cut_pair[k + 1]]
+            codes = np.concatenate([v[r], u[r], w[p]])
+            far = rank[codes] < 0
+            rare = np.unique(codes[far])
+            named = rank[codes]
+            named[far] = COMMON + np.searchsorted(rare, codes[far])
+            named = named.astype(np.uint32)
+            n = len(r)
+            out.append((k, _pack(v=named[:n], u=named[n : 2 * n], w=named[2 * n :], size=size[r].astype(np.uint32), count=count[p].astype(np.uint32), names=words[rare])))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in out], pa.int32()), pa.array([number] * len(out), pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["shard", "block", "blob"]
+        )
 
     return rows
 
 
-def _joined(parts: list[dict], *fields: str) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Names that aren't common over all parts in order, and each field over all parts in codes that are common to them."""
-    names, inverse = np.unique(np.concatenate([p["names"] for p in parts]), return_inverse=True)
+def _joined(parts: list[dict]):
+    """Names that aren't common over all parts in order, and a function that takes a field out of all parts, in codes that are common to them."""
     cut = np.cumsum([0] + [len(p["names"]) for p in parts])
-    out = []
-    for f in fields:
-        codes = [p[f].astype(np.int64) for p in parts]
-        for c, i in zip(codes, cut[:-1], strict=True):
-            far = c >= COMMON
-            c[far] = COMMON + inverse[i + c[far] - COMMON]
-        out.append(np.concatenate(codes))
-    return names, out
+    names, inverse = _distinct(np.concatenate([p.pop("names") for p in parts]))
+
+    def take(field: str) -> np.ndarray:
+        out, a = np.empty(sum(len(p[field]) for p in parts), np.int64), 0
+        for p, i in zip(parts, cut[:-1], strict=True):
+            c = p.pop(field)
+            out[a : a + len(c)] = c
+            far = a + np.flatnonzero(c >= COMMON)
+            out[far] = COMMON + inverse[i + out[far] - COMMON]
+            a += len(c)
+        return out
+
+    return names, take
 
 
 def _packed_slots(lay: Layout, seats: Seats) -> list[tuple[int, bytes]]:
@@ -276,23 +341,36 @@ def _states(lay: Layout):
     """Pieces sorted by shard -> a row a shard: its pairs, where each piece's pairs are among them, its slots."""
 
     def rows(batches):
-        for run in _by_key(batches, 3):
-            parts = [_unpack(r[2]) for r in run]
-            names, (v, u, w) = _joined(parts, "v", "u", "w")
-            width = COMMON + len(names)
-            rooms, room = np.unique(v * width + u, return_inverse=True)
-            key, where = np.unique(np.repeat(room, np.concatenate([p["size"] for p in parts])) * width + w, return_inverse=True)
-            count = np.bincount(where, np.concatenate([p["count"] for p in parts]), len(key)).astype(np.int64)
-            state = {
-                "v": (rooms // width).astype(np.uint32), "size": np.bincount(key // width, minlength=len(rooms)).astype(np.uint32),
-                "w": (key % width).astype(np.uint32), "count": count.astype(np.uint32), "names": names,
-            }
-            cut = np.cumsum([0] + [len(p["w"]) for p in parts])
-            pieces = [{"block": r[1], "blob": _pack(where=where[a:b].astype(np.uint32))} for r, a, b in zip(run, cut[:-1], cut[1:], strict=True)]
-            slots = [{"g": g, "blob": b} for g, b in _packed_slots(lay, Seats(state, lay))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([run[0][0]], pa.int32()), pa.array([_pack(**state)], pa.binary()), pa.array([pieces], _PIECES), pa.array([slots], _SLOTS)], names=["shard", "blob", "pieces", "slots"]
-            )
+        yield from _one_by_one(one, _by_key(batches, 3))
+
+    def one(run):
+        shard, blocks = run[0][0], [r[1] for r in run]
+        parts = [_unpack(r[2]) for r in run]
+        run.clear()
+        names, take = _joined(parts)
+        width = COMMON + len(names)
+        key = take("v")
+        key *= width
+        key += take("u")
+        rooms, room = _distinct(key)
+        key = np.repeat(room, np.concatenate([p.pop("size") for p in parts])).astype(np.int64)
+        del room
+        key *= width
+        cut = np.cumsum([0] + [len(p["w"]) for p in parts])
+        key += take("w")
+        key, where = _distinct(key)
+        count = np.bincount(where, np.concatenate([p.pop("count") for p in parts]), len(key)).astype(np.uint32)
+        state = {
+            "v": (rooms // width).astype(np.uint32), "size": np.bincount(key // width, minlength=len(rooms)).astype(np.uint32),
+            "w": (key % width).astype(np.uint32), "count": count, "names": names,
+        }
+        del key, rooms, count
+        pieces = [{"block": k, "blob": _pack(where=where[a:b].astype(np.uint32))} for k, a, b in zip(blocks, cut[:-1], cut[1:], strict=True)]
+        del where
+        slots = [{"g": g, "blob": b} for g, b in _packed_slots(lay, Seats(state, lay))]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([shard], pa.int32()), pa.array([_pack(**state)], pa.binary()), pa.array([pieces], _PIECES), pa.array([slots], _SLOTS)], names=["shard", "blob", "pieces", "slots"]
+        )
 
     return rows
 
@@ -318,17 +396,20 @@ class Seats:
     """
 
     def __init__(self, state: dict, lay: Layout):
-        self.names, self.count, size = state["names"], state["count"].astype(np.int64), state["size"].astype(np.int64)
+        self.names, self.count, size = state["names"], state["count"], state["size"].astype(np.int64)
         width = COMMON + len(self.names)
-        self.room = np.repeat(np.arange(len(size)), size)
-        vs, of_room = np.unique(state["v"], return_inverse=True)
+        self.room = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        vs, of_room = _distinct(state["v"])
         name = lambda c: np.concatenate([lay.common, np.zeros(COMMON - len(lay.common), np.uint64), self.names])[c]
         place, hit = _find(lay.hot, name(vs))
-        bigrams, self.bi = np.unique(of_room[self.room] * width + state["w"], return_inverse=True)
-        self.v, w = bigrams // width, bigrams % width
+        bigrams = np.repeat(of_room, size).astype(np.int64)
+        bigrams *= width
+        bigrams += state["w"]
+        bigrams, self.bi = _distinct(bigrams)
+        self.v, w = (bigrams // width).astype(np.int32), bigrams % width
         h = np.where(hit, place + 1, 0)[self.v]
         self.hot = h > 0
-        slots, self.slot = np.unique(h * width + w, return_inverse=True)
+        slots, self.slot = _distinct(h * width + w)
         self.slot_h, self.slot_w = slots // width, slots % width
         order, cut = _by_shard(lay.of_word(name(self.slot_w)), lay.of_words)
         self.sent = [(g, order[cut[g] : cut[g + 1]]) for g in range(lay.of_words) if cut[g + 1] > cut[g]]
@@ -375,9 +456,11 @@ class Seats:
 
     def leaf_p(self, above: np.ndarray) -> np.ndarray:
         """Predictive probability of each pair."""
-        c, t = np.bincount(self.room, self.count, self.n_rooms), np.bincount(self.room, self.t_leaf, self.n_rooms)
-        spare = (STRENGTH[2] + DISCOUNT[2] * t)[self.room]
-        return (self.count - DISCOUNT[2] * self.t_leaf + spare * self.parent_p(above)[self.bi]) / (STRENGTH[2] + c)[self.room]
+        out = self.parent_p(above)[self.bi]
+        out *= (STRENGTH[2] + DISCOUNT[2] * np.bincount(self.room, self.t_leaf, self.n_rooms))[self.room]
+        out += self.count - DISCOUNT[2] * self.t_leaf
+        out /= (STRENGTH[2] + np.bincount(self.room, self.count, self.n_rooms))[self.room]
+        return out
 
     def sweep(self, above: np.ndarray, rng: np.random.Generator) -> None:
         parent = self.parent_p(above)
@@ -385,7 +468,7 @@ class Seats:
         room = self.room[some]
         in_room = np.bincount(self.room, self.t_leaf, self.n_rooms).astype(np.int64)
         in_parent = np.bincount(self.v, self.t_parent, self.n_v).astype(np.int64)
-        self.t_leaf[some] = reseat(self.count[some], in_room[room] - self.t_leaf[some], parent[self.bi[some]], DISCOUNT[2], STRENGTH[2], rng)
+        self.t_leaf[some] = reseat(self.count[some].astype(np.int64), in_room[room] - self.t_leaf[some], parent[self.bi[some]], DISCOUNT[2], STRENGTH[2], rng)
         c = self.customers()
         some = np.flatnonzero((c > 1) & ~self.hot)
         others = in_parent[self.v[some]] - self.t_parent[some]
@@ -421,21 +504,25 @@ def _steps(x: np.ndarray) -> np.ndarray:
 
 def _words(batches):
     """Slots sorted by the words' shard -> a row a shard: its dishes, and where the slots of each sender are among them."""
-    for run in _by_key(batches, 3):
-        parts = [_unpack(r[2]) for r in run]
-        names, (w,) = _joined(parts, "w")
-        h = np.concatenate([p["h"] for p in parts]).astype(np.int64)
-        dishes, dish = np.unique(w, return_inverse=True)
-        on = h > 0
-        hots, hot = np.unique((h[on] - 1) * len(dishes) + dish[on], return_inverse=True)
-        to = dish.copy()
-        to[on] = len(dishes) + hot
-        train = np.bincount(dish, np.concatenate([p["train"] for p in parts]), len(dishes)).astype(np.uint64)
-        cut = np.cumsum([0] + [len(p["w"]) for p in parts])
-        links = [{"s": r[1], "blob": _pack(to=_steps(to[a:b]))} for r, a, b in zip(run, cut[:-1], cut[1:], strict=True)]
-        opened = np.bincount(to, np.concatenate([p["tables"] for p in parts]), len(dishes) + len(hots)).astype(np.uint64)
-        blob = _pack(train=train, opened=opened, hot_h=(hots // len(dishes)).astype(np.uint32), hot_w=(hots % len(dishes)).astype(np.uint32))
-        yield pa.RecordBatch.from_arrays([pa.array([run[0][0]], pa.int32()), pa.array([blob], pa.binary()), pa.array([links], _LINKS)], names=["shard", "blob", "links"])
+    yield from _one_by_one(_word_row, _by_key(batches, 3))
+
+
+def _word_row(run) -> pa.RecordBatch:
+    g, senders = run[0][0], [r[1] for r in run]
+    parts = [_unpack(r[2]) for r in run]
+    run.clear()
+    _, take = _joined(parts)
+    cut = np.cumsum([0] + [len(p["w"]) for p in parts])
+    dishes, to = _distinct(take("w"))
+    train = np.bincount(to, np.concatenate([p.pop("train") for p in parts]), len(dishes)).astype(np.uint64)
+    h = np.concatenate([p.pop("h") for p in parts]).astype(np.int64)
+    on = h > 0
+    hots, hot = _distinct((h[on] - 1) * len(dishes) + to[on])
+    to[on] = len(dishes) + hot
+    links = [{"s": s, "blob": _pack(to=_steps(to[a:b]))} for s, a, b in zip(senders, cut[:-1], cut[1:], strict=True)]
+    opened = np.bincount(to, np.concatenate([p.pop("tables") for p in parts]), len(dishes) + len(hots)).astype(np.uint64)
+    blob = _pack(train=train, opened=opened, hot_h=(hots // len(dishes)).astype(np.uint32), hot_w=(hots % len(dishes)).astype(np.uint32))
+    return pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([blob], pa.binary()), pa.array([links], _LINKS)], names=["shard", "blob", "links"])
 
 
 def _links(links: list[dict]) -> dict[int, np.ndarray]:
@@ -462,10 +549,11 @@ def _seated(g: int, x: dict, opened: np.ndarray, n_hot: int, before: dict | None
 
 def _first_root(n_hot: int):
     def rows(batches):
-        for batch in batches:
-            for g, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = _unpack(blob)
-                yield _seated(g, x, x["opened"].astype(np.int64), n_hot)
+        yield from _one_by_one(one, _rows_of(batches))
+
+    def one(row):
+        x = _unpack(row[1])
+        return _seated(row[0], x, x["opened"].astype(np.int64), n_hot)
 
     return rows
 
@@ -474,17 +562,19 @@ def _root(folder: str, n_hot: int, totals: Totals, sweep: int):
     """Rows (words' shard, sender or -1, blob): tables that the senders opened, and the shard's own tables before -> its tables, and its share of the totals."""
 
     def rows(batches):
-        for run in _by_key(batches, 3):
-            g = run[0][0]
-            blob, links = _stored(folder, g, "blob", "links")
-            x, links = _unpack(blob), _links(links)
-            opened, before = np.zeros(len(x["opened"]), np.int64), {}
-            for _, s, sent in run:
-                if s < 0:
-                    before = {k: a.astype(np.int64) for k, a in _unpack(sent).items()}
-                else:
-                    opened[links[s]] += _unpack(sent)["tables"].astype(np.int64)  # a sender's slots are different dishes
-            yield _seated(g, x, opened, n_hot, before, totals, sweep)
+        yield from _one_by_one(one, _by_key(batches, 3))
+
+    def one(run):
+        g = run[0][0]
+        blob, links = _stored(folder, g, "blob", "links")
+        x, links = _unpack(blob), _links(links)
+        opened, before = np.zeros(len(x["opened"]), np.int64), {}
+        for _, s, sent in run:
+            if s < 0:
+                before = {k: a.astype(np.int64) for k, a in _unpack(sent).items()}
+            else:
+                opened[links[s]] += _unpack(sent)["tables"].astype(np.int64)  # a sender's slots are different dishes
+        return _seated(g, x, opened, n_hot, before, totals, sweep)
 
     return rows
 
@@ -493,21 +583,23 @@ def _answers(folder: str, sweep: int, train: bool):
     """The words' shards' tables -> rows (shard, sweep, words' shard, customers and tables of its slots)."""
 
     def rows(batches):
-        for batch in batches:
-            for g, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                fixed, links = _stored(folder, g, "blob", "links")
-                fixed, x = _unpack(fixed), _unpack(blob)
-                n, out = len(x["c"]), []
-                for s, to in _links(links).items():
-                    hot = to[to >= n] - n
-                    w = to.copy()
-                    w[to >= n] = fixed["hot_w"][hot]
-                    more = {"train": fixed["train"][w]} if train else {}
-                    out.append((s, _pack(c=x["c"][w].astype(np.uint64), t=x["t"][w], hot_c=x["hot_c"][hot], hot_t=x["hot_t"][hot], **more)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s for s, _ in out], pa.int32()), pa.array([sweep] * len(out), pa.int32()), pa.array([g] * len(out), pa.int32()), pa.array([b for _, b in out], pa.binary())],
-                    names=["shard", "sweep", "g", "blob"],
-                )
+        yield from _one_by_one(one, _rows_of(batches))
+
+    def one(row):
+        g, blob = row
+        fixed, links = _stored(folder, g, "blob", "links")
+        fixed, x = _unpack(fixed), _unpack(blob)
+        n, out = len(x["c"]), []
+        for s, to in _links(links).items():
+            hot = to[to >= n] - n
+            w = to.copy()
+            w[to >= n] = fixed["hot_w"][hot]
+            more = {"train": fixed["train"][w]} if train else {}
+            out.append((s, _pack(c=x["c"][w].astype(np.uint64), t=x["t"][w], hot_c=x["hot_c"][hot], hot_t=x["hot_t"][hot], **more)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([s for s, _ in out], pa.int32()), pa.array([sweep] * len(out), pa.int32()), pa.array([g] * len(out), pa.int32()), pa.array([b for _, b in out], pa.binary())],
+            names=["shard", "sweep", "g", "blob"],
+        )
 
     return rows
 
@@ -516,16 +608,18 @@ def _sweep(folder: str, lay: Layout, totals: Totals, sweep: int):
     """Answers, and the shard's tables (g = -1) -> rows (g, shard, blob): tables that the shard opened, and its own (g = -1)."""
 
     def rows(batches):
-        for run in _by_key(batches, 4):
-            s = run[0][0]
-            seats = Seats(_unpack(_stored(folder, s, "blob")[0]), lay)
-            got = {g: b for _, _, g, b in run}
-            if -1 in got:
-                seats.restore(got.pop(-1))
-            seats.sweep(seats.above({g: _unpack(b) for g, b in got.items()}, totals), np.random.default_rng([SEED, 0, s, sweep]))
-            opened = seats.slot_tables()
-            out = [(-1, seats.tables())] + [(g, _pack(tables=opened[at].astype(np.uint64))) for g, at in seats.sent]
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.int32()), pa.array([s] * len(out), pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["g", "s", "blob"])
+        yield from _one_by_one(one, _by_key(batches, 4))
+
+    def one(run):
+        s = run[0][0]
+        seats = Seats(_unpack(_stored(folder, s, "blob")[0]), lay)
+        got = {g: b for _, _, g, b in run}
+        if -1 in got:
+            seats.restore(got.pop(-1))
+        seats.sweep(seats.above({g: _unpack(b) for g, b in got.items()}, totals), np.random.default_rng([SEED, 0, s, sweep]))
+        opened = seats.slot_tables()
+        out = [(-1, seats.tables())] + [(g, _pack(tables=opened[at].astype(np.uint64))) for g, at in seats.sent]
+        return pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.int32()), pa.array([s] * len(out), pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["g", "s", "blob"])
 
     return rows
 
@@ -534,63 +628,64 @@ def _predict(folder: str, lay: Layout, totals: dict[int, Totals]):
     """Answers and tables of the sweeps after burn-in -> (block, shard, training counts and log10 of the averaged probabilities of the block's pairs)."""
 
     def rows(batches):
-        for run in _by_key(batches, 4):
-            s = run[0][0]
-            state, pieces = _stored(folder, s, "blob", "pieces")
-            state = _unpack(state)
-            seats, p = Seats(state, lay), 0.0
-            for k, after in totals.items():
-                got = {g: b for _, sweep, g, b in run if sweep == k}
-                seats.restore(got.pop(-1))
-                got = {g: _unpack(b) for g, b in got.items()}
-                p = p + seats.leaf_p(seats.above(got, after))
-            train = np.zeros(len(seats.slot_w), np.int64)
-            for g, at in seats.sent:
-                train[at] = got[g]["train"]
-            log_p, train = np.log10(p / len(totals)).astype(np.float32), train[seats.slot][seats.bi]
-            for piece in pieces:
-                where = _unpack(piece["blob"])["where"].astype(np.int64)
-                known = where[~pd.Series(state["w"][where]).duplicated().to_numpy()]
-                blob = _pack(count=train[known].astype(np.uint64), log_p=log_p[where])
-                yield pa.RecordBatch.from_arrays([pa.array([piece["block"]], pa.int64()), pa.array([s], pa.int32()), pa.array([blob], pa.binary())], names=["block", "shard", "blob"])
+        yield from _one_by_one(one, _by_key(batches, 4))
+
+    def one(run):
+        s = run[0][0]
+        state, pieces = _stored(folder, s, "blob", "pieces")
+        state = _unpack(state)
+        seats, p = Seats(state, lay), 0.0
+        for k, after in totals.items():
+            got = {g: b for _, sweep, g, b in run if sweep == k}
+            seats.restore(got.pop(-1))
+            got = {g: _unpack(b) for g, b in got.items()}
+            p += seats.leaf_p(seats.above(got, after))
+        train = np.zeros(len(seats.slot_w), np.int64)
+        for g, at in seats.sent:
+            train[at] = got[g]["train"]
+        w, train = state["w"], train[seats.slot][seats.bi]
+        del state, seats, got
+        log_p = np.log10(p / len(totals)).astype(np.float32)
+        del p
+        blobs = []
+        for piece in pieces:
+            where = _unpack(piece["blob"])["where"].astype(np.int64)
+            known = where[~pd.Series(w[where]).duplicated().to_numpy()]
+            blobs.append(_pack(count=train[known].astype(np.uint64), log_p=log_p[where]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x["block"] for x in pieces], pa.int64()), pa.array([s] * len(pieces), pa.int32()), pa.array(blobs, pa.binary())], names=["block", "shard", "blob"]
+        )
 
     return rows
 
 
-def _own(lay: Layout):
-    """Blocks with the hints of their words in place of the names."""
-
-    def rows(batches):
-        for batch in batches:
-            hints = []
-            for blob in batch.column(2).to_pylist():
-                base, hot, part = lay.hints(np.append(_unpack(blob)["words"], START))
-                hints.append(_pack(base=base.astype(np.uint32), hot=hot.astype(np.uint32), part=part.astype(np.uint32)))
-            minus = pa.array([-1] * len(hints), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), minus, batch.column(1), pa.array(hints, pa.binary()), batch.column(3)], names=["block", "shard", "ids", "hints", "blob"])
-
-    return rows
-
-
-def _document_scores(lay: Layout, n_tokens: int, n_words: int, id_type: pa.DataType | None, id_col: str):
-    """Rows (block, shard, ids, hints, blob) sorted by block and shard; a block's own rows have shard -1."""
+def _document_scores(folder: str, lay: Layout, n_tokens: int, n_words: int, id_type: pa.DataType | None, id_col: str):
+    """Rows (block, shard, ids, file, blob) sorted by block and shard; a block's own rows have shard -1 and name its file in the folder."""
 
     def rows(batches):
         for run in _by_key(batches, 5):
             answers = {shard: blob for _, shard, _, _, blob in run if shard >= 0}
-            for _, shard, ids, hints, blob in run:
-                if shard < 0:
-                    yield one(ids, {k: x.astype(np.int64) for k, x in _unpack(hints).items()}, _unpack(blob), answers)
-
-    def one(ids, hints, block, answers):
-        n = len(hints["base"]) - 1
+            own = [(ids, file) for _, shard, ids, file, _ in run if shard < 0]
+            run.clear()
+            yield from _one_by_one(lambda x: one(*x, answers), own)  # noqa: B023
+
+    def one(ids, file, answers):
+        fs, root = open_fs(folder)
+        with fs.open_input_file(f"{root}/{file}") as f:
+            found = pq.ParquetFile(f).read(columns=["lexicon", "blob"])
+        words, block = np.append(_unpack(found.column(0)[0].as_py())["words"], START), _unpack(found.column(1)[0].as_py())
+        del found
+        n = len(words) - 1
+        base, hot, part = lay.hints(words)
         v, u, w, _, inverse = trigrams(block, n)
-        order, cut = _by_shard(lay.by_hints(hints["base"][v], hints["hot"][v], hints["part"][u]), lay.shards)
+        order, cut = _by_shard(lay.by_hints(base[v], hot[v], part[u]), lay.shards)
+        del v, u
         count, log_p = np.zeros(n, np.int64), np.zeros(len(w))
         for shard, blob in answers.items():
-            part, mine = _unpack(blob), order[cut[shard] : cut[shard + 1]]
-            log_p[mine] = part["log_p"]
-            count[pd.unique(w[mine])] = part["count"]
+            got, mine = _unpack(blob), order[cut[shard] : cut[shard + 1]]
+            log_p[mine] = got["log_p"]
+            count[pd.unique(w[mine])] = got["count"]
+        del order, w
         at = block["at"].astype(np.int64)
         c = count[block["codes"]]
         sums = lambda x: np.add.reduceat(x, at[:-1])  # noqa: E731  every document holds its end token
@@ -627,7 +722,9 @@ def score(docs: DataFrame, held: str, id_col: str = "doc_id", text_col: str = "t
     n_bytes = int(given.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0])
     shards = max(4, n_bytes // SHARD_BYTES)
     given = given.select(id_col, F.coalesce(F.expr(held), F.lit(False)).alias("held"), text_col)
-    blocks = materialise(given.mapInArrow(_blocks, f"block bigint, ids array<{kind}>, n_tokens bigint, lexicon binary, blob binary"), "blocks")
+    kept, block_schema = shared_path(spark, "blocks"), f"block bigint, ids array<{kind}>, n_tokens bigint, lexicon binary, blob binary"
+    given.mapInArrow(_blocks, block_schema).write.option("maxRecordsPerFile", 1).parquet(kept)
+    blocks = spark.read.schema(block_schema).parquet(kept)
     lay = layout(blocks, shards)
     n_hot = len(lay.hot)
     placed = blocks.select("block", "lexicon", "blob").mapInArrow(_pieces(lay), "shard int, block bigint, blob binary").repartitionById(shards, "shard").sortWithinPartitions("shard", "block")
@@ -657,9 +754,9 @@ def score(docs: DataFrame, held: str, id_col: str = "doc_id", text_col: str = "t
         more = answers(k, k == last).unionByName(own(k))
         rows = more if rows is None else rows.unionByName(more)
     found = at_leaves(rows).mapInArrow(_predict(leaves, lay, {k: totals[k] for k in averaged}), "block bigint, shard int, blob binary")
-    mine = blocks.select("block", "ids", "lexicon", "blob").mapInArrow(_own(lay), f"block bigint, shard int, ids array<{kind}>, hints binary, blob binary")
-    both = mine.unionByName(found.select("block", "shard", F.lit(None).cast(f"array<{kind}>").alias("ids"), F.lit(None).cast("binary").alias("hints"), "blob"))
+    mine = blocks.select("block", F.lit(-1).alias("shard"), "ids", F.col("_metadata.file_name").alias("file"), F.lit(None).cast("binary").alias("blob"))
+    both = mine.unionByName(found.select("block", "shard", F.lit(None).cast(f"array<{kind}>").alias("ids"), F.lit(None).cast("string").alias("file"), "blob"))
     id_type = pa.int64() if kind == "bigint" else None
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    scores = _document_scores(lay, totals[0].n_tokens, totals[0].n_words, id_type, id_col)
+    scores = _document_scores(kept, lay, totals[0].n_tokens, totals[0].n_words, id_type, id_col)
     return both.repartition(parts, "block").sortWithinPartitions("block", "shard").mapInArrow(scores, schema)
