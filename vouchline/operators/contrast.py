@@ -2,60 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import numpy as np
+from pyspark.sql import DataFrame
 
-from vouchline.operators.raster import _clamp, _mirror, _places
+from vouchline.operators import stacks
 
 LEVELS = 256
 
 
-def tile_lookups(rasters: DataFrame, clip: float = 2.0, tiles: int = 8) -> DataFrame:
-    """rasters (image, w, h, v) -> image, tw, th, luts: the tiles' sides and, row by row, each tile's level for every level.
+def tile_lookups(v: np.ndarray, clip: float = 2.0, tiles: int = 8) -> np.ndarray:
+    """A stack of images -> (n, tiles, tiles, 256): each tile's level for every level.
 
     Unless both sides are multiples of ``tiles``, the image is continued to the next one on both (by a whole ``tiles``
-    where a side is one already), mirrored at its last pixels. A level's count over the limit is dealt to all levels evenly, what is
-    left of it to every so-manieth. Pixels are counted in the image's own task; only counts are shuffled.
+    where a side is one already), mirrored at its last pixels. A level's count over the limit is dealt to all levels
+    evenly, what is left of it to every so-manieth.
     """
-    w, h = F.col("w"), F.col("h")
-    even = (w % tiles == 0) & (h % tiles == 0)
-    side = lambda n: (F.when(even, n).otherwise(n + tiles - n % tiles) / tiles).cast("int")
-    sized = rasters.select("image", "w", "h", "v", side(w).alias("tw"), side(h).alias("th"))
-    x, y = (lambda i: i % (F.col("tw") * tiles)), (lambda i: (i / (F.col("tw") * tiles)).cast("int"))
-    tile = lambda i: (y(i) / F.col("th")).cast("int") * tiles + (x(i) / F.col("tw")).cast("int")
-    source = lambda i: F.greatest(_mirror(y(i), h), F.lit(0)) * w + F.greatest(_mirror(x(i), w), F.lit(0))
-    seen = F.transform(_places(F.col("tw") * tiles, F.col("th") * tiles), lambda i: tile(i) * LEVELS + F.get("v", source(i)))
-    counts = sized.select("image", "tw", "th", F.explode(seen).alias("c")).groupBy("image", "tw", "th", "c").agg(F.count(F.lit(1)).alias("n"))
-    per = counts.groupBy("image", "tw", "th", F.floor(F.col("c") / LEVELS).cast("int").alias("tile")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("c") % LEVELS, "n"))).alias("m"))
-    area = F.col("tw") * F.col("th")
-    limit = F.greatest(F.lit(1), F.floor(F.lit(clip) * area / LEVELS))
-    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
-    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, n: s + n)
-    per = per.withColumn("full", F.transform(levels, lambda l: F.coalesce(F.try_element_at("m", l), F.lit(0).cast("bigint")))).withColumn("limit", limit)
-    per = per.withColumn("over", total(F.transform("full", lambda n: F.greatest(n - F.col("limit"), F.lit(0))))).withColumn("rest", F.col("over") % LEVELS)
-    per = per.withColumn("step", F.floor(LEVELS / F.greatest("rest", F.lit(1))))
-    more = lambda l: F.floor(F.col("over") / LEVELS) + F.when((l % F.col("step") == 0) & (l / F.col("step") < F.col("rest")), 1).otherwise(0)
-    flat = F.transform("full", lambda n, l: F.least(n, F.col("limit")) + more(l))
-    running = F.aggregate(flat, F.array().cast("array<bigint>"), lambda a, n: F.array_append(a, n + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0))))
-    lut = F.transform(running, lambda n: _level(n * (LEVELS - 1) / area))
-    whole = per.select("image", "tw", "th", "tile", lut.alias("lut")).groupBy("image", "tw", "th").agg(F.array_sort(F.collect_list(F.struct("tile", "lut"))).alias("l"))
-    return whole.select("image", "tw", "th", F.transform("l", lambda t: t["lut"]).alias("luts"))
-
-
-def _level(v: Column) -> Column:
-    return F.least(F.rint(F.round(v, 6)), F.lit(LEVELS - 1)).cast("int")
+    n, h, w = v.shape
+    tw, th = tile_sides(w, h, tiles)
+    area, last = tw * th, lambda k: np.maximum(np.where(np.arange(k[1]) > k[0] - 1, 2 * (k[0] - 1) - np.arange(k[1]), np.arange(k[1])), 0)
+    wide = v[:, last((h, th * tiles))][:, :, last((w, tw * tiles))]
+    tile = np.arange(tiles).repeat(th)[:, None] * tiles + np.arange(tiles).repeat(tw)
+    at = (np.arange(n)[:, None, None] * tiles * tiles + tile) * LEVELS + wide
+    full = np.bincount(at.ravel(), minlength=n * tiles * tiles * LEVELS).reshape(-1, LEVELS)
+    limit = max(1, int(clip * area / LEVELS))
+    over = np.maximum(full - limit, 0).sum(1, keepdims=True)
+    rest = over % LEVELS
+    step, l = LEVELS // np.maximum(rest, 1), np.arange(LEVELS)
+    flat = np.minimum(full, limit) + over // LEVELS + ((l % step == 0) & (l // step < rest))
+    return np.minimum(stacks.level(np.cumsum(flat, 1) * (LEVELS - 1) / area), LEVELS - 1).reshape(n, tiles, tiles, LEVELS)
+
+
+def tile_sides(w: int, h: int, tiles: int) -> tuple[int, int]:
+    even = w % tiles == 0 and h % tiles == 0
+    return tuple(n // tiles if even else (n + tiles - n % tiles) // tiles for n in (w, h))
 
 
 def equalised(rasters: DataFrame, clip: float = 2.0, tiles: int = 8) -> DataFrame:
-    """v becomes the blend of what the four tiles around a pixel make of its level, by their centres' nearness; at the border of fewer."""
-    both = rasters.join(tile_lookups(rasters, clip, tiles), "image")
-
-    def blend(v: Column, i: Column) -> Column:
-        fx, fy = (i % F.col("w")) / F.col("tw") - 0.5, F.floor(i / F.col("w")) / F.col("th") - 0.5
-        x0, y0 = F.floor(fx).cast("int"), F.floor(fy).cast("int")
-        a, b = fx - x0, fy - y0
-        last = F.lit(tiles - 1)
-        at = lambda y, x: F.get(F.get("luts", _clamp(y, last) * tiles + _clamp(x, last)), v)
-        return _level((at(y0, x0) * (1 - a) + at(y0, x0 + 1) * a) * (1 - b) + (at(y0 + 1, x0) * (1 - a) + at(y0 + 1, x0 + 1) * a) * b)
-
-    return both.withColumn("v", F.transform("v", blend)).drop("tw", "th", "luts")
+    """v becomes the blend of what the four tiles around a pixel make of its level, by their centres' nearness; at the border of fewer.
+
+    An image's lookups are made and used in its own task; nothing is shuffled.
+    """
+
+    def blend(v: np.ndarray) -> np.ndarray:
+        n, h, w = v.shape
+        luts = tile_lookups(v, clip, tiles)
+        fx, fy = (np.arange(k) / side - 0.5 for k, side in zip((w, h), tile_sides(w, h, tiles), strict=True))
+        x0, y0 = np.floor(fx).astype(int), np.floor(fy).astype(int)
+        a, b = fx - x0, (fy - y0)[:, None]
+        clamp = lambda k: np.clip(k, 0, tiles - 1)
+        at = lambda y, x: luts[np.arange(n)[:, None, None], clamp(y)[:, None], clamp(x), v]
+        mixed = (at(y0, x0) * (1 - a) + at(y0, x0 + 1) * a) * (1 - b) + (at(y0 + 1, x0) * (1 - a) + at(y0 + 1, x0 + 1) * a) * b
+        return np.minimum(stacks.level(mixed), LEVELS - 1)
+
+    return stacks.replaced(rasters, "v", blend, room=tiles * tiles * LEVELS)

@@ -233,6 +233,6 @@ SELECT image, sum(e)::BIGINT AS total, sum(e * (i % 97))::BIGINT AS placed FROM
 )
 def equalised(spark, sf):
     """Each image with its contrast evened out tile by tile, as the sum of its levels and that of its levels by place."""
-    even = contrast.equalised(cut(view(spark, sf, "v_raster").select("image", "w", "h", "v")))
-    total = lambda f: F.aggregate(F.transform("v", f), F.lit(0).cast("bigint"), lambda s, x: s + x).alias
-    return even.select("image", total(lambda v, i: v)("total"), total(lambda v, i: v * (i % 97))("placed"))
+    even = contrast.equalised(view(spark, sf, "v_raster").select("image", "w", "h", "v"))
+    placed = "aggregate(v, struct(0L AS i, 0L AS s), (a, x) -> struct(a.i + 1L AS i, a.s + x * (a.i % 97) AS s), a -> a.s)"
+    return even.selectExpr("image", "aggregate(v, 0L, (s, x) -> s + x) AS total", f"{placed} AS placed")
