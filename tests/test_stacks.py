@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from vouchline.operators import contrast, stacks
+from vouchline.operators import contrast, edges, stacks
 from vouchline.plans.adapters import view
 
 SF = "/root/testdata/sf0.01"
@@ -32,3 +32,31 @@ def test_places_are_mirrored_as_often_as_it_takes():
     assert stacks.mirrored(np.arange(-4, 6), 2).tolist() == [0, 1, 0, 1, 0, 1, 0, 1, 0, 1]
     assert stacks.mirrored(np.arange(-2, 7), 5).tolist() == [2, 1, 0, 1, 2, 3, 4, 3, 2]
     assert stacks.mirrored(np.arange(-2, 3), 1).tolist() == [0] * 5
+
+
+def test_edges_stay_in_the_image_and_equal_plain_floods(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, w, h, rng.integers(0, 80, w * h).tolist()) for i, (w, h) in enumerate(((9, 7), (16, 12), (1, 5), (2, 2)))] + [(9, 3, 3, None)]
+    df = spark.createDataFrame(rows, RASTER)
+    found = edges.canny(df, 60, 150)
+    assert "Exchange" not in plan(found)
+    states = {r.image: r.state for r in edges.edge_states(df, 60, 150).collect()}
+    want = set()
+    for i, w, h, _ in rows[:4]:
+        todo, seen = [k for k, s in enumerate(states[i]) if s == 2], set()
+        while todo:
+            k = todo.pop()
+            if k not in seen:
+                seen.add(k)
+                x, y = k % w, k // w
+                todo += [b * w + a for a in range(max(x - 1, 0), min(x + 2, w)) for b in range(max(y - 1, 0), min(y + 2, h)) if states[i][b * w + a]]
+        want |= {(i, k % w, k // w) for k in seen}
+    assert {tuple(r) for r in edges.points(found).collect()} == want and want
+
+
+def test_regions_of_stacks_are_those_of_the_joins(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, 14, 11, (rng.random(154) < 0.4).astype(int).tolist()) for i in range(5)], "image int, w int, h int, mask array<int>")
+    for diagonal in (True, False):
+        joined = edges.regions(edges.runs(df, "mask"), diagonal).select("image", "run", "region", "x2", "top")
+        assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, edges.mask_regions(df, "mask", diagonal).select("image", "run", "region", "x2", "top").collect()))

@@ -6,55 +6,29 @@ A mask leaves its raster as runs (image, y, x1, x2), which are what regions are
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vouchline.operators import stacks
 from vouchline.operators.connect import components
-from vouchline.operators.raster import _clamp, _places
+from vouchline.operators.raster import _places
 from vouchline.storage import cut
 
 # Tangents of 22.5 and 67.5 degrees in 15 fractional bits, as gradient sectors are told apart.
 TAN_22, TAN_67 = 13573, 13573 + (1 << 16)
 
 
-def gradients(rasters: DataFrame) -> DataFrame:
-    """Adds dx, dy (3 x 3 Sobel, border repeated) and mag = |dx| + |dy| as arrays."""
-    w, h = F.col("w"), F.col("h")
-    at = lambda x, y: F.get("v", _clamp(y, h - 1) * w + _clamp(x, w - 1))
-
-    def sobel(dx: bool) -> Column:
-        def of(i: Column) -> Column:
-            x, y = i % w, (i / w).cast("int")
-            side = lambda s: sum((at(x + s, y + k) if dx else at(x + k, y + s)) * (2 - abs(k)) for k in (-1, 0, 1))
-            return side(1) - side(-1)
-
-        return F.transform(_places(w, h), of)
-
-    df = rasters.withColumns({"dx": sobel(True), "dy": sobel(False)})
-    return df.withColumn("mag", F.zip_with("dx", "dy", lambda a, b: F.abs(a) + F.abs(b)))
-
-
 def edge_states(rasters: DataFrame, low: int, high: int) -> DataFrame:
     """image, w, h, state: 2 for a strong edge pixel, 1 for a weak one, 0 for none.
 
     A pixel is an edge if its magnitude is over ``low`` and largest across the edge: over the one before, at least the
     one after (in a diagonal sector over both); strong over ``high``.
     """
-    w, h = F.col("w"), F.col("h")
-
-    def of(m: Column, i: Column) -> Column:
-        x, y = i % w, (i / w).cast("int")
-        mag = lambda dx, dy: F.when((x + dx >= 0) & (x + dx < w) & (y + dy >= 0) & (y + dy < h), F.get("mag", (y + dy) * w + x + dx)).otherwise(0)
-        gx, gy = F.get("dx", i), F.get("dy", i)
-        ax, ay = F.abs(gx).cast("bigint"), F.abs(gy).cast("bigint") * (1 << 15)
-        falls = (gx < 0) != (gy < 0)
-        flat, steep = ay < ax * TAN_22, ay > ax * TAN_67
-        rising, falling = (m > mag(-1, -1)) & (m > mag(1, 1)), (m > mag(1, -1)) & (m > mag(-1, 1))
-        peak = F.when(flat, (m > mag(-1, 0)) & (m >= mag(1, 0))).when(steep, (m > mag(0, -1)) & (m >= mag(0, 1))).when(falls, falling).otherwise(rising)
-        return F.when((m > low) & peak, F.when(m > high, 2).otherwise(1)).otherwise(0)
-
-    return gradients(rasters).select("image", "w", "h", F.transform("mag", of).alias("state"))
+    return stacks.replaced(rasters.select("image", "w", "h", "v"), "v", lambda v: stacks.states(v, low, high, TAN_22, TAN_67), "state").drop("v")
 
 
 def runs(masks: DataFrame, mask: str, least: int = 1) -> DataFrame:
@@ -79,11 +53,30 @@ def regions(of_runs: DataFrame, diagonal: bool = True) -> DataFrame:
     return of_runs.join(components(of_runs, touching, ["image"], "run"), ["image", "run"])
 
 
+def mask_regions(masks: DataFrame, mask: str, diagonal: bool = True) -> DataFrame:
+    """The runs of masks with their regions, both found in the image's own task."""
+
+    def of(stack: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        image, found = stacks.runs(stack)
+        return image, found | {"region": found["run"][stacks.regions(image, found, 1 if diagonal else 0)]}
+
+    return stacks.told(masks, mask, of, _RUN)
+
+
+_RUN = "run bigint, y int, x1 int, x2 int, top int, region bigint"
+
+
 def canny(rasters: DataFrame, low: int, high: int) -> DataFrame:
-    """Edges as runs: weak edge pixels count if a strong one is reachable through edge pixels."""
-    found = cut(regions(runs(edge_states(rasters, low, high), "state")))
-    kept = found.groupBy("image", "region").agg(F.max("top").alias("most")).where("most = 2").select("image", "region")
-    return found.join(kept, ["image", "region"])
+    """Edges as runs: weak edge pixels count if a strong one is reachable through edge pixels. No pixel leaves the image's task."""
+
+    def of(stack: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        image, found = stacks.runs(stacks.states(stack, low, high, TAN_22, TAN_67))
+        root, most = stacks.regions(image, found), np.zeros(len(image), np.int32)
+        np.maximum.at(most, root, found["top"])
+        kept = most[root] == 2
+        return image[kept], {c: x[kept] for c, x in (found | {"region": found["run"][root]}).items()}
+
+    return stacks.told(rasters, "v", of, _RUN)
 
 
 def points(of_runs: DataFrame) -> DataFrame:

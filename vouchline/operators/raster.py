@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vouchline.functions import homography as hg
 from vouchline.functions.geometry import let
+from vouchline.operators import stacks
 
 
 def from_gray(images: DataFrame, key: str, width: str, height: str, values: str) -> DataFrame:
@@ -30,16 +31,6 @@ def _places(w: Column, h: Column) -> Column:
     return F.sequence(F.lit(0), w * h - 1)
 
 
-def _clamp(v: Column, most: Column) -> Column:
-    return F.least(F.greatest(v, F.lit(0)), most)
-
-
-def _mirror(v: Column, n: Column) -> Column:
-    """Border by reflection about the outermost pixel's centre, for offsets under n."""
-    m = F.abs(v)
-    return F.when(n == 1, 0).when(m > n - 1, 2 * (n - 1) - m).otherwise(m)
-
-
 def gaussian_weights(size: int, sigma: float | None = None) -> list[float]:
     """Of an odd window; without sigma the width that the size implies."""
     import math
@@ -51,11 +42,8 @@ def gaussian_weights(size: int, sigma: float | None = None) -> list[float]:
 
 def blur(rasters: DataFrame, size: int, sigma: float | None = None) -> DataFrame:
     """Gaussian mean over size x size pixels, one axis after the other, mirrored at the border, rounded once at the end."""
-    weights, r = gaussian_weights(size, sigma), size // 2
-    w, h = F.col("w"), F.col("h")
-    across = F.transform(_places(w, h), lambda i: sum((F.get("v", i - i % w + _mirror(i % w + k - r, w)) * F.lit(weights[k]) for k in range(size)), F.lit(0.0)))
-    down = F.transform(_places(w, h), lambda i: F.rint(F.round(sum((F.get("__a", _mirror((i / w).cast("int") + k - r, h) * w + i % w) * F.lit(weights[k]) for k in range(size)), F.lit(0.0)), 6)).cast("int"))
-    return rasters.withColumn("__a", across).withColumn("v", down).drop("__a")
+    weights = gaussian_weights(size, sigma)
+    return stacks.replaced(rasters, "v", lambda v: stacks.blurred(v, weights))
 
 
 def warp(rasters: DataFrame, matrix: str, w: int, h: int) -> DataFrame:
