@@ -1,5 +1,8 @@
 """Whole-image work stays in the images' tasks, and these are many."""
 
+import math
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -60,3 +63,17 @@ def test_regions_of_stacks_are_those_of_the_joins(spark):
     for diagonal in (True, False):
         joined = edges.regions(edges.runs(df, "mask"), diagonal).select("image", "run", "region", "x2", "top")
         assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, edges.mask_regions(df, "mask", diagonal).select("image", "run", "region", "x2", "top").collect()))
+
+
+def test_an_images_votes_are_counted_in_one_task(spark, monkeypatch):
+    points = spark.createDataFrame([(7, 3, y) for y in range(12)] + [(7, x, 5) for x in range(20)] + [(8, 1, 1), (8, None, 2)], "image int, x int, y int")
+    lines = edges.hough_lines(points, 10)
+    assert plan(lines).count("Exchange hashpartitioning") == 1  # the points', never the votes'
+    at = [(3, y) for y in range(12)] + [(x, 5) for x in range(20)]
+    votes = Counter((k, round(round(x * math.cos(k * math.pi / 180) + y * math.sin(k * math.pi / 180), 6))) for x, y in at for k in range(180))
+    want = {(7, k, r, n) for (k, r), n in votes.items() if n >= 10 and n > max(votes[k - 1, r], votes[k, r - 1]) and n >= max(votes[k + 1, r], votes[k, r + 1])}
+    assert {tuple(r) for r in lines.collect()} == want
+    x, y = np.array(at).T
+    whole = edges._lines(x, y, 10, 180)
+    monkeypatch.setattr(edges, "_VOTES", 500)  # an image's points piece by piece
+    assert all(map(np.array_equal, whole, edges._lines(x, y, 10, 180)))

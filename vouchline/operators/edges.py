@@ -83,23 +83,65 @@ def points(of_runs: DataFrame) -> DataFrame:
     return of_runs.select("image", F.explode(F.sequence("x1", "x2")).alias("x"), "y")
 
 
+#: Votes that are counted at once, one for each point and angle.
+_VOTES = 4_000_000
+
+
+def _angles(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.array([f(k * math.pi / n) for k in range(n)]) for f in (math.cos, math.sin))
+
+
+def _rho(x: np.ndarray, y: np.ndarray, c: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Distance of each point's line at each angle, (points, angles)."""
+    return stacks.level(x[:, None] * c + y[:, None] * s).astype(np.int64)
+
+
+def _lines(x: np.ndarray, y: np.ndarray, threshold: int, angles: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """angle, rho, votes of one image's lines; its points are taken piece by piece."""
+    c, s = _angles(angles)
+    reach = int(max(np.abs(x).max() + np.abs(y).max(), 0)) + 2
+    wide, step = 2 * reach + 1, max(1, _VOTES // angles)
+    votes = np.zeros((angles + 2) * wide, np.int64)  # an empty angle on both sides
+    for i in range(0, len(x), step):
+        at = _rho(x[i : i + step], y[i : i + step], c, s) + (np.arange(1, angles + 1) * wide + reach)
+        votes += np.bincount(at.ravel(), minlength=len(votes))
+    v = votes.reshape(angles + 2, wide)
+    angle, rho = np.nonzero(v >= threshold)
+    n = v[angle, rho]
+    stands = (n > v[angle - 1, rho]) & (n >= v[angle + 1, rho]) & (n > v[angle, rho - 1]) & (n >= v[angle, rho + 1])
+    return angle[stands] - 1, rho[stands] - reach, n[stands]
+
+
+def _by_image(edge_points: DataFrame, f: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """image and what ``f`` tells of its points: an image's points meet in one task, as its pixels do."""
+    kind = edge_points.schema["image"].dataType.simpleString()
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def rows(batches):
+        for batch in batches:
+            off = np.asarray(batch.column("x").offsets)
+            x, y = (np.asarray(batch.column(c).values).astype(np.int64) for c in "xy")
+            told = [f(x[i:j], y[i:j]) for i, j in zip(off[:-1], off[1:], strict=True)]
+            at = np.repeat(np.arange(len(told)), [len(t[names[0]]) for t in told])
+            yield pa.RecordBatch.from_arrays([batch.column("image").take(pa.array(at))] + [pa.array(np.concatenate([t[c] for t in told])) for c in names], names=["image", *names])
+
+    # both coordinates from one list, so that they stay together
+    sets = edge_points.where("x IS NOT NULL AND y IS NOT NULL").groupBy("image").agg(F.collect_list(F.struct("x", "y")).alias("p"))
+    return sets.select("image", F.col("p.x").alias("x"), F.col("p.y").alias("y")).mapInArrow(rows, f"image {kind}, {schema}")
+
+
 def hough_lines(edge_points: DataFrame, threshold: int, angles: int = 180) -> DataFrame:
     """image, angle, rho, votes: lines x * cos + y * sin = rho that ``threshold`` edge points or more lie on.
 
     Every point votes once an angle; a line stands if it has more votes than its neighbours before it and no fewer
-    than those after it, in distance and in angle.
+    than those after it, in distance and in angle. Votes are counted in an image's own task and only lines leave it.
     """
-    table = F.array(*(F.struct(F.lit(k).alias("angle"), F.lit(math.cos(k * math.pi / angles)).alias("c"), F.lit(math.sin(k * math.pi / angles)).alias("s")) for k in range(angles)))
-    cast = edge_points.select("image", "x", "y", F.explode(table).alias("t"))
-    rho = F.rint(F.round(F.col("x") * F.col("t.c") + F.col("y") * F.col("t.s"), 6)).cast("int")
-    votes = cast.groupBy("image", F.col("t.angle").alias("angle"), rho.alias("rho")).agg(F.count(F.lit(1)).alias("votes"))
-    # each cell tells its four neighbours how many votes it has; only cells over the threshold can stand
-    sides = F.array(*(F.struct(F.lit(da).alias("da"), F.lit(dr).alias("dr"), F.lit(first).alias("first")) for da, dr, first in ((0, 0, None), (1, 0, True), (-1, 0, False), (0, 1, True), (0, -1, False))))
-    told = votes.where(F.col("votes") >= 1).select("image", F.explode(sides).alias("d"), "angle", "rho", "votes")
-    met = told.groupBy("image", (F.col("angle") + F.col("d.da")).alias("angle"), (F.col("rho") + F.col("d.dr")).alias("rho")).agg(
-        F.max(F.when(F.col("d.first").isNull(), F.col("votes"))).alias("votes"), F.max(F.when(F.col("d.first"), F.col("votes"))).alias("before"), F.max(F.when(~F.col("d.first"), F.col("votes"))).alias("after")
-    )
-    return met.where((F.col("votes") >= threshold) & (F.col("votes") > F.coalesce("before", F.lit(0))) & (F.col("votes") >= F.coalesce("after", F.lit(0)))).select("image", "angle", "rho", "votes")
+
+    def of(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        angle, rho, votes = _lines(x, y, max(threshold, 1), angles)
+        return {"angle": angle.astype(np.int32), "rho": rho.astype(np.int32), "votes": votes}
+
+    return _by_image(edge_points, of, "angle int, rho int, votes bigint")
 
 
 def hough_segments(edge_points: DataFrame, threshold: int, min_length: int, max_gap: int, angles: int = 180) -> DataFrame:
