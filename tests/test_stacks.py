@@ -77,3 +77,9 @@ def test_an_images_votes_are_counted_in_one_task(spark, monkeypatch):
     whole = edges._lines(x, y, 10, 180)
     monkeypatch.setattr(edges, "_VOTES", 500)  # an image's points piece by piece
     assert all(map(np.array_equal, whole, edges._lines(x, y, 10, 180)))
+
+
+def test_segments_of_a_line_end_at_gaps(spark):
+    points = spark.createDataFrame([(7, 3, y) for y in (*range(12), *range(20, 33), 40)], "image int, x int, y int")
+    got = {tuple(r)[2:] for r in edges.hough_segments(points, 20, 8, 2).collect()}
+    assert {(3, 0, 3, 11), (3, 20, 3, 32)} <= got and not any(40 in s for s in got)

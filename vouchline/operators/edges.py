@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vouchline.operators import stacks
@@ -145,17 +145,29 @@ def hough_lines(edge_points: DataFrame, threshold: int, angles: int = 180) -> Da
 
 
 def hough_segments(edge_points: DataFrame, threshold: int, min_length: int, max_gap: int, angles: int = 180) -> DataFrame:
-    """image, pos, x1, y1, x2, y2: the stretches of each line's own points with no gap over ``max_gap``, of at least ``min_length``."""
-    edge_points = cut(edge_points)
-    lines = hough_lines(edge_points, threshold, angles)
-    angle = F.col("angle") * (math.pi / angles)
-    c, s = F.cos(angle), F.sin(angle)
-    on = edge_points.join(lines, "image").where(F.rint(F.round(F.col("x") * c + F.col("y") * s, 6)) == F.col("rho"))
-    on = on.withColumn("t", F.round(F.col("y") * c - F.col("x") * s, 6))
-    line = Window.partitionBy("image", "angle", "rho").orderBy("t", "x", "y")
-    far = F.coalesce(F.col("t") - F.lag("t").over(line) > max_gap, F.lit(False)).cast("int")
-    part = on.withColumn("cut", far).withColumn("part", F.sum("cut").over(line))
-    end = F.struct("t", "x", "y")
-    ends = part.groupBy("image", "angle", "rho", "votes", "part").agg(F.min(end).alias("a"), F.max(end).alias("b")).where(F.col("b.t") - F.col("a.t") >= min_length)
-    order = Window.partitionBy("image").orderBy(F.desc("votes"), "angle", "rho", "part")
-    return ends.select("image", F.row_number().over(order).alias("pos"), F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2"))
+    """image, pos, x1, y1, x2, y2: the stretches of each line's own points with no gap over ``max_gap``, of at least ``min_length``.
+
+    They are numbered by votes, the most first, then by angle, rho and place on the line.
+    """
+
+    def of(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        angle, rho, votes = _lines(x, y, max(threshold, 1), angles)
+        order = np.lexsort((rho, angle, -votes))
+        c, s = (a[angle[order]] for a in _angles(angles))
+        found, step = [], max(1, _VOTES // max(len(x), 1))
+        for i in range(0, len(order), step):
+            on = _rho(x, y, c[i : i + step], s[i : i + step]) == rho[order[i : i + step]]
+            line, p = np.nonzero(on.T)
+            t = np.round(y[p] * c[i + line] - x[p] * s[i + line], 6)
+            by = np.lexsort((y[p], x[p], t, line))
+            line, p, t = line[by], p[by], t[by]
+            first = np.append(True, (line[1:] != line[:-1]) | (t[1:] - t[:-1] > max_gap)) if len(t) else np.empty(0, bool)
+            a = np.flatnonzero(first)
+            b = np.append(a[1:], len(t)) - 1
+            long = t[b] - t[a] >= min_length if len(t) else np.empty(0, bool)
+            found.append((p[a[long]], p[b[long]]) if len(t) else (a, a))
+        a, b = (np.concatenate([f[k] for f in found] or [np.empty(0, np.int64)]) for k in (0, 1))
+        ends = {"x1": x[a], "y1": y[a], "x2": x[b], "y2": y[b]}
+        return {"pos": np.arange(1, len(a) + 1, dtype=np.int32)} | {k: v.astype(np.int32) for k, v in ends.items()}
+
+    return _by_image(edge_points, of, "pos int, x1 int, y1 int, x2 int, y2 int")
