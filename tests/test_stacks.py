@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from vouchline.operators import contrast, edges, stacks
+from vouchline.operators import contrast, edges, outlines, pixels, stacks
 from vouchline.plans.adapters import view
 
 SF = "/root/testdata/sf0.01"
@@ -83,3 +83,39 @@ def test_segments_of_a_line_end_at_gaps(spark):
     points = spark.createDataFrame([(7, 3, y) for y in (*range(12), *range(20, 33), 40)], "image int, x int, y int")
     got = {tuple(r)[2:] for r in edges.hough_segments(points, 20, 8, 2).collect()}
     assert {(3, 0, 3, 11), (3, 20, 3, 32)} <= got and not any(40 in s for s in got)
+
+
+def test_otsu_masks_shuffle_nothing_and_take_the_first_best_level(spark):
+    rng = np.random.default_rng(7)
+    rows = [(1, 9, 8, rng.choice([20, 25, 180, 200], 72).tolist()), (2, 4, 1, [0, 0, 255, 255]), (3, 2, 2, [7] * 4)]
+    masks = outlines.otsu_mask(spark.createDataFrame(rows, RASTER))
+    assert "Exchange" not in plan(masks)
+    levels = {r.image: r.level for r in pixels.otsu(masks.select("image", F.explode("v").alias("v"))).collect()}
+    for r in masks.collect():
+        assert r["mask"] == [int(v > levels[r.image]) for v in rows[r.image - 1][3]]
+
+
+def cut(ring, keep, tolerance):
+    """The corners of a ring by recursion, from two to start with."""
+    n, more = len(ring), set(keep)
+    for i, j in zip(keep, [*keep[1:], keep[0] + n], strict=True):
+        (ax, ay), (bx, by) = ring[i], ring[j % n]
+        span = math.hypot(bx - ax, by - ay)
+        off = [(abs((bx - ax) * (ay - y) - (ax - x) * (by - ay)) / span if span else math.hypot(x - ax, y - ay), -k) for k in range(i + 1, j) for x, y in (ring[k % n],)]
+        if off and max(off)[0] > tolerance:
+            more.add(-max(off)[1] % n)
+    return keep if len(more) == len(keep) else cut(ring, sorted(more), tolerance)
+
+
+def test_outlines_are_simplified_in_one_pass_over_all(spark):
+    rng = np.random.default_rng(8)
+    rings = [[tuple(map(float, p)) for p in rng.integers(0, 30, (n, 2))] for n in (1, 2, 3, 9, 40, 80)] + [[(1.0, 2.0)] * 4]
+    far = lambda r, i: min(range(len(r)), key=lambda k: (-math.dist(r[k], r[i]), k))
+    rows = [(i, r, t) for i, r in enumerate(rings) for t in (0.0, 1.5, 6.0)] + [(99, [], 1.0), (98, None, 1.0)]
+    found = outlines.simplified(spark.createDataFrame(rows, "i int, o array<struct<x:double,y:double>>, eps double"), "o", "eps")
+    assert "MapInArrow" in plan(found)
+    got = {(r.i, r.eps): [tuple(p) for p in r.polygon] for r in found.collect()}
+    for i, r, t in rows[:-2]:
+        p = far(r, far(r, 0))
+        assert got[i, t] == [r[k] for k in cut(r, sorted({p, far(r, p)}), t)], (i, t)
+    assert got[99, 1.0] == got[98, 1.0] == []

@@ -1,62 +1,49 @@
 """From masks to quads: closing, thresholds, region outlines, polyline simplification.
 
 Masks are arrays within an image's row; a region leaves them as runs, its outline is one array of points, and
-simplification goes on in rounds over the outlines that still change. No pixel is shuffled.
+a task simplifies its outlines in rounds over those that still change. No pixel is shuffled.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vouchline.functions import geometry as geo
 from vouchline.functions.geometry import let
-from vouchline.operators import edges, pixels
-from vouchline.operators.raster import _places
+from vouchline.operators import edges, pixels, stacks
 from vouchline.storage import cut
 
 # Shares of the perimeter that are tried as tolerance, in order.
 TOLERANCES = (0.01, 0.015, 0.02, 0.03, 0.04, 0.05, 0.06)
 MOST = 8
+#: Outlines that are simplified at once.
+RINGS = 2_000
 _POINTS = "array<struct<x:double,y:double>>"
 
 
 def extreme(rasters: DataFrame, column: str, size: int, largest: bool) -> DataFrame:
     """Largest (or least) value over size x size pixels, cut at the border: dilation or erosion, one axis after the other."""
-    w, h, r = F.col("w"), F.col("h"), size // 2
-    pick = F.array_max if largest else F.array_min
-
-    def along(v: Column, i: Column) -> Column:
-        before, after = F.least(i % w, F.lit(r)), F.least(w - 1 - i % w, F.lit(r))
-        return pick(F.slice(v, i - before + 1, before + 1 + after))
-
-    def down(v: Column, i: Column) -> Column:
-        y = (i / w).cast("int")
-        return pick(F.transform(F.sequence(F.greatest(y - r, F.lit(0)), F.least(y + r, h - 1)), lambda k: F.get(v, k * w + i % w)))
-
-    # each pass is bound before the next one looks into it, or it would be worked out again for every pixel
-    for step in (along, down):
-        rasters = rasters.withColumn(column, let(F.col(column), lambda v, step=step: F.transform(_places(w, h), lambda i: step(v, i))))
-    return rasters
+    return stacks.replaced(rasters, column, lambda v: stacks.extreme(v, size, largest))
 
 
 def closed(rasters: DataFrame, column: str, size: int, times: int = 1) -> DataFrame:
     """``times`` dilations, then as many erosions, which a kernel of their joint reach does at once."""
     reach = times * (size - 1) + 1
-    return extreme(extreme(rasters, column, reach, True), column, reach, False)
+    return stacks.replaced(rasters, column, lambda v: stacks.extreme(stacks.extreme(v, reach, True), reach, False))
 
 
 def morph_gradient(rasters: DataFrame, size: int) -> DataFrame:
     """v becomes the largest less the least value around it."""
-    both = extreme(extreme(rasters.withColumns({"__hi": F.col("v"), "__lo": F.col("v")}), "__hi", size, True), "__lo", size, False)
-    return both.withColumn("v", F.zip_with("__hi", "__lo", lambda a, b: a - b)).drop("__hi", "__lo")
+    return stacks.replaced(rasters, "v", lambda v: stacks.extreme(v, size, True) - stacks.extreme(v, size, False))
 
 
 def otsu_mask(rasters: DataFrame, inverted: bool = False) -> DataFrame:
-    """Adds ``mask``: 1 over each image's own Otsu level, 0 up to it (or the other way round); levels come from histograms."""
-    levels = pixels.otsu(rasters.select("image", F.explode("v").alias("v")))
-    over = lambda v: (v <= F.col("level") if inverted else v > F.col("level")).cast("int")
-    return rasters.join(levels, "image").withColumn("mask", F.transform("v", over)).drop("level")
+    """Adds ``mask``: 1 over each image's own Otsu level, 0 up to it (or the other way round)."""
+    return stacks.replaced(rasters, "v", lambda v: stacks.over_otsu(v, inverted), "mask")
 
 
 def level_mask(rasters: DataFrame, level: int) -> DataFrame:
@@ -83,45 +70,82 @@ def _far(p: Column, q: Column) -> Column:
     return F.sqrt((p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"]))
 
 
-def _off(p: Column, a: Column, b: Column) -> Column:
-    """Distance of p from the line through a and b; from a where they are one."""
-    span = _far(a, b)
-    return F.when(span == 0, _far(p, a)).otherwise(F.abs((b["x"] - a["x"]) * (a["y"] - p["y"]) - (a["x"] - p["x"]) * (b["y"] - a["y"])) / span)
+def _chord(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance of each point from the line through two others; from the first where they are one."""
+    dx, dy = x[b] - x[a], y[b] - y[a]
+    span, px, py = np.sqrt((x[a] - x[b]) * (x[a] - x[b]) + (y[a] - y[b]) * (y[a] - y[b])), x[a] - x, y[a] - y
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(span == 0, np.sqrt(px * px + py * py), np.abs(dx * py - px * dy) / span)
+
+
+def _farthest(x: np.ndarray, y: np.ndarray, off: np.ndarray, row: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Of each ring the place of the point farthest from the one at ``start``, the first of equal ones."""
+    dx, dy = x - x[start][row], y - y[start][row]
+    d = np.sqrt(dx * dx + dy * dy)
+    at = np.flatnonzero(d == np.maximum.reduceat(d, off[:-1])[row])
+    return at[np.unique(row[at], return_index=True)[1]]
+
+
+def kept_corners(x: np.ndarray, y: np.ndarray, off: np.ndarray, tolerance: np.ndarray) -> np.ndarray:
+    """Flags of the points that rings, laid end to end and none empty, keep within their tolerances.
+
+    All stretches of all rings are cut at once, round by round; rings that a round leaves as they were drop out.
+    """
+    keep = np.zeros(len(x), bool)
+    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    first = _farthest(x, y, off, row, _farthest(x, y, off, row, off[:-1]))
+    other = _farthest(x, y, off, row, first)
+    keep[first] = keep[other] = True
+    # each ring from its first corner on, and that once more
+    size, begin = np.diff(off) + 1, np.minimum(first, other)
+    live = np.arange(len(off) - 1)
+    while len(live):
+        n = size[live]
+        starts = np.cumsum(n) - n
+        ring = np.repeat(np.arange(len(live)), n)
+        place = np.arange(n.sum()) - starts[ring]
+        home = off[:-1][live][ring]
+        at = home + (begin[live][ring] - home + place) % (n[ring] - 1)
+        corner = np.flatnonzero(keep[at])
+        stretch = np.cumsum(keep[at]) - 1
+        last = place == n[ring] - 1
+        a, b = corner[stretch], corner[np.minimum(stretch + 1, len(corner) - 1)]
+        px, py = x[at], y[at]
+        d = np.where(keep[at] | last, -1.0, _chord(px, py, a, b))
+        most = np.maximum.reduceat(d, corner)[stretch]
+        cut_at = np.flatnonzero((d == most) & (d > tolerance[live][ring]) & ~keep[at])
+        cut_at = cut_at[np.unique(stretch[cut_at], return_index=True)[1]]
+        keep[at[cut_at]] = True
+        live = live[np.unique(ring[cut_at])]
+    return keep
 
 
 def simplified(polygons: DataFrame, outline: str, tolerance: str, alias: str = "polygon") -> DataFrame:
-    """Adds the corners that a closed outline keeps within a tolerance.
+    """Adds the corners that a closed outline keeps within a tolerance; none of one that is null or empty.
 
     It starts from two points far apart (three times the farthest from the one before). A stretch whose farthest
     point is over the tolerance from its chord is cut there, the first of equal ones, until none is.
     """
-    n = F.size(outline)
-    at = lambda i: F.get(outline, i)
-    farthest = lambda i: let(i, lambda i: F.array_max(F.transform(outline, lambda p, k: F.struct(_far(p, at(i)).alias("d"), (-k).alias("o"), k.alias("k"))))["k"])
-    df = polygons.withColumn("__p", farthest(farthest(F.lit(0)))).withColumn("__q", farthest(F.col("__p")))
-    now, settled = df.withColumn("__keep", F.array_sort(F.array_distinct(F.array("__p", "__q")))).drop("__p", "__q"), []
-
-    def farther(keep: Column) -> Column:
-        def cut_at(i: Column, t: Column) -> Column:
-            j = F.when(t + 1 < F.size(keep), F.get(keep, t + 1)).otherwise(F.get(keep, F.lit(0)) + n)
-            between = F.when(j - i > 1, F.sequence(i + 1, j - 1)).otherwise(F.array().cast("array<int>"))
-            off = F.transform(between, lambda k: F.struct(_off(at(k % n), at(i), at(j % n)).alias("d"), (-k).alias("o"), (k % n).alias("k")))
-            return let(F.array_max(off), lambda f: F.when(f["d"] > F.col(tolerance), f["k"]))
-
-        return F.array_sort(F.array_distinct(F.concat(keep, F.filter(F.transform(keep, cut_at), lambda k: k.isNotNull()))))
-
-    while True:
-        now = cut(now.withColumn("__a", let(F.col("__keep"), farther)))
-        now = cut(now.withColumn("__b", let(F.col("__a"), farther)))
-        same = F.size("__b") == F.size("__a")
-        settled.append(now.where(same).drop("__keep", "__a").withColumnRenamed("__b", "__keep"))
-        now = now.where(~same).drop("__keep", "__a").withColumnRenamed("__b", "__keep")
-        if not now.take(1):
-            break
-    every = settled[0]
-    for more in settled[1:]:
-        every = every.unionByName(more)
-    return every.withColumn(alias, F.transform("__keep", at)).drop("__keep")
+    rest = polygons.columns
+    fields = [f"`{c}` {polygons.schema[c].dataType.simpleString()}" for c in rest] + [f"`{alias}` {_POINTS}"]
+
+    def rows(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, RINGS):
+                part = batch.slice(i, RINGS)
+                rings = part.column(outline)
+                size = np.asarray(pc.list_value_length(rings).fill_null(0)).astype(np.int64)
+                points, off = rings.flatten(), np.append(0, np.cumsum(size))
+                x, y = (np.asarray(points.field(k), np.float64) for k in (0, 1))
+                full = np.flatnonzero(size)
+                keep = np.empty(0, bool)
+                if len(full):
+                    keep = kept_corners(x, y, np.append(off[:-1][full], off[-1]), np.asarray(part.column(tolerance), np.float64)[full])
+                at = np.append(0, np.cumsum(keep))[off].astype(np.int32)
+                corners = pa.StructArray.from_arrays([pa.array(x[keep]), pa.array(y[keep])], ["x", "y"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(at), corners)], names=[*rest, alias])
+
+    return polygons.mapInArrow(rows, ", ".join(fields))
 
 
 def mask_quads(masks: DataFrame, close: int = 15, times: int = 3, most: int = MOST) -> DataFrame:
@@ -130,7 +154,7 @@ def mask_quads(masks: DataFrame, close: int = 15, times: int = 3, most: int = MO
     The mask is closed first; of a region the first tolerance with four corners counts, outlines under ten pixels
     around don't. Images without such a quad are left out.
     """
-    found = edges.regions(edges.runs(closed(masks, "mask", close, times), "mask"))
+    found = edges.mask_regions(closed(masks, "mask", close, times), "mask")
     rings = cut(outlines(found).where("perimeter >= 10").withColumn("pos", F.col("region")))
     tried = rings.withColumn("t", F.explode(F.array(*(F.struct(F.lit(i).alias("eps_ord"), F.lit(t).alias("share")) for i, t in enumerate(TOLERANCES)))))
     tried = tried.select("image", "pos", "area", "outline", "t.eps_ord", (F.col("t.share") * F.col("perimeter")).alias("eps"), (F.col("w") * F.col("h")).cast("double").alias("image_area"))
