@@ -29,8 +29,9 @@ def _adjugate(m: list[Column]) -> list[Column]:
 
 
 def with_homography(df: DataFrame, source: str, target: str, alias: str = "m") -> DataFrame:
-    """Adds the 3 x 3 map (array of nine, row by row, last entry 1) that takes the corners of one quad to another's.
+    """Adds the 3 x 3 map (array of nine, row by row) that takes the corners of one quad to another's.
 
+    Its last entry is 1; or 0 where the source's origin goes to infinity, as it may while all corners have a place.
     Null where three corners of either quad are in line: there is no map that leads back.
     """
     names = [f"__{s}{i}" for s in "st" for i in range(9)]
@@ -40,8 +41,9 @@ def with_homography(df: DataFrame, source: str, target: str, alias: str = "m") -
     t, b = ([F.col(f"__{n}{i}") for i in range(9)] for n in "tb")
     df = df.withColumns({f"__m{3 * r + c}": t[3 * r] * b[c] + t[3 * r + 1] * b[3 + c] + t[3 * r + 2] * b[6 + c] for r in range(3) for c in range(3)})
     m = [F.col(f"__m{i}") for i in range(9)]
-    whole = F.array(*(c / m[8] for c in m))
-    return df.withColumn(alias, F.when(m[8] != 0, whole)).drop(*names, *(f"__b{i}" for i in range(9)), *(f"__m{i}" for i in range(9)))
+    df = df.withColumn("__scale", F.when(m[8] == 0, 1.0).otherwise(m[8]))
+    whole = F.array(*(c / F.col("__scale") for c in m))
+    return df.withColumn(alias, F.when(m[8].isNotNull(), whole)).drop(*names, *(f"__b{i}" for i in range(9)), *(f"__m{i}" for i in range(9)), "__scale")
 
 
 def apply(m: Column, x: Column, y: Column) -> Column:
