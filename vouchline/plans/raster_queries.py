@@ -74,9 +74,12 @@ def warped_card(spark, sf):
     return df.select("image", total.alias("total"), F.array_max("v").alias("most"))
 
 
-_MATCH = """SELECT l_suppkey AS image, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS pos, CAST(l_partkey * 37 % 640 AS DOUBLE) AS x0, CAST(l_orderkey * 11 % 400 AS DOUBLE) AS y0, l_orderkey % 10 < 3 AS stray,
-  CAST(1 + l_suppkey % 5 * 0.1 AS DOUBLE) AS zoom, CAST(l_suppkey % 7 * 0.0001 AS DOUBLE) AS tilt FROM lineitem"""
-_MATCHES = f"""SELECT *, (zoom * x0 + 0.1 * y0 + 20) / (tilt * x0 + 1) + IF(stray, 60 + pos % 50, 0) AS x1, (0.05 * x0 + zoom * y0 + 10) / (tilt * x0 + 1) - IF(stray, 40 + pos % 30, 0) AS y1 FROM ({_MATCH})"""
+_NUMBER = "row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS pos"
+_FROM = "CAST(l_partkey * 37 % 640 AS DOUBLE) AS x0, CAST(l_orderkey * 11 % 400 AS DOUBLE) AS y0, l_orderkey % 10 < 3 AS stray"
+_BENT = "CAST(1 + l_suppkey % 5 * 0.1 AS DOUBLE) AS zoom, CAST(l_suppkey % 7 * 0.0001 AS DOUBLE) AS tilt"
+_TO = "(zoom * x0 + 0.1 * y0 + 20) / (tilt * x0 + 1) + IF(stray, 60 + pos % 50, 0) AS x1, (0.05 * x0 + zoom * y0 + 10) / (tilt * x0 + 1) - IF(stray, 40 + pos % 30, 0) AS y1"
+_MATCH = f"""SELECT l_suppkey AS image, {_NUMBER}, {_FROM},
+  {_BENT} FROM lineitem"""
 
 
 @query(
@@ -92,8 +95,11 @@ def ransac_homography(spark, sf):
 
     Suppliers with three matches only have no map. ``far`` is where the bottom right corner lands.
     """
-    m = spark.sql(_MATCHES.replace("FROM lineitem", "FROM {l}"), l=spark.read.parquet(f"{sf}/lineitem.parquet")).where("image % 50 <> 3 OR pos <= 3")
-    sizes = m.select("image").distinct().selectExpr("image", "640 AS w0", "400 AS h0", "800 AS w1", "600 AS h1")
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    # points are worked out behind the numbering, whose shuffle by supplier is the only one of the lines
+    m = spark.sql(f"SELECT l_suppkey, pos, {_FROM}, {_BENT} FROM {{m}}", m=lines.selectExpr("*", _NUMBER).where("l_suppkey % 50 <> 3 OR pos <= 3"))
+    m = spark.sql(f"SELECT l_suppkey AS image, pos, x0, y0, {_TO} FROM {{m}}", m=m)
+    sizes = lines.select(F.col("l_suppkey").alias("image")).distinct().selectExpr("image", "640 AS w0", "400 AS h0", "800 AS w1", "600 AS h1")
     found = ransac.ransac(m.select("image", "pos", "x0", "y0", "x1", "y1"), ["image"], "pos", sizes)
     return found.select("image", "ok", "inliers", F.round("inlier_ratio", 6).alias("inlier_ratio"), F.round("quad_area_ratio", 6).alias("area_ratio"), F.round(F.get("quad", F.lit(2))["x"], 4).alias("far"))
 
