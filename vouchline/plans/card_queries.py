@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vouchline.functions import geometry as geo
 from vouchline.functions import text
-from vouchline.operators import boxes, match, pixels, rank, records
+from vouchline.operators import boxes, match, nearest, pixels, rank, records
 from vouchline.plans.adapters import cte, view
 
 QUERIES, ORACLES = {}, {}
@@ -100,8 +100,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, t) AS k FROM d WHE
 def hamming_nearest(spark, sf):
     """Binary descriptors: every one whose id is divisible by 50 against all."""
     v = _table(spark, sf, "part").selectExpr("p_partkey AS id", "p_partkey * 2654435761L % 4294967296L AS d")
-    queries = v.where("id % 50 = 0").select(F.col("id").alias("q"), F.col("d").alias("qe"))
-    return match.two_nearest(queries, v.select(F.col("id").alias("t"), F.col("d").alias("te")), match.hamming(F.col("qe"), F.col("te"))).select("q", "t1", "d1", "d2")
+    queries = v.where("id % 50 = 0").select(F.col("id").alias("q"), F.array("d").alias("qe"))
+    return nearest.two_nearest_bits(queries, v.select(F.col("id").alias("t"), F.array("d").alias("te"))).select("q", "t1", "d1", "d2")
 
 
 @query(
